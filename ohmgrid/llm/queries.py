@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ohmgrid.llm import decontaminate, pii, secret_ledger, url_rules
+from ohmgrid.llm import decontaminate, pii, secret_ledger, simhash, url_rules
 
 QUERIES = {
     "op1_pseudonyms": pii.op1_pseudonyms,
+    "op2_simhash": simhash.op2_simhash,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_secret_ledger": secret_ledger.op10_secret_ledger,
