@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from ohmgrid.llm import decontaminate, pii, secret_ledger, simhash, url_rules
+from ohmgrid.llm import decontaminate, embeddings, packing, pii, secret_ledger, simhash, token_counts, url_rules
 
 QUERIES = {
     "op1_pseudonyms": pii.op1_pseudonyms,
     "op2_simhash": simhash.op2_simhash,
+    "op3_packing": packing.op3_packing,
+    "op4_embeddings": embeddings.op4_embeddings,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_secret_ledger": secret_ledger.op10_secret_ledger,
