@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ohmgrid.llm import decontaminate, embeddings, packing, pii, secret_ledger, simhash, token_counts, toxicity, url_rules
+from ohmgrid.llm import decontaminate, embeddings, packing, pii, repeats, secret_ledger, simhash, token_counts, toxicity, url_rules
 
 QUERIES = {
     "op1_pseudonyms": pii.op1_pseudonyms,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_repeats": repeats.op8_repeats,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_secret_ledger": secret_ledger.op10_secret_ledger,
 }
