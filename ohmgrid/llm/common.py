@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and cut from its lineage.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; one is made only where
-    none is set, as in tests.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder, ``spark.checkpoint.dir``; one is made only where none is set, as in tests."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ohmgrid-")
         spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and cut from its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -29,6 +30,15 @@ def lower_ascii(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, ASCII_UPPER, ASCII_LOWER)).otherwise(F.lower(text))
 
 
-def with_row_key(df: DataFrame, name: str) -> DataFrame:
-    """Adds a number that is unique to each row, so that repeated ids stay apart."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+#: Row numbers, of 8 bytes, that are sent to every task; more are met by an exchange.
+BROADCAST_ROWS = 1_000_000
+
+
+def without_rows(numbered: DataFrame, dropped: DataFrame, name: str = "__row") -> DataFrame:
+    """``numbered`` without the rows whose number is in ``dropped``.
+
+    The numbers are stored and counted first; only a proven small set is broadcast.
+    """
+    dropped = durable(dropped)
+    small = dropped.count() <= BROADCAST_ROWS
+    return numbered.join(F.broadcast(dropped) if small else dropped, name, "left_anti")

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmgrid.llm.common import durable, lower_ascii
+from ohmgrid.llm.common import durable, lower_ascii, without_rows
 
 WINDOW = 13
 #: Contaminated if hit words are at least one in this many.
@@ -103,21 +103,15 @@ def contamination(
     size: int = WINDOW,
     one_in: int = ONE_IN,
     slice_windows: int = SLICE_WINDOWS,
-    keep: list[str] | None = None,
 ) -> DataFrame:
-    """One row per document: key, n_words, n_hit, n_items, items_sha256, contaminated (and the columns ``keep``).
+    """One row per document: key, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words and are clean; so is everything if the
     benchmark is empty.  Items without words are ignored, repeated items count
     once, null item ids have no name and are not listed.  Repeated rows and ids
     of documents are each judged.  Other columns are ignored.
     """
-    keep = keep or []
-    words = documents.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.struct(F.col(key).alias("key"), *[F.col(c) for c in keep]).alias("doc_key"),
-        words_of(F.col(text)).alias("words"),
-    )
+    words = documents.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_key"), words_of(F.col(text)).alias("words"))
     windows = durable(benchmark_windows(benchmark, item, item_text, size))
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     n_windows = windows.select("window").distinct().count()
@@ -139,8 +133,7 @@ def contamination(
     n_hit = covered_words(F.col("spans")).cast("long")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return full.select(
-        F.col("doc_key.key").alias(key),
-        *[F.col(f"doc_key.{c}").alias(c) for c in keep],
+        F.col("doc_key").alias(key),
         n_words.alias("n_words"),
         n_hit.alias("n_hit"),
         F.size(listed).cast("long").alias("n_items"),
@@ -149,6 +142,17 @@ def contamination(
     )
 
 
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", **rule) -> DataFrame:
+    """``documents`` without the contaminated rows; all columns stay.
+
+    ``documents`` has to give the same rows in the same order when it is read
+    again, as stored tables do.
+    """
+    numbered = documents.withColumn("__row", F.monotonically_increasing_id())
+    judged = contamination(numbered, benchmark, key="__row", text=text, **rule)
+    return without_rows(numbered, judged.where("contaminated").select("__row")).drop("__row")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contamination of every document by the whole benchmark."""
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

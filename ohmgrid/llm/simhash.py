@@ -10,6 +10,7 @@ fingerprint and are verified on all 64 bits, in blocks of bounded size.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmgrid.llm import blocks
-from ohmgrid.llm.common import ASCII_LOWER, ASCII_UPPER, durable
+from ohmgrid.llm.common import ASCII_LOWER, ASCII_UPPER, durable, without_rows
 from ohmgrid.llm.components import connected_components
 
 BITS = 64
@@ -39,17 +40,25 @@ _LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
 _STEP = 65_536
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned SimHash of the word shingles of ``text``; zero without words."""
-    words = _WORD.findall((text or "").translate(_LOWER) if not (text or "").isascii() else (text or "").lower())
-    if not words:
-        return 0
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the word shingles of ``text``, repeats included; fewer words are one shingle, none give none."""
+    text = text or ""
+    words = _WORD.findall(text.lower() if text.isascii() else text.translate(_LOWER))
     if len(words) < shingle:
-        grams = [" ".join(words)]
+        grams = [" ".join(words)] if words else []
     else:
         grams = map(" ".join, zip(*[words[k:] for k in range(shingle)], strict=False))
     hashed = xxhash.xxh64_intdigest
-    h = np.array([hashed(g, SEED) for g in grams], dtype=">u8")
+    return np.array([hashed(g, SEED) for g in grams], dtype=">u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned SimHash of the word shingles of ``text``; zero without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(h), _STEP):
         ones += np.unpackbits(h[k : k + _STEP].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -210,6 +219,123 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     return fps.join(rooted.join(ids, "root").select("fp", "component_id"), "fp", "left").select(key, "fp", "component_id")
 
 
+#: Hamming distance up to which pairs of documents are looked at for a similarity of 0.8.
+LOOSE_RADIUS = 14
+SIMILAR = 0.8
+#: Distance at which a pair should be found with this chance.
+AIM, CHANCE = 10, 0.9
+#: Smallest shingle hashes that a document keeps to verify by.
+SKETCH = 256
+
+
+def sampled_masks(n: int, aim: int = AIM, chance: float = CHANCE) -> list[int]:
+    """Masks of random bits that a pair ``aim`` bits apart agrees on with this chance at least once.
+
+    At such distances a pigeonhole's partitions must tolerate so many bits each
+    that they hold hardly fewer pairs than the table does; partitions of as many
+    bits as the table's size asks for, drawn anew and with threshold zero, keep
+    candidates in proportion to the rows.
+    """
+    bits = min(40, max(10, math.ceil(math.log2(max(n, 2)))))
+    meet = math.comb(BITS - aim, bits) / math.comb(BITS, bits)
+    rng = np.random.default_rng([SEED, bits])
+    tables = math.ceil(math.log(1 - chance) / math.log(1 - meet))
+    return [_signed(sum(1 << int(b) for b in rng.choice(BITS, bits, replace=False))) for _ in range(tables)]
+
+
+def sketches(documents: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(key, fp, sketch): fingerprint and the ``SKETCH`` smallest distinct shingle hashes, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, least = [], []
+            for value in batch.column(1):
+                h = shingle_hashes(value.as_py(), shingle)
+                fps.append(_signed(majority(h)))
+                least.append(np.unique(h.astype("<u8"))[:SKETCH].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(least, pa.binary())], names=[key, "fp", "sketch"])
+
+    source = documents.select(key, F.col(text).cast("string"))
+    return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, fp long, sketch binary")
+
+
+def sketch_similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets by their smallest hashes; exact for sets that the sketches hold whole."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    union = np.union1d(x, y)
+    if len(x) == SKETCH or len(y) == SKETCH:
+        union = union[:SKETCH]
+    if not len(union):
+        return 1.0
+    return len(np.intersect1d(np.intersect1d(x, y), union)) / len(union)
+
+
+def _partners(radius: int):
+    """For each row of a run, the nearest row of smaller fingerprint within the radius, and the smallest one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in blocks.whole_runs(batches):
+            fp = table.column("fp").to_numpy()
+            bits = fp.view(np.uint64)
+            none = np.iinfo(np.int64).max
+            nearest, smallest = np.full(len(fp), none), np.full(len(fp), none)
+            order = np.argsort(np.argsort(fp, kind="stable"), kind="stable")
+            back = np.argsort(order)
+
+            def near(i, j, bits=bits):
+                return np.bitwise_count(bits[i] ^ bits[j]) <= radius
+
+            for i, j in blocks.pair_steps(table.column("run").to_numpy(), table.column("side").to_numpy(), near):
+                low, high = np.where(fp[i] < fp[j], i, j), np.where(fp[i] < fp[j], j, i)
+                apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
+                np.minimum.at(nearest, high, (apart << 40) | order[low])
+                np.minimum.at(smallest, high, order[low])
+            rows = np.flatnonzero(smallest < none)
+            u = np.concatenate((fp[rows], fp[rows]))
+            v = np.concatenate((fp[back[nearest[rows] & ((1 << 40) - 1)]], fp[back[smallest[rows]]]))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return run
+
+
+def _verified(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            same = pa.array([sketch_similarity(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_())
+            yield batch.select(["u", "v"]).filter(same)
+
+    return run
+
+
+def keep_one(documents: DataFrame, text: str = "text", shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
+    """``documents`` with one row, the first, of each group of near duplicates; all columns stay.
+
+    Rows with equal fingerprints are one group, and so are fingerprints whose
+    shingle sets have a similarity of at least ``similar``, by chains.  Rows
+    without words (null and empty texts) are one group.  ``documents`` has to give
+    the same rows in the same order when it is read again, as stored tables do.
+    """
+    numbered = documents.withColumn("__row", F.monotonically_increasing_id())
+    each = durable(sketches(numbered, "__row", text, shingle))
+    classes = durable(each.groupBy("fp").agg(F.min_by("sketch", "__row").alias("sketch"), F.min("__row").alias("first")))
+    fps = classes.select("fp")
+    masks = sampled_masks(classes.count())
+    keyed = fps.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("part", "mask"))
+    keyed = keyed.select("fp", "part", F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
+    runs = blocks.runs(keyed, ["part", "value"], "fp").select("fp", "run", "side")
+    pairs = runs.mapInArrow(_partners(LOOSE_RADIUS), "u long, v long").distinct()
+    sketch = classes.select("fp", "sketch")
+    both = pairs.join(sketch.toDF("u", "a"), "u").join(sketch.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    parts = connected_components(both.mapInArrow(_verified(similar), "u long, v long"))
+    rooted = classes.select("fp", "first").join(parts.withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = durable(rooted.select("fp", "first", F.coalesce("component", "fp").alias("root")))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
+    group = rooted.join(kept, "root").select("fp", "kept")
+    dropped = each.select("__row", "fp").join(group, "fp").where(F.col("__row") != F.col("kept")).select("__row")
+    return without_rows(numbered, dropped).drop("__row")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
