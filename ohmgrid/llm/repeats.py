@@ -12,14 +12,18 @@ that leaves singletons alone:
 
 1. Each string is represented by its anchor, the position inside it whose q-gram
    bucket has the smallest identifier.  Equal strings have equal anchors, about
-   one position in 85 is one, and anchors alone in their bucket are settled.
+   one position in 70 is one, and anchors alone in their bucket are settled.
 2. The strings of one anchor start in one interval.  The bucket of the anchor is
    refined by the identifier of the whole stretch of text that they cover; equal
    stretches settle all their strings at once.
-3. Anchor buckets that hold different stretches are refined to the full depth,
-   one stretch of each kind, and equal strings are found there.
+3. Of each kind of stretch in an anchor bucket that holds several, one is cut into
+   cells of strings that start at the same few offsets before the anchor.  Cells
+   whose common core is alone in its bucket are settled, and so are equal cells.
+4. The cells that are left are refined to the full depth, one of each kind, and
+   equal strings are found there.
 
 Identifiers are exchanged, counted and joined; no bucket is gathered in a task.
+Texts are exchanged compressed.
 """
 
 from __future__ import annotations
@@ -29,12 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmgrid.llm.common import durable
 
 SIZE = 200
+#: Strings of a cell.
+CELL = 16
+#: Zstandard level of exchanged texts.
+PACK_LEVEL = 1
 #: Bytes that are refined at once; longer texts are taken in overlapping parts.
 CHUNK_BITS = 17
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -52,27 +61,45 @@ def refine(bucket: np.ndarray, later: np.ndarray) -> np.ndarray:
 
 
 def gram_length(size: int) -> int:
-    """Depth of the anchors' buckets: 8, 16, 32, ..., at most a sixth of ``size``, 8 at least."""
+    """Depth of the anchors' buckets: 8, 16, 32, ..., at most a third of ``size``."""
     q = 8
-    while q * 2 * 6 <= size:
+    while q * 2 * 3 <= size:
         q *= 2
     return q
 
 
-def buckets(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers at gram depth and at full depth for every position where such a string starts."""
+def _combine(x: np.ndarray, depth: int, size: int) -> np.ndarray:
+    """Identifiers at ``size`` from those at ``depth``, at least half of it: two overlapping ones each."""
+    n = max(len(x) + depth - size, 0)
+    return refine(x[:n], x[size - depth : size - depth + n])
+
+
+def buckets(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Identifiers at the depth of grams, of cells' cores and at full depth, for every position where such a string starts."""
     gram, depth = gram_length(size), 8
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     # The first bucket is the eight bytes themselves.
     x = np.ndarray(max(len(data) - 7, 0), "<u8", padded, strides=(1,))
-    short = x
+    short = half = x
     while depth * 2 <= size:
-        x = refine(x[: max(len(x) - depth, 0)], x[depth:])
+        half, x = x, refine(x[: max(len(x) - depth, 0)], x[depth:])
         depth *= 2
         if depth == gram:
             short = x
-    n = max(len(data) - size + 1, 0)
-    return short, refine(x[:n], x[size - depth : size - depth + n])
+    core = core_length(size)
+    if depth > core:
+        x, depth = half, depth // 2
+    return short, _combine(x, depth, core), _combine(x, depth, size)
+
+
+def core_length(size: int) -> int:
+    """Bytes that all strings of a cell have in common."""
+    return size - cell_strings(size) + 1
+
+
+def cell_strings(size: int) -> int:
+    """Strings of a cell; fewer where strings are short."""
+    return min(CELL, size // 4)
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -112,7 +139,7 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors_of(data: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, first string, further strings, anchor bucket, stretch bucket) of each anchor, chunk by chunk."""
+    """(row, first string, anchor's offset from it, further strings, anchor bucket, stretch bucket), chunk by chunk."""
     gram = gram_length(size)
     mask = np.uint64((1 << CHUNK_BITS) - 1)
     for chunk in parts_of(np.diff(bounds), size):
@@ -120,7 +147,7 @@ def anchors_of(data: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[tupl
         spans = [data[bounds[r] + f : bounds[r] + f + n + size - 1] for r, f, n in chunk]
         text = np.concatenate(spans)
         begins = np.cumsum([0, *(len(s) for s in spans[:-1])])
-        short, full = buckets(text, size)
+        short, _, full = buckets(text, size)
         # The place in the low bits breaks ties to the left and tells the anchor.
         place = np.arange(len(short), dtype=np.uint64)
         least = sliding_minimum((short & ~mask) | place, size - gram + 1)
@@ -131,8 +158,21 @@ def anchors_of(data: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[tupl
         starts = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))))
         ends = np.append(starts[1:], len(at)) - 1
         a, b, p = at[starts], at[ends], anchor[starts]
-        stretch = refine(full[a], full[b] + (b - a).astype(np.uint64) * _B + (p - a).astype(np.uint64))
-        yield rows[part[starts]], firsts[part[starts]] + inside[starts], b - a, short[p], stretch
+        yield rows[part[starts]], firsts[part[starts]] + inside[starts], p - a, b - a, short[p], cover(full, a, b, p)
+
+
+def cover(full: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Identifier of the text that the strings from ``a`` to ``b`` cover, and of the anchor's place in it."""
+    return refine(full[a], full[b] + (b - a).astype(np.uint64) * _B + (p - a).astype(np.uint64))
+
+
+def pack_span(first: np.ndarray, offset: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """One number for a first string, the anchor's offset from it and the number of further strings."""
+    return (first << 18) | (offset << 9) | more
+
+
+def unpack_span(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return span >> 18, (span >> 9) & 511, span & 511
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -143,35 +183,78 @@ def _scan(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for row, first, more, anchor, stretch in anchors_of(*string_bytes(batch.column(1)), size):
-                span = (first << 9) + more
+            for row, first, offset, more, anchor, stretch in anchors_of(*string_bytes(batch.column(1)), size):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row]), pa.array(span), _signed(anchor), _signed(stretch)], names=["row", "span", "anchor", "stretch"]
+                    [pa.array(ids[row]), pa.array(pack_span(first, offset, more)), _signed(anchor), _signed(stretch)],
+                    names=["row", "span", "bucket", "name"],
+                )
+
+    return run
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=PACK_LEVEL).compress
+    for batch in batches:
+        data, bounds = string_bytes(batch.column("text"))
+        packed = pa.array([pack(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=[*batch.schema.names[:-1], "packed"])
+
+
+def _unpacked(column: pa.Array) -> Iterator[np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for packed in column:
+        yield np.frombuffer(unpack(packed.as_buffer()), np.uint8)
+
+
+def _cells(size: int):
+    """The cells of the stretches that a text was asked for: their core's bucket and the name of all they cover."""
+    width = cell_strings(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, asked = batch.column("row").to_numpy(), batch.column("asked")
+            for k, text in enumerate(_unpacked(batch.column("packed"))):
+                spans = np.array([a["span"] for a in asked[k].as_py()], np.int64)
+                anchors = np.array([a["bucket"] for a in asked[k].as_py()], np.int64).view(np.uint64)
+                out = []
+                for first, offset, more, anchor in zip(*unpack_span(spans), anchors, strict=True):
+                    _, core, full = buckets(text[first : first + more + size], size)
+                    # Cells by the distance to the anchor: the same for all stretches of a bucket.
+                    cell = np.arange((offset - more) // width, offset // width + 1)
+                    a = np.maximum(offset - (cell + 1) * width + 1, 0)
+                    b = np.minimum(offset - cell * width, more)
+                    # The core starts with the cell's last string and ends inside the stretch, whether or not that has the string.
+                    own = core[offset - cell * width]
+                    name = cover(full, a, b, np.full(len(a), offset))
+                    bucket = refine(own, anchor + cell.astype(np.uint64))
+                    out.append((pack_span(first + a, offset - a, b - a), np.full(len(a), anchor), bucket, name))
+                span, anchor, bucket, name = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(span), ids[k])), pa.array(span), _signed(anchor), _signed(bucket), _signed(name)],
+                    names=["row", "span", "anchor", "bucket", "name"],
                 )
 
     return run
 
 
 def _strings(size: int):
-    """Full-depth buckets of the strings in the spans that a text was asked for."""
+    """Every string of the cells that a text was asked for, with its bucket at full depth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("row").to_numpy()
-            data, bounds = string_bytes(batch.column("body").field("text"))
-            for k, asked in enumerate(batch.column("asked")):
-                own = data[bounds[k] : bounds[k + 1]]
-                out_at, out_anchor, out_full = [], [], []
-                for span in asked.as_py():
-                    first, more = span["span"] >> 9, span["span"] & 511
-                    _, full = buckets(own[first : first + more + size], size)
-                    out_at.append(np.arange(first, first + more + 1))
-                    out_anchor.append(np.full(more + 1, span["anchor"]))
-                    out_full.append(full)
-                at = np.concatenate(out_at)
+            ids, asked = batch.column("row").to_numpy(), batch.column("asked")
+            for k, text in enumerate(_unpacked(batch.column("packed"))):
+                spans = np.array([a["span"] for a in asked[k].as_py()], np.int64)
+                anchors = np.array([a["anchor"] for a in asked[k].as_py()], np.int64)
+                at, anchor, name = [], [], []
+                for first, _, more, own in zip(*unpack_span(spans), anchors, strict=True):
+                    at.append(np.arange(first, first + more + 1))
+                    anchor.append(np.full(more + 1, own))
+                    name.append(buckets(text[first : first + more + size], size)[2])
+                at = np.concatenate(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), ids[k])), pa.array(at << 9), pa.array(np.concatenate(out_anchor)), _signed(np.concatenate(out_full))],
-                    names=["row", "span", "anchor", "full"],
+                    [pa.array(np.full(len(at), ids[k])), pa.array(pack_span(at, 0, 0)), pa.array(np.concatenate(anchor)), _signed(np.concatenate(name))],
+                    names=["row", "span", "bucket", "name"],
                 )
 
     return run
@@ -180,7 +263,8 @@ def _strings(size: int):
 def merged(spans: np.ndarray, size: int) -> np.ndarray:
     """int64[k, 2]: maximal removed runs (start, end) of packed spans."""
     spans = np.sort(spans)
-    start, end = spans >> 9, (spans >> 9) + (spans & 511) + size
+    start, _, more = unpack_span(spans)
+    end = start + more + size
     reach = np.maximum.accumulate(end)
     new = np.concatenate(([True], start[1:] > reach[:-1]))
     firsts = np.flatnonzero(new)
@@ -190,11 +274,8 @@ def merged(spans: np.ndarray, size: int) -> np.ndarray:
 def _removed(size: int, key: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body = batch.column("body")
-            data, bounds = string_bytes(body.field("text"))
             n_bytes, n_removed, n_spans, digests, kept_texts = [], [], [], [], []
-            for k, spans in enumerate(batch.column("spans")):
-                own = data[bounds[k] : bounds[k + 1]]
+            for own, spans in zip(_unpacked(batch.column("packed")), batch.column("spans"), strict=True):
                 runs = merged(np.array(spans.as_py(), np.int64), size) if spans.is_valid and len(spans) else np.zeros((0, 2), np.int64)
                 cuts = np.concatenate(([0], runs.ravel(), [len(own)]))
                 kept = b"".join(own[a:b].tobytes() for a, b in zip(cuts[::2], cuts[1::2], strict=True))
@@ -202,8 +283,8 @@ def _removed(size: int, key: str, with_text: bool):
                 n_removed.append(len(own) - len(kept))
                 n_spans.append(len(runs))
                 digests.append(hashlib.sha256(kept).hexdigest())
-                kept_texts.append(kept)
-            columns = [body.field("key"), *(pa.array(c, pa.int64()) for c in (n_bytes, n_removed, n_spans)), pa.array(digests, pa.string())]
+                kept_texts.append(kept if with_text else None)
+            columns = [batch.column("key"), *(pa.array(c, pa.int64()) for c in (n_bytes, n_removed, n_spans)), pa.array(digests, pa.string())]
             names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
                 columns.append(pa.array(kept_texts, pa.binary()))
@@ -213,6 +294,23 @@ def _removed(size: int, key: str, with_text: bool):
     return run
 
 
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans whose strings repeat, one span of each name in the buckets that hold several names).
+
+    ``rows`` has (row, span, bucket, name, ...).  A bucket of one row is settled; so
+    is one of a single name, and a name that several rows have.
+    """
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("least"), F.max("name").alias("most"))
+    shared = shared.where(F.col("n") > 1).select("bucket", (F.col("least") != F.col("most")).alias("mixed"))
+    met = durable(rows.join(shared, "bucket"))
+    mixed = met.where("mixed").drop("mixed")
+    first = F.min(F.struct("row", "span", *[c for c in rows.columns if c not in ("row", "span", "bucket", "name")])).alias("one")
+    kinds = durable(mixed.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n"), first))
+    equal = mixed.join(kinds.where(F.col("n") > 1).select("bucket", "name"), ["bucket", "name"], "left_semi")
+    settled = met.where(~F.col("mixed")).select("row", "span").unionAll(equal.select("row", "span"))
+    return settled, kinds.select("one.*", "bucket")
+
+
 def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, with_text: bool = False) -> DataFrame:
     """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining bytes).
 
@@ -220,34 +318,32 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     other place of the same or another document; strings never cross documents and
     are judged on the input alone.  Null texts are empty.  Repeated rows are other
     documents; keys may repeat or be null.  Other columns are ignored.  ``size`` is
-    16 to 500.
+    24 to 500.  ``documents`` has to give the same rows in the same order when it
+    is read again, as stored tables do.
     """
-    if not 16 <= size <= 500:
-        raise ValueError(f"size {size} is not in 16..500")
+    if not 24 <= size <= 500:
+        raise ValueError(f"size {size} is not in 24..500")
     rows = documents.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     )
-    anchors = rows.select("row", "text").mapInArrow(_scan(size), "row long, span long, anchor long, stretch long")
-    shared = anchors.groupBy("anchor").agg(
-        F.count(F.lit(1)).alias("n"), F.min("stretch").alias("least"), F.max("stretch").alias("most")
-    ).where(F.col("n") > 1)
-    met = anchors.join(shared.select("anchor", (F.col("least") != F.col("most")).alias("mixed")), "anchor")
-    met = durable(met.select("row", "span", "anchor", "stretch", "mixed"))
-    mixed = met.where("mixed")
-    kinds = durable(mixed.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "span")).alias("one")))
-    equal = mixed.join(kinds.where(F.col("n") > 1).select("anchor", "stretch"), ["anchor", "stretch"], "left_semi")
-    asked = kinds.select("one.row", F.struct("one.span", "anchor").alias("asked")).groupBy("row").agg(F.collect_list("asked").alias("asked"))
-    # The same exchange of the texts serves both joins below.
-    texts = rows.select("row", F.struct("key", "text").alias("body")).repartition("row")
-    strings = texts.join(asked, "row").select("row", "body", "asked").mapInArrow(_strings(size), "row long, span long, anchor long, full long")
-    twice = strings.groupBy("anchor", "full").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("anchor", "full")
-    found = strings.join(twice, ["anchor", "full"], "left_semi")
-    settled = met.where(~F.col("mixed")).select("row", "span")
-    spans = settled.unionAll(equal.select("row", "span")).unionAll(found.select("row", "span"))
-    by_text = spans.groupBy("row").agg(F.collect_list("span").alias("spans"))
     kind = documents.select(key).schema[0].dataType.simpleString()
+    texts = rows.mapInArrow(_pack, f"row long, key {kind}, packed binary")
+
+    def read_again(asked: DataFrame, what: str, kernel, schema: str) -> DataFrame:
+        by_text = asked.select("row", F.struct("span", what).alias("asked")).groupBy("row").agg(F.collect_list("asked").alias("asked"))
+        return texts.join(by_text, "row").select("row", "packed", "asked").mapInArrow(kernel(size), schema)
+
+    stretches = rows.select("row", "text").mapInArrow(_scan(size), "row long, span long, bucket long, name long")
+    in_stretches, asked = _split(stretches)
+    cells = durable(read_again(asked, "bucket", _cells, "row long, span long, anchor long, bucket long, name long"))
+    in_cells, asked = _split(cells)
+    strings = durable(read_again(asked, "anchor", _strings, "row long, span long, bucket long, name long"))
+    twice = strings.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    found = strings.join(twice, ["bucket", "name"], "left_semi")
+    spans = in_stretches.unionAll(in_cells).unionAll(found.select("row", "span"))
+    by_text = spans.groupBy("row").agg(F.collect_list("span").alias("spans"))
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return texts.join(by_text, "row", "left").select("body", "spans").mapInArrow(_removed(size, key, with_text), schema)
+    return texts.join(by_text, "row", "left").select("key", "packed", "spans").mapInArrow(_removed(size, key, with_text), schema)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
