@@ -223,7 +223,8 @@ def solve(matrix: DataFrame, excitation: DataFrame) -> DataFrame:
         return pd.DataFrame({"study": key[0], "dof": dof, "voltage": volts, "source_current": source})
 
     kind = matrix.schema["study"].dataType.simpleString()
-    solved = matrix.select("study", "row", "col", "val").groupBy("study").cogroup(excitation.select("study", "dof", "voltage", "current").groupBy("study")).applyInPandas(
+    given = excitation.select(F.col("study").alias("of_study"), F.col("dof").alias("at"), "voltage", "current").toDF("of_study", "dof", "voltage", "current")
+    solved = matrix.select("study", "row", "col", "val").groupBy("study").cogroup(given.groupBy("of_study")).applyInPandas(
         run, f"study {kind}, dof long, voltage double, source_current double"
     )
     return solved.select("study", "dof", F.nanvl("voltage", F.lit(None)).alias("voltage"), F.nanvl("source_current", F.lit(None)).alias("source_current"))

@@ -113,9 +113,11 @@ def grid_mesh(rects: DataFrame, size: float, lines: DataFrame | None = None) ->
     nodes = corners.select("study", "layer", F.explode(points).alias("p")).select("study", "layer", "p.*").distinct()
     # Diagonals alternate, so that the mesh has no preferred direction.
     flip = F.pmod(F.col("a"), F.lit(2)) == 0
-    halves = F.when(flip, F.array(F.struct(F.col("a").alias("n0"), F.col("b").alias("n1"), F.col("c").alias("n2")), F.struct("a", "c", "d"))).otherwise(
-        F.array(F.struct(F.col("a").alias("n0"), F.col("b").alias("n1"), F.col("d").alias("n2")), F.struct("b", "c", "d"))
-    )
+
+    def half(*corner: str):
+        return F.struct(*[F.col(c).alias(f"n{k}") for k, c in enumerate(corner)])
+
+    halves = F.when(flip, F.array(half("a", "b", "c"), half("a", "c", "d"))).otherwise(F.array(half("a", "b", "d"), half("b", "c", "d")))
     triangles = corners.select("study", "layer", F.col("a"), F.posexplode(halves).alias("h", "t")).select("study", "layer", (F.col("a") * 2 + F.col("h")).alias("tri"), "t.n0", "t.n1", "t.n2")
     return nodes, triangles
 

@@ -679,3 +679,31 @@ def verification_compare(spark, d):
     items = table(spark, d, "lineitem")
     one, two = (items.where(F.col("l_linenumber") % 2 == k).groupBy(F.col("l_returnflag").alias("quantity")).agg(F.sum(AREA).cast("double").alias("value")) for k in (0, 1))
     return mesh.compare_runs(one, two, 0.01)
+
+
+# ------------------------------------------------------------------ generated boards
+@query("fem_straight_trace", "SELECT 'straight_trace' AS study, CAST(round(20e-3 / (5.8001e7 * 1e-3 * 35e-6) * 1e9) AS BIGINT) AS nano_ohm")
+def fem_straight_trace(spark, d):
+    """Resistance of a straight trace by mesh, assembly and solution; the check is L / (sigma w t)."""
+    from ohmgrid.plans import boards, simulate
+
+    found = simulate.solve(spark, boards.straight_trace(), 0.5e-3).resistance()
+    return found.select("study", F.round(F.col("resistance_ohm") * 1e9).cast("long").alias("nano_ohm"))
+
+
+@query("conservation_report", "SELECT 'ok' AS severity, CAST(1000 AS BIGINT) AS source_ma, CAST(1000 AS BIGINT) AS load_ma, true AS balanced")
+def conservation_report(spark, d):
+    """Current and power balance of a via stack under one ampere."""
+    from ohmgrid.plans import boards, simulate
+
+    c = simulate.solve(spark, boards.via_stack(3), 1e-3).conservation()
+    balanced = (F.col("imbalance_fraction") < 1e-9) & (F.col("power_mismatch_fraction") < 1e-8)
+    return c.select("severity", F.round(F.col("source_a") * 1000).cast("long").alias("source_ma"), F.round(F.col("load_a") * 1000).cast("long").alias("load_ma"), balanced.alias("balanced"))
+
+
+@query("adaptive_history")
+def adaptive_history(spark, d):
+    """Passes of an adaptive run on two planes and a neck."""
+    from ohmgrid.plans import boards, simulate
+
+    return simulate.adapt(spark, boards.plane_neck_plane(), 1e-3, passes=3)
