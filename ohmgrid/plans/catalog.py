@@ -37,13 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def long(c):
-    return (F.col(c) if isinstance(c, str) else c).cast("long")
+def cents():
+    return F.round(F.col("l_extendedprice") * 100).cast("long")
 
 
-CENTS = F.round(F.col("l_extendedprice") * 100).cast("long")
-AREA = F.col("l_quantity").cast("long")
-ERROR = F.round(F.col("l_discount") * 100).cast("long")
+def area():
+    return F.col("l_quantity").cast("long")
+
+
+def hundredths():
+    return F.round(F.col("l_discount") * 100).cast("long")
 
 
 # ------------------------------------------------------------------ aggregates
@@ -56,7 +59,7 @@ ERROR = F.round(F.col("l_discount") * 100).cast("long")
     SELECT layer, min(field) AS p99 FROM r WHERE reached * 100 >= total * 99 GROUP BY layer""")
 def layer_p99_weighted(spark, d):
     elements = table(spark, d, "lineitem").withColumn("layer", F.col("l_linenumber"))
-    return weighted.weighted_quantiles(elements, ["layer"], "l_extendedprice", AREA, {"p99": (99, 100)})
+    return weighted.weighted_quantiles(elements, ["layer"], "l_extendedprice", area(), {"p99": (99, 100)})
 
 
 @query("layer_weighted_mean_peak", """
@@ -67,7 +70,7 @@ def layer_p99_weighted(spark, d):
     FROM lineitem GROUP BY 1""")
 def layer_weighted_mean_peak(spark, d):
     elements = table(spark, d, "lineitem").withColumn("layer", F.col("l_linenumber"))
-    return weighted.weighted_mean_peak(elements, ["layer"], CENTS, AREA)
+    return weighted.weighted_mean_peak(elements, ["layer"], cents(), area())
 
 
 @query("net_summary", """
@@ -81,7 +84,7 @@ def layer_weighted_mean_peak(spark, d):
     FROM customer LEFT JOIN regions r ON r.k = c_custkey LEFT JOIN vias v ON v.k = c_custkey""")
 def net_summary(spark, d):
     """Facts are aggregated before they meet the nets, so no join multiplies another's rows."""
-    items = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("layer")).agg(F.count(F.lit(1)).alias("n"), F.sum(AREA).alias("area"))
+    items = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("layer")).agg(F.count(F.lit(1)).alias("n"), F.sum(area()).alias("area"))
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("net_id"))
     regions = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("net_id").agg(
         F.array_join(F.array_sort(F.collect_set(F.col("layer").cast("string"))), ",").alias("layers"), F.sum("n").alias("region_count"), F.sum("area").alias("area")
@@ -114,7 +117,7 @@ def via_groups(spark, d):
     FROM nation LEFT JOIN own ON own.layer = n_nationkey LEFT JOIN spans s ON n_nationkey BETWEEN s.lo AND s.hi GROUP BY 1""")
 def layer_stats(spark, d):
     items = table(spark, d, "lineitem")
-    own = items.groupBy(F.col("l_linenumber").alias("layer")).agg(F.count(F.lit(1)).alias("features"), F.countDistinct("l_suppkey").alias("nets"), F.sum(AREA).alias("area"))
+    own = items.groupBy(F.col("l_linenumber").alias("layer")).agg(F.count(F.lit(1)).alias("features"), F.countDistinct("l_suppkey").alias("nets"), F.sum(area()).alias("area"))
     vias = spatial.covering_counts(items, F.col("l_linenumber").cast("long"), F.col("l_suppkey") % 25).select(F.col("idx").alias("layer"), F.col("n").alias("vias"))
     layers = table(spark, d, "nation").select(F.col("n_nationkey").alias("layer"))
     full = layers.join(own, "layer", "left").join(vias, "layer", "left")
@@ -162,7 +165,7 @@ def wide_histogram_48(spark, d):
     SELECT layer, min(field) AS low, max(field) AS peak, min(field) FILTER (WHERE reached * 1000 >= total * 995) AS high FROM r GROUP BY layer""")
 def auto_range_clip_p995(spark, d):
     elements = table(spark, d, "lineitem").withColumn("layer", F.col("l_linenumber"))
-    return weighted.auto_range(elements, ["layer"], "l_extendedprice", AREA)
+    return weighted.auto_range(elements, ["layer"], "l_extendedprice", area())
 
 
 @query("per_net_result", """
@@ -171,7 +174,7 @@ def auto_range_clip_p995(spark, d):
            CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS loss
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
 def per_net_result(spark, d):
-    part = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max(CENTS).alias("hi"), F.min(CENTS).alias("lo"), F.sum(AREA).alias("w"))
+    part = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max(cents()).alias("hi"), F.min(cents()).alias("lo"), F.sum(area()).alias("w"))
     met = part.join(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("net_id")), F.col("l_orderkey") == F.col("o_orderkey"))
     return met.groupBy("net_id").agg(F.max("hi").alias("max_v"), F.min("lo").alias("min_v"), (F.max("hi") - F.min("lo")).alias("drop_v"), F.sum("w").alias("loss"))
 
@@ -181,7 +184,7 @@ def per_net_result(spark, d):
 def assemble_coo(spark, d):
     from ohmgrid.operators import fem
 
-    entries = table(spark, d, "lineitem").select(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"), AREA.alias("val"))
+    entries = table(spark, d, "lineitem").select(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"), area().alias("val"))
     return fem.assemble(entries)
 
 
@@ -210,7 +213,7 @@ def loglog_slope(spark, d):
            count(*) FILTER (WHERE l_quantity < 5) AS slivers FROM r GROUP BY layer""")
 def mesh_quality(spark, d):
     """The interpolated 5th percentile is given times 20, so that it stays an integer."""
-    cells = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("layer"), CENTS.alias("v"), "l_quantity")
+    cells = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("layer"), cents().alias("v"), "l_quantity")
     low = weighted.twentieth(cells, ["layer"], "v")
     plain = cells.groupBy("layer").agg(F.min("v").alias("least"), F.count_if(F.col("l_quantity") < 5).alias("slivers"))
     return plain.join(low, "layer").select("layer", "least", "p05_x20", "slivers")
@@ -225,7 +228,7 @@ def mesh_quality(spark, d):
     SELECT layer, total, count(*) AS n_marked, min(err) AS threshold, count(*) FILTER (WHERE err = (SELECT min(err) FROM m AS o WHERE o.layer = m.layer)) AS n_at_threshold
     FROM m GROUP BY layer, total""")
 def doerfler_marking(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("layer"), ERROR.alias("err"))
+    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("layer"), hundredths().alias("err"))
     return ordered.doerfler(rows, ["layer"], "err", (7, 10))
 
 
@@ -474,7 +477,7 @@ def point_in_ring(spark, d):
     q AS (SELECT p.*, t.x AS tx, t.y AS ty FROM p JOIN p t ON t.l_orderkey = p.l_orderkey AND t.k = p.k % p.n + 1)
     SELECT l_orderkey, CAST(abs(sum(x * ty - tx * y)) AS BIGINT) AS area2, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM q WHERE n >= 3 GROUP BY 1""")
 def ring_area_bbox(spark, d):
-    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", AREA.alias("x"), CENTS.alias("y"))
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", area().alias("x"), cents().alias("y"))
     rings = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(order)).alias("p")).where(F.size("p") >= 3)
     turned = F.concat(F.slice("p", F.lit(2), F.size("p") - 1), F.slice("p", 1, 1))
     terms = F.zip_with("p", turned, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
@@ -552,7 +555,7 @@ def content_digest(spark, d):
 def analysis_signature(spark, d):
     """Order-insensitive digest of a group's members and load."""
     members = F.array_join(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))), ",")
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sha2(F.concat(members, F.lit("|"), F.sum(AREA).cast("string")), 256).alias("signature"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sha2(F.concat(members, F.lit("|"), F.sum(area()).cast("string")), 256).alias("signature"))
 
 
 @query("spec_upgrade", "SELECT event_id, coalesce(json_extract_string(props, '$.page'), json_extract_string(props, '$.k'), '') AS first_id, CASE WHEN json_extract_string(props, '$.page') IS NULL AND json_extract_string(props, '$.k') IS NULL THEN 0 ELSE 1 END AS n FROM events")
@@ -677,7 +680,7 @@ def verification_compare(spark, d):
     from ohmgrid.operators import mesh
 
     items = table(spark, d, "lineitem")
-    one, two = (items.where(F.col("l_linenumber") % 2 == k).groupBy(F.col("l_returnflag").alias("quantity")).agg(F.sum(AREA).cast("double").alias("value")) for k in (0, 1))
+    one, two = (items.where(F.col("l_linenumber") % 2 == k).groupBy(F.col("l_returnflag").alias("quantity")).agg(F.sum(area()).cast("double").alias("value")) for k in (0, 1))
     return mesh.compare_runs(one, two, 0.01)
 
 
