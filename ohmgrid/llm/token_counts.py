@@ -32,7 +32,7 @@ def section_bounds(raw: np.ndarray, separator: int = 0x0A) -> np.ndarray:
 
 def attribute(ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(section of each token, whether it crosses a boundary) for sorted token ends and section bounds in bytes."""
-    starts = np.concatenate(([0], ends[:-1]))
+    starts = np.concatenate(([0], ends))[:-1]
     first = np.searchsorted(bounds, starts, "right") - 1
     last = np.searchsorted(bounds, ends, "left") - 1
     section = first.copy()
