@@ -29,7 +29,7 @@ from ohmgrid.llm.common import durable
 
 CAPACITY = 1024
 END = 2
-#: Exchanges tried after the best-fit start; it bounds time on the driver, not data.
+#: Exchanges, and emptiest bins tried, after the best-fit start; it bounds time on the driver, not data.
 MAX_MOVES = 1_500
 
 PIECES = "piece int, start long, length long, ids_crc32 long, task int, rank long"
@@ -135,12 +135,16 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
 def _exchange(bins: Bins, donor: Pattern, give: tuple[int, ...]) -> tuple[int, Pattern, tuple[int, ...]] | None:
     """What a bin can take ``give`` for: (its free space, its contents, what it gives back), the least given back first.
 
-    The donor's own bin is not in ``bins``.  Only exchanges that leave the donor
-    emptier are found; the taker is at least as full, so squared fill grows.
+    The donor's own bin is not in ``bins``.  Squared fill grows if the taker ends
+    up fuller than the donor was.
     """
-    size = sum(give)
+    size, full = sum(give), sum(donor)
+
+    def grows(free: int, gain: int) -> bool:
+        return bins.capacity - free + gain > full
+
     room = bins.tightest(size)
-    if room is not None:
+    if room is not None and grows(room, size):
         return room, min(bins.open[room]), ()
     free = np.array(sorted(bins.open), dtype=np.int64)
     if not len(free):
@@ -149,30 +153,31 @@ def _exchange(bins: Bins, donor: Pattern, give: tuple[int, ...]) -> tuple[int, P
     most = np.where(held > 0, free[:, None], 0).max(axis=0)
     s = np.arange(len(most))
     fits = np.flatnonzero((s < size) & (s > 0) & (size - s <= most))
-    if len(fits):
-        back = int(fits[0])
-        exact = [f for f in free if f >= size - back and bins.holds[f, back]]
-        return int(exact[0]), bins.holding(int(exact[0]), back), (back,)
+    for back in map(int, fits[:8]):
+        tight = int(next(f for f in free if f >= size - back and bins.holds[f, back]))
+        if grows(tight, size - back):
+            return tight, bins.holding(tight, back), (back,)
     if len(give) == 1:  # one for two
         for f in free[::-1]:
             for pattern in bins.open[int(f)]:
                 for i, a in enumerate(pattern):
                     for b in pattern[i + 1 :]:
-                        if size - f <= a + b < size:
+                        if size - f <= a + b < size and grows(int(f), size - a - b):
                             return int(f), pattern, (a, b)
     return None
 
 
 def improve(bins: Bins, floor: int, max_moves: int = MAX_MOVES) -> Bins:
-    """Empties the emptiest bins by moves and exchanges; stops at ``floor`` bins, or when the emptiest can give nothing."""
+    """Empties the emptiest bins by moves and exchanges; stops at ``floor`` bins, or when none of the emptiest can give anything."""
     stuck: set[Pattern] = set()
-    moves = 0
+    moves = tries = 0
 
     def total() -> int:
         return sum(bins.full.values()) + sum(sum(c.values()) for c in bins.open.values())
 
     n = total()
-    while n > floor and moves < max_moves:
+    while n > floor and moves < max_moves and tries < max_moves:
+        tries += 1
         choices = [(f, p) for f in sorted(bins.open, reverse=True)[:64] for p in sorted(bins.open[f]) if p not in stuck]
         if not choices:
             break
@@ -195,11 +200,10 @@ def improve(bins: Bins, floor: int, max_moves: int = MAX_MOVES) -> Bins:
             moves += 1
         if donor:
             bins.add(donor, 1)
-            stuck.add(donor)
-            if donor != start:
-                stuck.discard(start)
+            stuck = {*stuck, donor} if donor == start else {donor}
         else:
             n -= 1
+            stuck = set()
     return bins
 
 
