@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Labelled texts per class that the model is fitted on at most, and their greatest length.
-TOXIC_TEXTS, ORDINARY_TEXTS, LONGEST = 2_000, 4_000, 100_000
+TOXIC_TEXTS, ORDINARY_TEXTS, LONGEST = 2_000, 3_000, 50_000
 #: One fold in this many, by the CRC-32 of the id's text, is never learned from.
 FOLDS = 5
 LEVEL = 12
@@ -112,6 +112,16 @@ def _compressor(content: bytes):
     return zstandard.ZstdCompressor(compression_params=how, dict_data=plain).compress
 
 
+def _percentile(counts: Counter, percent: float) -> float:
+    """Least value that this share of all counted values does not exceed; 0 without any."""
+    reached, total = 0, sum(counts.values())
+    for value in sorted(counts):
+        reached += counts[value]
+        if reached * 100 >= total * percent:
+            return float(value)
+    return 0.0
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> list[float]:
     """Weights of a ridge-penalised logistic curve, by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -127,9 +137,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> list[float]:
 
 def fit(toxic: list[str], ordinary: list[str]) -> Model:
     """Trains on the given texts; without toxic ones every score is the same low one."""
-    bad, good = [words_of(t) for t in toxic], [words_of(t) for t in ordinary]
+    one: dict[str, str] = {}  # one object for each distinct word
+    bad, good = ([[one.setdefault(w, w) for w in words_of(t)] for t in texts] for texts in (toxic, ordinary))
     in_bad = Counter(f for words in bad for f in fragments_of(words))
-    in_good = Counter(f for words in good for f in fragments_of(words))
+    in_bad = Counter({f: n for f, n in in_bad.items() if n >= FEWEST and len(f) >= 4})
+    in_good = Counter(f for words in good for f in fragments_of(words) if f in in_bad)
 
     def excess(fragment: str) -> float:
         a, b = in_bad[fragment], in_good[fragment]
@@ -137,7 +149,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
         spread = max(share * (1 - share), 1e-9) * (1 / len(bad) + 1 / max(len(good), 1))
         return (a / len(bad) - b / max(len(good), 1)) / math.sqrt(spread)
 
-    rated = {f: excess(f) for f, n in in_bad.items() if n >= FEWEST and len(f) >= 4}
+    rated = {f: excess(f) for f in in_bad}
     chosen = sorted((f for f, z in rated.items() if z > SIGNIFICANT), key=lambda f: (rated[f], f))
     common = Counter(w for words in good for w in set(words))
     known = set(chosen)
@@ -149,10 +161,11 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     model = Model(base + filler + ANCHOR, base + block + ANCHOR, 1.0, [-5.0, 0.0, 0.0, 0.0, 0.0, 0.0])
     if not bad or not good:
         return model
-    usual = [model.gain(w) for words in good for w in words]
-    model.threshold = float(max(1, np.percentile(usual, BELOW))) if usual else 1.0
+    usual = Counter(model.gain(w) for words in good for w in words)
+    model.threshold = max(1.0, _percentile(usual, BELOW))
     x = np.array([model.features(words) for words in bad + good])
     model.weights = _logistic(x, np.concatenate([np.ones(len(bad)), np.zeros(len(good))]))
+    model._gains.clear()
     return model
 
 
