@@ -139,3 +139,44 @@ def quality(triangles: DataFrame, group: list[str]) -> DataFrame:
     area = F.abs((F.col("x1") - F.col("x0")) * (F.col("y2") - F.col("y0")) - (F.col("x2") - F.col("x0")) * (F.col("y1") - F.col("y0"))) / 2
     rated = triangles.withColumns({"__angle": F.least(angle(a, b, c), angle(b, a, c), angle(c, a, b)), "__area": area})
     return rated.groupBy(*group).agg(F.min("__angle").alias("min_angle"), F.percentile("__angle", F.lit(0.05)).alias("p05_angle"), F.count_if(F.col("__angle") < 10).alias("slivers"), F.sum("__area").alias("area"))
+
+
+def hex_lattice(boxes: DataFrame, key: list[str], spacing: float) -> DataFrame:
+    """(key, px, py): a triangular lattice of this spacing over each box (x0, y0, x1, y1), every other row shifted by half."""
+    height = spacing * math.sqrt(3) / 2
+    rows = boxes.withColumn("__j", F.explode(F.sequence(F.lit(0), F.floor((F.col("y1") - F.col("y0")) / height).cast("int"))))
+    both = rows.withColumn("__i", F.explode(F.sequence(F.lit(0), F.floor((F.col("x1") - F.col("x0")) / spacing).cast("int"))))
+    px = F.col("x0") + spacing * (F.col("__i") + F.when(F.col("__j") % 2 == 1, 0.5).otherwise(0.0))
+    return both.select(*key, px.alias("px"), (F.col("y0") + height * F.col("__j")).alias("py"), F.col("x1").alias("__end")).where(F.col("px") <= F.col("__end")).drop("__end")
+
+
+def merge_points(kept: DataFrame, generated: DataFrame, key: list[str], reach: float) -> DataFrame:
+    """``kept`` (key, px, py) and those of ``generated`` that no kept point is nearer to than ``reach``: a bucketed anti-join."""
+    from ohmgrid.operators.spatial import cell
+
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    near = kept.select(*key, F.col("px").alias("kx"), F.col("py").alias("ky"), F.explode(around).alias("d"))
+    near = near.select(*key, "kx", "ky", (cell(F.col("kx"), reach) + F.col("d.i")).alias("cx"), (cell(F.col("ky"), reach) + F.col("d.j")).alias("cy"))
+    own = generated.withColumns({"cx": cell(F.col("px"), reach), "cy": cell(F.col("py"), reach)})
+    free = own.alias("g").join(
+        near.alias("n"), [F.col(f"g.{c}").eqNullSafe(F.col(f"n.{c}")) for c in [*key, "cx", "cy"]] + [F.hypot(F.col("px") - F.col("kx"), F.col("py") - F.col("ky")) < reach], "left_anti"
+    )
+    return kept.select(*key, "px", "py").unionByName(free.select(*[f"g.{c}" for c in key], "px", "py"))
+
+
+def ring_walk(rings: DataFrame, ring: list[str], order: str, corner_deg: float = 15.0) -> DataFrame:
+    """(ring, order, x, y, position, corner): arc length up to each vertex, and whether the ring turns there by the angle or more."""
+    n = F.count(F.lit(1)).over(W.partitionBy(*ring))
+    along = W.partitionBy(*ring).orderBy(order)
+    whole = along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    first = lambda c: F.first(c).over(whole)
+    last = lambda c: F.last(c).over(whole)
+    ends = rings.withColumns({
+        "__bx": F.coalesce(F.lag("x").over(along), last("x")), "__by": F.coalesce(F.lag("y").over(along), last("y")),
+        "__ax": F.coalesce(F.lead("x").over(along), first("x")), "__ay": F.coalesce(F.lead("y").over(along), first("y")), "__first": F.row_number().over(along) == 1, "__n": n,
+    })
+    step = F.when(F.col("__first"), 0.0).otherwise(F.hypot(F.col("x") - F.col("__bx"), F.col("y") - F.col("__by")))
+    turn = F.atan2(F.col("__ay") - F.col("y"), F.col("__ax") - F.col("x")) - F.atan2(F.col("y") - F.col("__by"), F.col("x") - F.col("__bx"))
+    folded = F.abs(F.pmod(turn + math.pi, F.lit(2 * math.pi)) - math.pi)
+    walked = ends.withColumns({"__step": step, "corner": folded >= math.radians(corner_deg) - 1e-12})
+    return walked.select(*ring, order, "x", "y", F.sum("__step").over(along.rowsBetween(W.unboundedPreceding, 0)).alias("position"), "corner")
