@@ -15,28 +15,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ohmgrid.llm.common import BROADCAST_ROWS, durable
+
 #: Rows of a part; a run has at most two parts.
 BLOCK = 2048
 
 
-def runs(rows: DataFrame, keys: list[str], spread: str, block: int = BLOCK) -> DataFrame:
-    """``rows`` with ``run`` and ``side``: the runs that each row takes part in; buckets of one row are left out.
+def runs(rows: DataFrame, bucket: str, spread: str, block: int = BLOCK) -> DataFrame:
+    """``rows`` with ``run`` and ``side`` in place of ``bucket`` (long): the runs that each row takes part in.
 
-    ``spread`` is a column that tells the rows of a bucket apart.
+    Only buckets of more than ``block`` rows are dealt into parts.  There are at
+    most rows / block of them; their table is stored and counted, and broadcast only
+    if it is small.  ``spread`` is a column that tells the rows of a bucket apart.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
-    met = rows.join(sizes, keys)
-    parts = F.ceil(F.col("__n") / F.lit(block)).cast("int")
-    part = F.pmod(F.xxhash64(spread, F.lit(7)), parts).cast("int")
-    dealt = met.withColumn("__parts", parts).withColumn("__part", part)
-    other = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
-    dealt = dealt.withColumn("__other", other)
+    large = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block)
+    large = durable(large.select(bucket, F.ceil(F.col("__n") / F.lit(block)).cast("int").alias("__parts")))
+    met = rows.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, bucket, "left")
+    part = F.coalesce(F.pmod(F.xxhash64(spread, F.lit(7)), F.col("__parts")).cast("int"), F.lit(0))
+    dealt = met.withColumn("__part", part).withColumn("__other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1)))
     low, high = F.least("__part", "__other"), F.greatest("__part", "__other")
-    return dealt.select(
-        *rows.columns,
-        F.xxhash64(*keys, low, high).alias("run"),
-        F.when(F.col("__part") == F.col("__other"), 2).when(F.col("__part") < F.col("__other"), 0).otherwise(1).cast("byte").alias("side"),
-    ).repartition("run").sortWithinPartitions("run")
+    run = F.when(F.col("__parts").isNull(), F.col(bucket)).otherwise(F.xxhash64(bucket, low, high))
+    side = F.when(F.col("__part") == F.col("__other"), 2).when(F.col("__part") < F.col("__other"), 0).otherwise(1)
+    others = [c for c in rows.columns if c != bucket]
+    return dealt.select(*others, run.alias("run"), side.cast("byte").alias("side")).repartition("run").sortWithinPartitions("run")
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], most: int = 65_536) -> Iterator[pa.Table]:

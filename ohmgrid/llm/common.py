@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
-
+from ohmgrid.functions.storage import durable, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, ``spark.checkpoint.dir``; one is made only where none is set, as in tests."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ohmgrid-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+__all__ = ["durable", "lower_ascii", "shared_folder", "without_rows"]
 
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and cut from its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def lower_ascii(text: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ohmgrid.llm import blocks
 from ohmgrid.llm.common import durable
-from ohmgrid.llm.components import connected_components
+from ohmgrid.operators.graph import connected_components
 
 COSINE = 0.93
 #: Chance that a pair just at the threshold shares a code in some table.
@@ -84,7 +84,7 @@ def _compare(signs: int, tables: int, cosine: float):
             for rows in _by_length(lengths):
                 own = table.take(pa.array(rows)) if len(rows) < len(table) else table
                 node, many = own.column("node").to_numpy(), own.column("n").to_numpy()
-                part = own.column("part").to_numpy()
+                part, label = own.column("part").to_numpy(), own.column("label").to_numpy()
                 x = _matrix(own.column("vector"))
                 code = codes(x, signs, tables)
                 # Scaled first, so that neither huge nor tiny components overflow.
@@ -92,8 +92,8 @@ def _compare(signs: int, tables: int, cosine: float):
                 norm = np.sqrt(np.einsum("ij,ij->i", x, x))
                 links, forest = np.zeros(len(node), np.int64), blocks.Forest(len(node))
 
-                def near(i, j, x=x, norm=norm):
-                    return np.einsum("ij,ij->i", x[i], x[j]) / (norm[i] * norm[j]) >= cosine
+                def near(i, j, x=x, norm=norm, label=label):
+                    return (label[i] == label[j]) & (np.einsum("ij,ij->i", x[i], x[j]) / (norm[i] * norm[j]) >= cosine)
 
                 run_ids, side = own.column("run").to_numpy(), own.column("side").to_numpy()
                 for i, j in blocks.pair_steps(run_ids, side, near, most=50_000):
@@ -142,7 +142,8 @@ def near_vectors(
     flat = classes.select("node", "n", F.col("own.label").alias("label"), F.col("own.vector").alias("vector"))
     wide = StructType([*flat.schema.fields, StructField("part", IntegerType()), StructField("code", LongType())])
     keyed = flat.mapInArrow(_keyed(signs, tables), wide)
-    compared = blocks.runs(keyed, ["label", "part", "code"], "node").select("node", "n", "part", "vector", "run", "side")
+    keyed = keyed.select("node", "n", "part", "vector", F.xxhash64("label").alias("label"), F.xxhash64("label", "part", "code").alias("bucket"))
+    compared = blocks.runs(keyed, "bucket", "node")
     found = durable(compared.mapInArrow(_compare(signs, tables, cosine), "u long, v long, links long"))
     counts = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.select("u", "v")).withColumnRenamed("component", "root")

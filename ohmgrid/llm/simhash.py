@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ohmgrid.llm import blocks
 from ohmgrid.llm.common import ASCII_LOWER, ASCII_UPPER, durable, without_rows
-from ohmgrid.llm.components import connected_components
+from ohmgrid.operators.graph import connected_components
 
 BITS = 64
 RADIUS = 3
@@ -196,10 +196,14 @@ def _links(radius: int):
 
 def near_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): links between distinct fingerprints that join exactly those within ``radius`` of each other by some chain."""
-    masks = choose_masks(distinct, radius)
-    each = F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("part", "mask")
-    keyed = distinct.select("fp", each).select("fp", "part", F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
-    return blocks.runs(keyed, ["part", "value"], "fp").select("fp", "run", "side").mapInArrow(_links(radius), "u long, v long")
+    keyed = masked(distinct, choose_masks(distinct, radius))
+    return blocks.runs(keyed, "bucket", "fp").mapInArrow(_links(radius), "u long, v long")
+
+
+def masked(distinct: DataFrame, masks: list[int]) -> DataFrame:
+    """(fp, bucket): each fingerprint under every mask; a bucket is a hash of the mask's number and the bits it leaves."""
+    each = distinct.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("part", "mask"))
+    return each.select("fp", F.xxhash64("part", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -223,9 +227,11 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 LOOSE_RADIUS = 14
 SIMILAR = 0.8
 #: Distance at which a pair should be found with this chance.
-AIM, CHANCE = 10, 0.9
+AIM, CHANCE = 9, 0.9
 #: Smallest shingle hashes that a document keeps to verify by.
-SKETCH = 256
+SKETCH = 128
+#: Random bits of a mask, and the fingerprints that one value of them may have on average before more bits are taken.
+MASK_BITS, PER_VALUE = 18, 64
 
 
 def sampled_masks(n: int, aim: int = AIM, chance: float = CHANCE) -> list[int]:
@@ -236,7 +242,7 @@ def sampled_masks(n: int, aim: int = AIM, chance: float = CHANCE) -> list[int]:
     bits as the table's size asks for, drawn anew and with threshold zero, keep
     candidates in proportion to the rows.
     """
-    bits = min(40, max(10, math.ceil(math.log2(max(n, 2)))))
+    bits = min(40, max(MASK_BITS, math.ceil(math.log2(max(n / PER_VALUE, 2)))))
     meet = math.comb(BITS - aim, bits) / math.comb(BITS, bits)
     rng = np.random.default_rng([SEED, bits])
     tables = math.ceil(math.log(1 - chance) / math.log(1 - meet))
@@ -244,7 +250,7 @@ def sampled_masks(n: int, aim: int = AIM, chance: float = CHANCE) -> list[int]:
 
 
 def sketches(documents: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(key, fp, sketch): fingerprint and the ``SKETCH`` smallest distinct shingle hashes, as bytes."""
+    """(key, fp, sketch): fingerprint and the ``SKETCH`` smallest distinct shingle hashes of 32 bits, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +258,7 @@ def sketches(documents: DataFrame, key: str, text: str, shingle: int) -> DataFra
             for value in batch.column(1):
                 h = shingle_hashes(value.as_py(), shingle)
                 fps.append(_signed(majority(h)))
-                least.append(np.unique(h.astype("<u8"))[:SKETCH].tobytes())
+                least.append(np.unique((h >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(least, pa.binary())], names=[key, "fp", "sketch"])
 
     source = documents.select(key, F.col(text).cast("string"))
@@ -261,7 +267,7 @@ def sketches(documents: DataFrame, key: str, text: str, shingle: int) -> DataFra
 
 def sketch_similarity(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two shingle sets by their smallest hashes; exact for sets that the sketches hold whole."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
     union = np.union1d(x, y)
     if len(x) == SKETCH or len(y) == SKETCH:
         union = union[:SKETCH]
@@ -308,8 +314,10 @@ def _verified(least: float):
     return run
 
 
-def keep_one(documents: DataFrame, text: str = "text", shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
-    """``documents`` with one row, the first, of each group of near duplicates; all columns stay.
+def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
+    """``documents`` with one row of each group of near duplicates, that of the smallest key; all columns stay.
+
+    Equal keys are told apart by the order of the rows, and null keys come last.
 
     Rows with equal fingerprints are one group, and so are fingerprints whose
     shingle sets have a similarity of at least ``similar``, by chains.  Rows
@@ -317,13 +325,11 @@ def keep_one(documents: DataFrame, text: str = "text", shingle: int = 5, similar
     the same rows in the same order when it is read again, as stored tables do.
     """
     numbered = documents.withColumn("__row", F.monotonically_increasing_id())
-    each = durable(sketches(numbered, "__row", text, shingle))
-    classes = durable(each.groupBy("fp").agg(F.min_by("sketch", "__row").alias("sketch"), F.min("__row").alias("first")))
+    named = numbered.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row")).alias("name"), F.col(text).alias("text"))
+    each = durable(sketches(named, "name", "text", shingle))
+    classes = durable(each.groupBy("fp").agg(F.min_by("sketch", "name").alias("sketch"), F.min("name").alias("first")))
     fps = classes.select("fp")
-    masks = sampled_masks(classes.count())
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("part", "mask"))
-    keyed = keyed.select("fp", "part", F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
-    runs = blocks.runs(keyed, ["part", "value"], "fp").select("fp", "run", "side")
+    runs = blocks.runs(masked(fps, sampled_masks(classes.count())), "bucket", "fp")
     pairs = runs.mapInArrow(_partners(LOOSE_RADIUS), "u long, v long").distinct()
     sketch = classes.select("fp", "sketch")
     both = pairs.join(sketch.toDF("u", "a"), "u").join(sketch.toDF("v", "b"), "v").select("u", "v", "a", "b")
@@ -332,7 +338,7 @@ def keep_one(documents: DataFrame, text: str = "text", shingle: int = 5, similar
     rooted = durable(rooted.select("fp", "first", F.coalesce("component", "fp").alias("root")))
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
     group = rooted.join(kept, "root").select("fp", "kept")
-    dropped = each.select("__row", "fp").join(group, "fp").where(F.col("__row") != F.col("kept")).select("__row")
+    dropped = each.select("name", "fp").join(group, "fp").where(F.col("name.row") != F.col("kept.row")).select(F.col("name.row").alias("__row"))
     return without_rows(numbered, dropped).drop("__row")
 
 
