@@ -227,7 +227,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 LOOSE_RADIUS = 14
 SIMILAR = 0.8
 #: Distance at which a pair should be found with this chance.
-AIM, CHANCE = 9, 0.9
+AIM, CHANCE = 9, 0.95
 #: Smallest shingle hashes that a document keeps to verify by.
 SKETCH = 128
 #: Random bits of a mask, and the fingerprints that one value of them may have on average before more bits are taken.
