@@ -230,6 +230,37 @@ def solve(matrix: DataFrame, excitation: DataFrame) -> DataFrame:
     return solved.select("study", "dof", F.nanvl("voltage", F.lit(None)).alias("voltage"), F.nanvl("source_current", F.lit(None)).alias("source_current"))
 
 
+def solve_distributed(matrix: DataFrame, rhs: DataFrame, tolerance: float = 1e-10, most_rounds: int = 2_000) -> DataFrame:
+    """(dof, x) of one symmetric positive definite system too large for a task, by preconditioned conjugate gradients.
+
+    ``matrix`` has (row, col, val) without fixed unknowns, ``rhs`` (dof, b).  Every
+    round is one join of the matrix with the direction, one aggregate and a few
+    scalars; the vectors are cut from their lineage each round in the shared folder.
+    Missing the tolerance is an error.
+    """
+    from ohmgrid.functions.storage import durable
+
+    entries = durable(matrix.select("row", "col", "val").repartition("row"))
+    diagonal = entries.where("row = col").select(F.col("row").alias("dof"), F.col("val").alias("d"))
+    full = diagonal.join(rhs.select("dof", "b"), "dof", "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
+    state = durable(full.select("dof", "d", F.lit(0.0).alias("x"), F.col("b").alias("r"), (F.col("b") / F.col("d")).alias("p")))
+    norms = state.agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rz")).first()
+    scale, rz = norms["rr"] or 0.0, norms["rz"]
+    if not scale:
+        return state.select("dof", "x")
+    for _ in range(most_rounds):
+        product = entries.join(state.select(F.col("dof").alias("col"), "p"), "col").groupBy(F.col("row").alias("dof")).agg(F.sum(F.col("val") * F.col("p")).alias("q"))
+        met = durable(state.join(product, "dof"))
+        step = rz / met.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        moved = met.select("dof", "d", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), "p")
+        norms = moved.agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rz")).first()
+        if norms["rr"] <= tolerance * tolerance * scale:
+            return moved.select("dof", "x")
+        turn, rz = norms["rz"] / rz, norms["rz"]
+        state = durable(moved.withColumn("p", F.col("r") / F.col("d") + turn * F.col("p")))
+    raise NotConverged(f"residual {(norms['rr'] / scale) ** 0.5:.2e} after {most_rounds} rounds")
+
+
 def node_voltages(nodes: DataFrame, merged: DataFrame, solution: DataFrame) -> DataFrame:
     """(study, node, voltage) of all nodes, those of contacts through their unknown."""
     named = nodes.select("study", "node").join(merged.select("study", "node", "dof").distinct(), ["study", "node"], "left")

@@ -182,6 +182,13 @@ def test_iterative_and_direct_agree():
     assert np.abs(direct - iterative).max() < 1e-9
 
 
+def test_distributed_solution(spark):
+    n = 12
+    rows = [(k, k, 2.0) for k in range(n)] + [(k, k + 1, -1.0) for k in range(n - 1)] + [(k + 1, k, -1.0) for k in range(n - 1)]
+    found = fem.solve_distributed(spark.createDataFrame(rows, "row long, col long, val double"), spark.createDataFrame([(n - 1, 1.0)], "dof long, b double"))
+    assert {r["dof"]: pytest.approx(r["x"], abs=1e-8) for r in found.collect()} == {k: (k + 1) / (n + 1) for k in range(n)}
+
+
 def test_adaptive_history(spark):
     rows = simulate.adapt(spark, boards.plane_neck_plane(), 2e-3, passes=2).collect()
     assert [r["index"] for r in rows] == [0, 1] and rows[1]["dof_count"] > rows[0]["dof_count"] and rows[0]["change"] is None
