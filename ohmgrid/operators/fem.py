@@ -106,6 +106,9 @@ def equipotential(contacts: DataFrame) -> DataFrame:
     keyed = contacts.select("study", "contact", "node").distinct()
     hubs = keyed.groupBy("study", "contact").agg(F.min("node").alias("hub"))
     stars = keyed.join(hubs, ["study", "contact"])
+    if keyed.groupBy("study", "node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty():
+        # No node is shared: every contact is an unknown of its own.
+        return stars.select("study", "contact", "node", F.col("hub").alias("dof"))
     one = stars.withColumns({"u": F.xxhash64("study", "node"), "v": F.xxhash64("study", "hub")})
     parts = connected_components(one.select("u", "v"))
     named = one.join(parts.withColumnRenamed("node", "u"), "u", "left").withColumn("part", F.coalesce("component", "u"))
