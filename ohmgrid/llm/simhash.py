@@ -277,14 +277,14 @@ def sketch_similarity(a: bytes, b: bytes) -> float:
 
 
 def _partners(radius: int):
-    """For each row of a run, the nearest row of smaller fingerprint within the radius, and the smallest one."""
+    """For each row of a run, the nearest row of smaller fingerprint within the radius."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks.whole_runs(batches):
             fp = table.column("fp").to_numpy()
             bits = fp.view(np.uint64)
             none = np.iinfo(np.int64).max
-            nearest, smallest = np.full(len(fp), none), np.full(len(fp), none)
+            nearest = np.full(len(fp), none)
             order = np.argsort(np.argsort(fp, kind="stable"), kind="stable")
             back = np.argsort(order)
 
@@ -295,11 +295,8 @@ def _partners(radius: int):
                 low, high = np.where(fp[i] < fp[j], i, j), np.where(fp[i] < fp[j], j, i)
                 apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
                 np.minimum.at(nearest, high, (apart << 40) | order[low])
-                np.minimum.at(smallest, high, order[low])
-            rows = np.flatnonzero(smallest < none)
-            u = np.concatenate((fp[rows], fp[rows]))
-            v = np.concatenate((fp[back[nearest[rows] & ((1 << 40) - 1)]], fp[back[smallest[rows]]]))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            rows = np.flatnonzero(nearest < none)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[rows]), pa.array(fp[back[nearest[rows] & ((1 << 40) - 1)]])], names=["u", "v"])
 
     return run
 
