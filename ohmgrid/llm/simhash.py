@@ -6,6 +6,9 @@ agree within t in at least one partition.  The thresholds are unequal: dynamic
 programming picks those with the fewest estimated probes and candidates, the
 estimates coming from all distinct fingerprints.  Candidates share a masked
 fingerprint and are verified on all 64 bits, in blocks of bounded size.
+
+``keep_one``, the pipeline's stage, asks for a Jaccard similarity of shingle sets
+instead and joins their prefixes, which loses no pair.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmgrid.llm import blocks
-from ohmgrid.llm.common import ASCII_LOWER, ASCII_UPPER, durable, without_rows
+from ohmgrid.llm.common import ASCII_LOWER, ASCII_UPPER, BROADCAST_ROWS, durable, without_rows
 from ohmgrid.operators.graph import connected_components
 
 BITS = 64
@@ -223,119 +226,286 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     return fps.join(rooted.join(ids, "root").select("fp", "component_id"), "fp", "left").select(key, "fp", "component_id")
 
 
-#: Hamming distance up to which pairs of documents are looked at for a similarity of 0.8.
-LOOSE_RADIUS = 14
 SIMILAR = 0.8
-#: Distance at which a pair should be found with this chance.
-AIM, CHANCE = 9, 0.95
-#: Smallest shingle hashes that a document keeps to verify by.
-SKETCH = 128
-#: Random bits of a mask, and the fingerprints that one value of them may have on average before more bits are taken.
-MASK_BITS, PER_VALUE = 18, 64
+#: Documents sampled to find common shingles, the sampled documents that make one common, and how many are held.
+#: They only set the order of shingles: any order gives the same groups.
+SAMPLED, COMMON, MOST_COMMON = 4_000, 4, 50_000
+#: Bits of the parity signature of a shingle set.
+PARITY = 512
+#: Slack of the bounds for rounding; a bound that is too loose costs a comparison and loses nothing.
+EPS = 1e-9
 
 
-def sampled_masks(n: int, aim: int = AIM, chance: float = CHANCE) -> list[int]:
-    """Masks of random bits that a pair ``aim`` bits apart agrees on with this chance at least once.
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes."""
+    return np.unique(shingle_hashes(text, shingle).astype(np.uint64))
 
-    At such distances a pigeonhole's partitions must tolerate so many bits each
-    that they hold hardly fewer pairs than the table does; partitions of as many
-    bits as the table's size asks for, drawn anew and with threshold zero, keep
-    candidates in proportion to the rows.
-    """
-    bits = min(40, max(MASK_BITS, math.ceil(math.log2(max(n / PER_VALUE, 2)))))
-    meet = math.comb(BITS - aim, bits) / math.comb(BITS, bits)
-    rng = np.random.default_rng([SEED, bits])
-    tables = math.ceil(math.log(1 - chance) / math.log(1 - meet))
-    return [_signed(sum(1 << int(b) for b in rng.choice(BITS, bits, replace=False))) for _ in range(tables)]
+
+def common_shingles(texts: DataFrame, row: str, text: str, shingle: int) -> np.ndarray:
+    """Shingles that many documents of a sample hold, the rarest first."""
+    share = min(1.0, SAMPLED / max(texts.count(), 1))
+    drawn = texts.where(F.pmod(F.xxhash64(row, F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)).select(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                h = shingle_set(value.as_py(), shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    counted = drawn.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    found = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    return np.array([r["h"] for r in reversed(found)], np.int64).view(np.uint64)
 
 
-def sketches(documents: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(key, fp, sketch): fingerprint and the ``SKETCH`` smallest distinct shingle hashes of 32 bits, as bytes."""
+def in_order(h: np.ndarray, common: np.ndarray, by_value: np.ndarray) -> np.ndarray:
+    """The sorted hashes ``h``, those in ``common`` moved to the end in its order; ``by_value`` is its argsort."""
+    if not len(common) or not len(h):
+        return h
+    values = common[by_value]
+    at = np.minimum(np.searchsorted(values, h), len(values) - 1)
+    known = values[at] == h
+    return np.concatenate((h[~known], common[np.sort(by_value[at[known]])]))
+
+
+def parity(h: np.ndarray) -> bytes:
+    """Parity of the hashes in each of ``PARITY`` cells; sets differ in at least as many hashes as these in bits."""
+    return np.packbits(np.bincount((h & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
+def prefixes(texts: DataFrame, name: str, text: str, shingle: int, similar: float, common: np.ndarray) -> DataFrame:
+    """(name, digest, n, prefix, bits): the set's digest and size, its first hashes in order, and its parity.
+
+    Two sets of at least this similarity share one of their first n - ceil(similar n) + 1 hashes in any common order.
+    """
+    by_value = np.argsort(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, least = [], []
+            digests, sizes, firsts, bits = [], [], [], []
             for value in batch.column(1):
-                h = shingle_hashes(value.as_py(), shingle)
-                fps.append(_signed(majority(h)))
-                least.append(np.unique((h >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(least, pa.binary())], names=[key, "fp", "sketch"])
-
-    source = documents.select(key, F.col(text).cast("string"))
-    return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, fp long, sketch binary")
+                h = shingle_set(value.as_py(), shingle)
+                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sizes.append(len(h))
+                firsts.append(in_order(h, common, by_value)[: len(h) - math.ceil(similar * len(h) - EPS) + 1].tobytes())
+                bits.append(parity(h))
+            arrays = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[name, "digest", "n", "prefix", "bits"])
+
+    source = texts.select(name, F.col(text).cast("string"))
+    return source.mapInArrow(run, f"`{name}` {source.schema[0].dataType.simpleString()}, digest binary, n int, prefix binary, bits binary")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per hash of a prefix: (token, cls, n, pos)."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, 500):
+            batch = whole.slice(k, 500)
+            own = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
+            sizes = np.array([len(p) for p in own], np.int64)
+            pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            cls, n = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("cls", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(cls), pa.array(n), pa.array(pos.astype(np.int32))], names=["token", "cls", "n", "pos"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, sorted by token, whose token another row has too."""
+    last, twice = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token = batch.column("token").to_numpy()
+        equal = token[1:] == token[:-1]
+        keep = np.append(equal, False) | np.insert(equal, 0, False)
+        if last is not None:
+            same = last.column("token")[0].as_py() == token[0]
+            keep[0] |= same
+            if twice or same:
+                yield last
+        last, twice = batch.slice(batch.num_rows - 1), bool(keep[-1])
+        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+    if last is not None and twice:
+        yield last
+
+
+def _possible(table: pa.Table, similar: float):
+    """(i, j) -> whether the rows can be similar: by size, by position, by parity, and not linked yet.
+
+    The token is taken to be the first that both sets hold in the order, as it is in one run of every similar pair.
+    """
+    n, pos, label = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "label"))
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
 
+    def near(i, j):
+        a, b = n[i], n[j]
+        need = np.ceil(similar / (1 + similar) * (a + b) - EPS)
+        ok = (np.minimum(a, b) >= similar * np.maximum(a, b) - EPS) & (np.minimum(a - pos[i], b - pos[j]) >= need) & (label[i] != label[j])
+        at = np.flatnonzero(ok)
+        i, j = i[at], j[at]
+        ok[at] = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j] - 2 * need[at]
+        return ok
 
-def sketch_similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets by their smallest hashes; exact for sets that the sketches hold whole."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    union = np.union1d(x, y)
-    if len(x) == SKETCH or len(y) == SKETCH:
-        union = union[:SKETCH]
-    if not len(union):
-        return 1.0
-    return len(np.intersect1d(np.intersect1d(x, y), union)) / len(union)
+    return near, bits
 
 
-def _partners(radius: int):
-    """For each row of a run, the nearest row of smaller fingerprint within the radius."""
+def _nearest(similar: float):
+    """For each row of a run, the nearest possible partner of smaller class: (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks.whole_runs(batches):
-            fp = table.column("fp").to_numpy()
-            bits = fp.view(np.uint64)
+            near, bits = _possible(table, similar)
+            cls = table.column("cls").to_numpy()
             none = np.iinfo(np.int64).max
-            nearest = np.full(len(fp), none)
-            order = np.argsort(np.argsort(fp, kind="stable"), kind="stable")
-            back = np.argsort(order)
-
-            def near(i, j, bits=bits):
-                return np.bitwise_count(bits[i] ^ bits[j]) <= radius
-
+            nearest = np.full(len(cls), none)
             for i, j in blocks.pair_steps(table.column("run").to_numpy(), table.column("side").to_numpy(), near):
-                low, high = np.where(fp[i] < fp[j], i, j), np.where(fp[i] < fp[j], j, i)
-                apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
-                np.minimum.at(nearest, high, (apart << 40) | order[low])
+                low, high = np.where(cls[i] < cls[j], i, j), np.where(cls[i] < cls[j], j, i)
+                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                np.minimum.at(nearest, high, (apart << 40) | low)
             rows = np.flatnonzero(nearest < none)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[rows]), pa.array(fp[back[nearest[rows] & ((1 << 40) - 1)]])], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), pa.array(cls[nearest[rows] & ((1 << 40) - 1)])], names=["u", "v"])
+
+    return run
+
+
+def _rest(similar: float):
+    """Possible pairs that are not linked yet: (run, side, u, v), and where a run has more pairs than rows, its rows in them, v null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in blocks.whole_runs(batches):
+            near, _ = _possible(table, similar)
+            cls, number, side = (table.column(c).to_numpy() for c in ("cls", "run", "side"))
+            own = np.cumsum(np.insert(number[1:] != number[:-1], 0, False))
+            size = np.bincount(own)
+            pairs, held = np.zeros(len(size), np.int64), np.zeros(len(cls), bool)
+            few: list[tuple[np.ndarray, np.ndarray]] = []
+            for i, j in blocks.pair_steps(number, side, near):
+                pairs += np.bincount(own[i], minlength=len(size))
+                held[i] = held[j] = True
+                ok = pairs[own[i]] <= size[own[i]]
+                few.append((i[ok], j[ok]))
+            dense = pairs > size
+            i = np.concatenate([p[0] for p in few]) if few else np.zeros(0, np.int64)
+            j = np.concatenate([p[1] for p in few]) if few else i
+            ok = ~dense[own[i]]
+            i, j = i[ok], j[ok]
+            rows = np.flatnonzero(held & dense[own])
+            first, u = np.concatenate((i, rows)), np.concatenate((np.minimum(cls[i], cls[j]), cls[rows]))
+            v = np.concatenate((np.maximum(cls[i], cls[j]), np.full(len(rows), -1)))
+            yield pa.RecordBatch.from_arrays([pa.array(number[first]), pa.array(side[first]), pa.array(u), pa.array(v, mask=v < 0)], names=["run", "side", "u", "v"])
 
     return run
 
 
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two whole sets."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def _sets(column) -> list[np.ndarray]:
+    return [np.frombuffer(s, np.uint64) for s in column.to_pylist()]
+
+
 def _verified(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            same = pa.array([sketch_similarity(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_())
+            a, b = _sets(batch.column("a")), _sets(batch.column("b"))
+            same = pa.array([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_())
             yield batch.select(["u", "v"]).filter(same)
 
     return run
 
 
+def _dense_links(least: float):
+    """Verifies every possible pair of a run that no chain of its links joins; at most a link for each row leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in blocks.whole_runs(batches):
+            near, _ = _possible(table, least)
+            cls, sets = table.column("cls").to_numpy(), _sets(table.column("set"))
+            forest = blocks.Forest(len(cls))
+            for i, j in blocks.pair_steps(table.column("run").to_numpy(), table.column("side").to_numpy(), near):
+                for a, b in zip(i, j, strict=True):
+                    if forest.root[a] != forest.root[b] and similarity(sets[a], sets[b]) >= least:
+                        forest.link(np.array([a]), np.array([b]))
+            linked = np.flatnonzero(forest.root != np.arange(len(cls)))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[linked]), pa.array(cls[forest.root[linked]])], names=["u", "v"])
+
+    return run
+
+
+def whole_sets(numbered: DataFrame, text: str, shingle: int, asked: DataFrame) -> DataFrame:
+    """(cls, set): all shingle hashes of the rows whose numbers are in ``asked`` (cls), made from their texts again."""
+    asked = durable(asked.distinct())
+    small = asked.count() <= BROADCAST_ROWS
+    source = numbered.select(F.col("__row").alias("cls"), F.col(text).cast("string").alias("text")).join(F.broadcast(asked) if small else asked, "cls", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.binary())], names=["cls", "set"])
+
+    return durable(source.mapInArrow(run, "cls long, set binary"))
+
+
+def verified_links(numbered: DataFrame, text: str, shingle: int, pairs: DataFrame, similar: float) -> DataFrame:
+    """Those of ``pairs`` (u, v: numbers of rows) whose whole shingle sets are similar."""
+    sets = whole_sets(numbered, text, shingle, pairs.select(F.explode(F.array("u", "v")).alias("cls")))
+    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    return durable(both.mapInArrow(_verified(similar), "u long, v long"))
+
+
+def similar_links(numbered: DataFrame, text: str, shingle: int, classes: DataFrame, similar: float) -> DataFrame:
+    """(u, v): verified links that join exactly the classes whose sets are similar, by chains.
+
+    Candidates share a hash of their prefixes, and every one is either verified on
+    whole sets or joined by links that are.  First each row's nearest partners are
+    verified, so that large groups close; then all pairs that are still apart.
+    """
+    rows = classes.select("cls", "n", "prefix").mapInArrow(_tokens, "token long, cls long, n int, pos int")
+    shared = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, cls long, n int, pos int")
+    dealt = durable(blocks.runs(durable(shared), "token", "cls"))
+
+    def met(extra: DataFrame, rows: DataFrame = dealt) -> DataFrame:
+        return rows.join(extra, "cls").repartition("run").sortWithinPartitions("run")
+
+    plain = classes.select("cls", "bits", F.col("cls").alias("label"))
+    pairs = durable(met(plain).mapInArrow(_nearest(similar), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    links = verified_links(numbered, text, shingle, pairs, similar)
+    parts = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
+    labelled = durable(classes.select("cls", "bits").join(parts, "cls", "left").select("cls", "bits", F.coalesce("root", "cls").alias("label")))
+    rest = durable(met(labelled).mapInArrow(_rest(similar), "run long, side byte, u long, v long"))
+    left = durable(rest.where("v IS NOT NULL").select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"))
+    links = links.unionAll(verified_links(numbered, text, shingle, left, similar))
+    dense = rest.where("v IS NULL").select("run", "side", F.col("u").alias("cls"))
+    if dense.isEmpty():
+        return links
+    sets = whole_sets(numbered, text, shingle, dense.select("cls"))
+    rows = dealt.join(dense, ["run", "side", "cls"], "left_semi")
+    return links.unionAll(met(labelled.join(sets, "cls"), rows).mapInArrow(_dense_links(similar), "u long, v long"))
+
+
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
     """``documents`` with one row of each group of near duplicates, that of the smallest key; all columns stay.
 
     Equal keys are told apart by the order of the rows, and null keys come last.
 
-    Rows with equal fingerprints are one group, and so are fingerprints whose
-    shingle sets have a similarity of at least ``similar``, by chains.  Rows
+    Rows whose shingle sets have a similarity of at least ``similar`` are one group,
+    by chains; every such pair is found and is held against the whole sets.  Rows
     without words (null and empty texts) are one group.  ``documents`` has to give
     the same rows in the same order when it is read again, as stored tables do.
     """
     numbered = documents.withColumn("__row", F.monotonically_increasing_id())
     named = numbered.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row")).alias("name"), F.col(text).alias("text"))
-    each = durable(sketches(named, "name", "text", shingle))
-    classes = durable(each.groupBy("fp").agg(F.min_by("sketch", "name").alias("sketch"), F.min("name").alias("first")))
-    fps = classes.select("fp")
-    runs = blocks.runs(masked(fps, sampled_masks(classes.count())), "bucket", "fp")
-    pairs = runs.mapInArrow(_partners(LOOSE_RADIUS), "u long, v long").distinct()
-    sketch = classes.select("fp", "sketch")
-    both = pairs.join(sketch.toDF("u", "a"), "u").join(sketch.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    parts = connected_components(both.mapInArrow(_verified(similar), "u long, v long"))
-    rooted = classes.select("fp", "first").join(parts.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = durable(rooted.select("fp", "first", F.coalesce("component", "fp").alias("root")))
+    common = common_shingles(named.select(F.col("name.row").alias("row"), "text"), "row", "text", shingle)
+    each = durable(prefixes(named, "name", "text", shingle, similar, common))
+    kept = each.groupBy("digest").agg(F.min("name").alias("first"), F.min_by(F.struct("n", "prefix", "bits"), "name").alias("of"))
+    classes = durable(kept.select("digest", "first", F.col("first.row").alias("cls"), "of.*"))
+    parts = connected_components(similar_links(numbered, text, shingle, classes, similar))
+    rooted = classes.select("digest", "first", "cls").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
+    rooted = durable(rooted.select("digest", "first", F.coalesce("component", "cls").alias("root")))
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
-    group = rooted.join(kept, "root").select("fp", "kept")
-    dropped = each.select("name", "fp").join(group, "fp").where(F.col("name.row") != F.col("kept.row")).select(F.col("name.row").alias("__row"))
+    group = rooted.join(kept, "root").select("digest", "kept")
+    dropped = each.select("name", "digest").join(group, "digest").where(F.col("name.row") != F.col("kept.row")).select(F.col("name.row").alias("__row"))
     return without_rows(numbered, dropped).drop("__row")
 
 

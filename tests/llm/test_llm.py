@@ -142,6 +142,36 @@ def test_keep_one(spark):
     assert kept == [0, 4, 5, 7]
 
 
+@pytest.mark.parametrize("block", [2048, 8])
+def test_keep_one_finds_every_similar_pair(spark, monkeypatch, block):
+    """Graded edits, shared passages and equal words in another order, against all pairs of whole sets."""
+    monkeypatch.setattr(simhash.blocks.runs, "__defaults__", (block,))
+    rng = random.Random(12)
+    texts = []
+    for k in range(12):
+        n = rng.choice([12, 30, 90, 400, 1500])
+        base = [f"b{k}w{j}" for j in range(n)]
+        texts.append(" ".join(base))
+        for _ in range(14):
+            own = list(base)
+            for _ in range(rng.randrange(1, 2 + n // 22)):
+                own[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own[: len(own) - rng.randrange(n // 12 + 1)]))
+    passage = words(rng, 60)
+    texts += [passage + " " + words(rng, k) for k in range(0, 60, 3)] + [None, "", "one two", "one two", words(rng, 3)]
+    rng.shuffle(texts)
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    part = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) and part[a] != part[b]:
+                low, high = sorted((part[a], part[b]))
+                part = [low if p == high else p for p in part]
+    kept = [r["doc_id"] for r in simhash.keep_one(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert kept == sorted(set(part))
+
+
 # ---------------------------------------------------------------- 3
 def test_packing(spark):
     rng = random.Random(3)
