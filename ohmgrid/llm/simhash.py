@@ -406,11 +406,21 @@ def _sets(column) -> list[np.ndarray]:
 
 
 def _verified(least: float):
+    """Links of the sets of each home: the home's own, ``cls`` equal to ``home``, against each other one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            a, b = _sets(batch.column("a")), _sets(batch.column("b"))
-            same = pa.array([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield batch.select(["u", "v"]).filter(same)
+            u, v = [], []
+            for at, cls, h in zip(batch.column("home").to_pylist(), batch.column("cls").to_pylist(), _sets(batch.column("set")), strict=True):
+                if at == cls:
+                    home, own = at, h
+                elif at != home:
+                    raise ValueError("a home's own set comes first")
+                elif similarity(own, h) >= least:
+                    u.append(at)
+                    v.append(cls)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -434,24 +444,28 @@ def _dense_links(least: float):
 
 
 def whole_sets(numbered: DataFrame, text: str, shingle: int, asked: DataFrame) -> DataFrame:
-    """(cls, set): all shingle hashes of the rows whose numbers are in ``asked`` (cls), made from their texts again."""
-    asked = durable(asked.distinct())
+    """``asked`` (cls, and other columns) with ``set``: all shingle hashes of the row of that number, made from its text again."""
+    others = [c for c in asked.columns if c != "cls"]
+    asked = durable(asked.distinct().groupBy("cls").agg(F.collect_list(F.struct(*others)).alias("for")) if others else asked.distinct())
     small = asked.count() <= BROADCAST_ROWS
-    source = numbered.select(F.col("__row").alias("cls"), F.col(text).cast("string").alias("text")).join(F.broadcast(asked) if small else asked, "cls", "left_semi")
+    source = numbered.select(F.col("__row").alias("cls"), F.col(text).cast("string").alias("text")).join(F.broadcast(asked) if small else asked, "cls")
+    kept = [c for c in ("cls", "for") if c in asked.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.binary())], names=["cls", "set"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sets, pa.binary())], names=[*kept, "set"])
 
-    return durable(source.mapInArrow(run, "cls long, set binary"))
+    source = source.select(*kept, "text")
+    found = source.mapInArrow(run, source.select(*kept).schema.add("set", "binary"))
+    return found.select("cls", F.explode("for").alias("for"), "set").select("cls", "for.*", "set") if others else found
 
 
 def verified_links(numbered: DataFrame, text: str, shingle: int, pairs: DataFrame, similar: float) -> DataFrame:
-    """Those of ``pairs`` (u, v: numbers of rows) whose whole shingle sets are similar."""
-    sets = whole_sets(numbered, text, shingle, pairs.select(F.explode(F.array("u", "v")).alias("cls")))
-    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    return durable(both.mapInArrow(_verified(similar), "u long, v long"))
+    """Those of ``pairs`` (u below v: numbers of rows) whose whole shingle sets are similar; each set is sent once to each smaller partner."""
+    asked = pairs.select(F.col("u").alias("home"), F.explode(F.array("u", "v")).alias("cls"))
+    met = whole_sets(numbered, text, shingle, asked).repartition("home").sortWithinPartitions("home", "cls")
+    return durable(met.mapInArrow(_verified(similar), "u long, v long"))
 
 
 def similar_links(numbered: DataFrame, text: str, shingle: int, classes: DataFrame, similar: float) -> DataFrame:
@@ -479,7 +493,7 @@ def similar_links(numbered: DataFrame, text: str, shingle: int, classes: DataFra
     dense = rest.where("v IS NULL").select("run", "side", F.col("u").alias("cls"))
     if dense.isEmpty():
         return links
-    sets = whole_sets(numbered, text, shingle, dense.select("cls"))
+    sets = durable(whole_sets(numbered, text, shingle, dense.select("cls")))
     rows = dealt.join(dense, ["run", "side", "cls"], "left_semi")
     return links.unionAll(met(labelled.join(sets, "cls"), rows).mapInArrow(_dense_links(similar), "u long, v long"))
 
