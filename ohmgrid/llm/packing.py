@@ -6,7 +6,7 @@ the packing is planned on their histogram: bins with the same contents are one
 group with a count.  A best-fit start is followed by a local search over the
 underfull groups, which moves pieces and exchanges one for one, two for one or
 one for two so that the sum of squared fills grows, until bins are empty and no
-exchange helps.  The plan's size depends on the capacity alone; the pieces are
+exchange helps.  An exchange is made in as many equal bins at once as there are.  The plan's size depends on the capacity alone; the pieces are
 then dealt to its slots by their rank among the pieces of their length, in
 parallel and without collecting any of them.
 """
@@ -29,8 +29,6 @@ from ohmgrid.llm.common import durable
 
 CAPACITY = 1024
 END = 2
-#: Exchanges, and emptiest bins tried, after the best-fit start; it bounds time on the driver, not data.
-MAX_MOVES = 1_500
 
 PIECES = "piece int, start long, length long, ids_crc32 long, task int, rank long"
 
@@ -147,16 +145,14 @@ def _exchange(bins: Bins, donor: Pattern, give: tuple[int, ...]) -> tuple[int, P
     if room is not None and grows(room, size):
         return room, min(bins.open[room]), ()
     free = np.array(sorted(bins.open), dtype=np.int64)
-    if not len(free):
-        return None
-    held = bins.holds[free]
-    most = np.where(held > 0, free[:, None], 0).max(axis=0)
-    s = np.arange(len(most))
-    fits = np.flatnonzero((s < size) & (s > 0) & (size - s <= most))
-    for back in map(int, fits[:8]):
-        tight = int(next(f for f in free if f >= size - back and bins.holds[f, back]))
-        if grows(tight, size - back):
-            return tight, bins.holding(tight, back), (back,)
+    # The taker's free space lies in [size - back, capacity + size - back - full), and it holds the piece given back.
+    near = free[free < bins.capacity + size - full]
+    s = np.arange(1, size)
+    fits = (bins.holds[near, 1:size] > 0) & (near[:, None] + s >= size) & (near[:, None] + s < bins.capacity + size - full)
+    back = np.flatnonzero(fits.any(axis=0))
+    if len(back):
+        tight = int(near[fits[:, back[0]].argmax()])
+        return tight, bins.holding(tight, int(s[back[0]])), (int(s[back[0]]),)
     if len(give) == 1:  # one for two
         for f in free[::-1]:
             for pattern in bins.open[int(f)]:
@@ -167,43 +163,39 @@ def _exchange(bins: Bins, donor: Pattern, give: tuple[int, ...]) -> tuple[int, P
     return None
 
 
-def improve(bins: Bins, floor: int, max_moves: int = MAX_MOVES) -> Bins:
-    """Empties the emptiest bins by moves and exchanges; stops at ``floor`` bins, or when none of the emptiest can give anything."""
-    stuck: set[Pattern] = set()
-    moves = tries = 0
-
-    def total() -> int:
-        return sum(bins.full.values()) + sum(sum(c.values()) for c in bins.open.values())
-
-    n = total()
-    while n > floor and moves < max_moves and tries < max_moves:
-        tries += 1
-        choices = [(f, p) for f in sorted(bins.open, reverse=True)[:64] for p in sorted(bins.open[f]) if p not in stuck]
-        if not choices:
-            break
-        _, donor = choices[0]
-        bins.add(donor, -1)
-        start = donor
-        while donor and moves < max_moves:
-            gives = [(x,) for x in sorted(set(donor), reverse=True)]
-            gives += [(a, b) for i, a in enumerate(donor) for b in donor[i + 1 :]]
-            for give in gives:
-                found = _exchange(bins, donor, give)
-                if found:
+def improve(bins: Bins, floor: int) -> Bins:
+    """Empties the emptiest bins by moves and exchanges, until there are ``floor`` bins or none can give anything.
+
+    Bins of equal contents give together, half of them at a time so that the others
+    can take; the work depends on the distinct contents, not on the documents.
+    """
+    n = sum(bins.full.values()) + sum(sum(c.values()) for c in bins.open.values())
+    gained = True
+    while gained and n > floor:
+        gained = False
+        for start in [p for f in sorted(bins.open, reverse=True) for p in sorted(bins.open[f])]:
+            free = bins.capacity - sum(start)
+            while n > floor and (held := bins.open[free][start] if free in bins.open else 0):
+                held, donor = (held + 1) // 2, start
+                bins.add(donor, -held)
+                while donor:
+                    gives = [(x,) for x in sorted(set(donor), reverse=True)]
+                    gives += dict.fromkeys((a, b) for i, a in enumerate(donor) for b in donor[i + 1 :])
+                    found = next(((give, met) for give in gives if (met := _exchange(bins, donor, give))), None)
+                    if not found:
+                        break
+                    give, (room, taker, back) = found
+                    many = min(held, bins.open[room][taker])
+                    bins.add(donor, held - many)
+                    held = many
+                    bins.add(taker, -many)
+                    bins.add(plus(without(taker, *back), *give), many)
+                    donor = plus(without(donor, *give), *back)
+                    gained = True
+                bins.add(donor, held)
+                n -= 0 if donor else held
+                if donor == start:
                     break
-            else:
-                break
-            _, taker, back = found
-            bins.add(taker, -1)
-            bins.add(plus(without(taker, *back), *give), 1)
-            donor = plus(without(donor, *give), *back)
-            moves += 1
-        if donor:
-            bins.add(donor, 1)
-            stuck = {*stuck, donor} if donor == start else {donor}
-        else:
-            n -= 1
-            stuck = set()
     return bins
 
 
@@ -230,7 +222,6 @@ def pack(
     capacity: int = CAPACITY,
     path: str | None = None,
     end: int = END,
-    max_moves: int = MAX_MOVES,
 ) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -246,7 +237,7 @@ def pack(
     bases = per_task.select("length", "task", "n", F.coalesce(before, F.lit(0)).alias("base"))
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     lengths = sum(s * n for s, n in histogram.items())
-    bins = improve(best_fit(histogram, capacity), -(-lengths // capacity), max_moves)
+    bins = improve(best_fit(histogram, capacity), -(-lengths // capacity))
     slots, n_short = plan_slots(bins)
     names = [key, "piece", "start", "length", "ids_crc32"]
 

@@ -209,6 +209,15 @@ def test_swaps_empty_bins():
     assert sum(better.full.values()) + sum(sum(c.values()) for c in better.open.values()) == 3
 
 
+def test_swaps_do_not_depend_on_the_number_of_documents():
+    for n in (200, 1_000_000):
+        histogram = {450: n, 400: n, 330: n, 312: 2 * n, 244: n}
+        better = packing.improve(packing.best_fit(histogram, 1024), 2 * n)
+        groups = [*better.full.items(), *((p, k) for c in better.open.values() for p, k in c.items())]
+        assert sum(k for _, k in groups) <= 2.09 * n  # best fit alone: 2.25
+        assert {s: sum(p.count(s) * k for p, k in groups) for s in histogram} == histogram
+
+
 # ---------------------------------------------------------------- 4
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
