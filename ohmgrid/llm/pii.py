@@ -28,8 +28,11 @@ KINDS = ("email", "iban", "card", "date", "ssn", "phone", "ipv4")
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,251}[A-Za-z0-9])?\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![0-9A-Za-z])(?<![0-9][-.])[3-6][0-9]{3}(?:[ -]?[0-9]){9,15}(?![0-9A-Za-z])",
-    "date": r"(?<![0-9])(?:(?:19|20)[0-9]{2}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([-/.])(?:0[1-9]|1[0-2])\2(?:19|20)[0-9]{2})(?![0-9])",
+    "card": r"(?<![0-9A-Za-z])(?<![0-9][-.])(?:[3-6][0-9]{3}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720))"
+    # A gap does not lead into a social security number or a date, which are values of their own.
+    r"(?:[0-9]|[ -](?![0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?:19|20)[0-9]{2}[-/.][01][0-9][-/.][0-3][0-9](?![0-9])|[0-3][0-9][-/.][0-3][0-9][-/.](?:19|20)[0-9]{2}(?![0-9]))[0-9]){9,15}(?![0-9A-Za-z])",
+    "date": r"(?<![0-9])(?:(?:19|20)[0-9]{2}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([-/.])(?:0[1-9]|1[0-2])\2(?:19|20)[0-9]{2}"
+    r"|(?:0[1-9]|1[0-2])([-/.])(?:1[3-9]|2[0-9]|3[01])\3(?:19|20)[0-9]{2})(?![0-9])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\)[ ]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}(?![0-9A-Za-z])",
     "ipv4": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
@@ -46,7 +49,7 @@ BLOCK = 20
 def _any(patterns: dict[str, str]) -> str:
     out, groups = [], 0
     for pattern in patterns.values():
-        own = pattern.replace(r"\1", rf"\{groups + 1}").replace(r"\2", rf"\{groups + 2}")
+        own = pattern.replace(r"\1", rf"\{groups + 1}").replace(r"\2", rf"\{groups + 2}").replace(r"\3", rf"\{groups + 3}")
         groups += pattern.count("([-/.])")
         out.append(own)
     return "|".join(out)
@@ -175,28 +178,51 @@ def mod97(text: Column) -> Column:
     return F.aggregate(chars(text), F.lit(0).cast("int"), add)
 
 
+def longest(value: Column, valid: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """``value`` with its longest valid beginning changed; a beginning is the whole or ends before a gap (space or hyphen)."""
+    ends = F.filter(F.sequence(F.length(value), F.lit(1), F.lit(-1)), lambda k: F.substr(value, k + 1, F.lit(1)).isin("", " ", "-"))
+    starts = F.filter(F.transform(ends, lambda k: F.substr(value, F.lit(1), k)), valid)
+    rest = lambda v: F.substr(value, F.length(v) + 1)
+    return let(F.get(starts, F.lit(0)), lambda v: F.when(v.isNull(), value).otherwise(F.concat(change(v), rest(v))))
+
+
 def card(value: Column, key: str) -> Column:
-    """Luhn-valid numbers: the first digit stays, the check digit is made anew."""
+    """Luhn-valid numbers, alone or before more digits: the first digit, or four of a 2, stay and the check digit is made anew."""
 
-    def change(digits):
-        payload = F.transform(F.slice(digits, F.lit(2), F.size(digits) - 2), lambda d: symbol(d, 10))
+    def valid(text):
+        return let(digit_values(text), lambda d: F.size(d).between(13, 19) & (luhn_sum(d) % 10 == 0))
 
-        def close(mixed):
-            head = F.concat(F.slice(digits, F.lit(1), F.lit(1)), mixed)
-            check = F.pmod(-luhn_sum(F.concat(head, F.array(F.lit(0).cast("long")))), F.lit(10)).cast("long")
-            return fill(value, F.concat(head, F.array(check)))
+    def change(text):
+        return let(digit_values(text), lambda digits: _card(text, digits, key))
 
-        valid = (F.size(digits) >= 13) & (F.size(digits) <= 19) & (luhn_sum(digits) % 10 == 0)
-        return F.when(valid, let(permute(payload, key, "card"), close)).otherwise(value)
+    return longest(value, valid, change)
 
-    return let(digit_values(value), change)
+
+def _card(value: Column, digits: Column, key: str) -> Column:
+    brand = F.when(digits[0] == 2, 4).otherwise(1)
+    payload = F.transform(F.slice(digits, brand + 1, F.size(digits) - 1 - brand), lambda d: symbol(d, 10))
+
+    def close(mixed):
+        head = F.concat(F.slice(digits, F.lit(1), brand), mixed)
+        check = F.pmod(-luhn_sum(F.concat(head, F.array(F.lit(0).cast("long")))), F.lit(10)).cast("long")
+        return fill(value, F.concat(head, F.array(check)))
+
+    return let(permute(payload, key, "card"), close)
 
 
 def iban(value: Column, key: str) -> Column:
-    """IBANs whose check digits hold: the country stays, the check digits are made anew."""
+    """IBANs whose check digits hold, alone or before more groups: the country stays, the check digits are made anew."""
+
+    def valid(text):
+        packed = F.replace(text, F.lit(" "), F.lit(""))
+        return F.length(packed).between(15, 34) & (mod97(F.concat(F.substring(packed, 5, 40), F.substring(packed, 1, 4))) == 1)
+
+    return longest(value, valid, lambda text: _iban(text, key))
+
+
+def _iban(value: Column, key: str) -> Column:
     packed = F.replace(value, F.lit(" "), F.lit(""))
     country, account = F.substring(packed, 1, 2), F.substring(packed, 5, 40)
-    valid = F.length(packed).between(15, 34) & (mod97(F.concat(account, F.substring(packed, 1, 4))) == 1)
 
     def close(mixed):
         plain = fill(account, mixed)
@@ -205,17 +231,19 @@ def iban(value: Column, key: str) -> Column:
         codes = F.transform(chars(new), lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 65).cast("long"))
         return fill(value, codes)
 
-    return F.when(valid, let(permute(letters_and_digits(account), key, "iban"), close)).otherwise(value)
+    return let(permute(letters_and_digits(account), key, "iban"), close)
 
 
 def date(value: Column, key: str) -> Column:
-    """Calendar dates from 1900 to 2099, year first or day first; the layout stays."""
+    """Calendar dates from 1900 to 2099; the layout stays: year first, month first if the second number is above 12, else day first."""
     year_first = value.rlike("^[0-9]{4}")
+    month_first = ~year_first & (F.substring(value, 4, 2) > "12")
 
-    def number(first, length, second):
-        return F.when(year_first, F.substring(value, first, length)).otherwise(F.substring(value, second, length)).cast("int")
+    def number(first, length, second, american):
+        last = F.when(month_first, F.substring(value, american, length)).otherwise(F.substring(value, second, length))
+        return F.when(year_first, F.substring(value, first, length)).otherwise(last).cast("int")
 
-    year, month, day = number(1, 4, 7), number(6, 2, 4), number(9, 2, 1)
+    year, month, day = number(1, 4, 7, 7), number(6, 2, 4, 1), number(9, 2, 1, 4)
     leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
     last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
     left, right = DATE_RADICES
@@ -223,7 +251,7 @@ def date(value: Column, key: str) -> Column:
     def close(days):
         mixed = feistel(F.call_function("div", days, F.lit(right)), days % right, F.lit(left), F.lit(right), key, "date", F.lit(0))
         moved = let(mixed, lambda m: F.date_add(F.lit(FIRST_DAY).cast("date"), (m["l"] * right + m["r"]).cast("int")))
-        layout = lambda d: F.when(year_first, F.date_format(d, "yyyyMMdd")).otherwise(F.date_format(d, "ddMMyyyy"))
+        layout = lambda d: F.when(year_first, F.date_format(d, "yyyyMMdd")).when(month_first, F.date_format(d, "MMddyyyy")).otherwise(F.date_format(d, "ddMMyyyy"))
         return let(moved, lambda d: fill(value, digit_values(layout(d))))
 
     valid = day <= last
@@ -286,7 +314,7 @@ def kind_of(value: Column) -> Column:
         .when(value.rlike("^[0-9]{1,3}([.][0-9]{1,3}){3}$"), "ipv4")
         .when(value.rlike("^([0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})$"), "date")
         .when(value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(value.rlike("^[3-6]([ -]?[0-9]){12,18}$"), "card")
+        .when(value.rlike("^[2-6]([ -]?[0-9]){12,18}$"), "card")
         .otherwise("phone")
     )
 

@@ -49,6 +49,20 @@ def test_pseudonyms(spark):
     assert out[5] == texts[5]
 
 
+def test_pseudonyms_before_more_characters(spark):
+    card, account = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201"
+    assert luhn("2221000000000009")
+    texts = [card + " 05/27", "4111111111111111 123", card, "4111111111111111", account + " ABCD 12", account, account.replace(" ", "") + " 2024", "2221 0000 0000 0009",
+             "12/25/1999", "25/12/1999", "4111 1111 1111 1112 05/27", card + " 123-45-6789", "12/25/1999 13/13/1999"]
+    out = [r["text"] for r in pii.pseudonymise(docs(spark, texts), key="k").orderBy("doc_id").collect()]
+    assert out[2] != card and out[0] == out[2] + " 05/27" and out[1] == out[3] + " 123" and out[2].replace(" ", "") == out[3]
+    assert out[5] != account and out[4] == out[5] + " ABCD 12" and out[6] == out[5].replace(" ", "") + " 2024"
+    assert out[7] != texts[7] and out[7].startswith("2221 ") and luhn(out[7])
+    month, day, year = out[8].split("/")
+    assert out[8] != texts[8] and out[9] == f"{day}/{month}/{year}" and out[12] == out[8] + " 13/13/1999"
+    assert out[10] == texts[10] and out[11].startswith(out[2] + " ") and "123-45-6789" not in out[11]
+
+
 def test_feistel_is_a_permutation(spark):
     grid = spark.range(17 * 43).select(F.call_function("div", F.col("id"), F.lit(43)).alias("a"), (F.col("id") % 43).alias("b"))
     out = grid.select(pii.feistel(F.col("a"), F.col("b"), F.lit(17), F.lit(43), "k", "t", F.lit(0)).alias("z")).select("z.*").distinct()
