@@ -376,6 +376,23 @@ def component_dense_ids(spark, d):
     return graph.dense_ids(graph.connected_components(thinned_edges(spark, d)))
 
 
+def all_edges(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 100_000_000).alias("v"))
+
+
+# Recursive SQL holds every pair of a node and a root it reaches, too many for all of lineitem; tests hold these against union-find.
+@query("components_all")
+def components_all(spark, d):
+    """Components of the graph of all of lineitem."""
+    return graph.connected_components(all_edges(spark, d))
+
+
+@query("component_dense_ids_all")
+def component_dense_ids_all(spark, d):
+    """The components of all of lineitem, numbered from 0 by their smallest node."""
+    return graph.dense_ids(graph.connected_components(all_edges(spark, d)))
+
+
 POINTS = "SELECT p_partkey AS k, CAST((p_partkey * 7919) % 10007 AS DOUBLE) AS x, CAST((p_partkey * 104729) % 9973 AS DOUBLE) AS y, p_size FROM part"
 
 
