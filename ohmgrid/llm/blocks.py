@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ohmgrid.llm.common import BROADCAST_ROWS, durable
+from ohmgrid.llm.common import durable, small_side
 
 #: Rows of a part; a run has at most two parts.
 BLOCK = 2048
+#: Rows of one key that a join leaves together.
+DEAL = 20_000
 
 
 def runs(rows: DataFrame, bucket: str, spread: str, block: int = BLOCK) -> DataFrame:
@@ -30,7 +32,7 @@ def runs(rows: DataFrame, bucket: str, spread: str, block: int = BLOCK) -> DataF
     """
     large = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block)
     large = durable(large.select(bucket, F.ceil(F.col("__n") / F.lit(block)).cast("int").alias("__parts")))
-    met = rows.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, bucket, "left")
+    met = rows.join(small_side(large), bucket, "left")
     part = F.coalesce(F.pmod(F.xxhash64(spread, F.lit(7)), F.col("__parts")).cast("int"), F.lit(0))
     dealt = met.withColumn("__part", part).withColumn("__other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1)))
     low, high = F.least("__part", "__other"), F.greatest("__part", "__other")
@@ -40,6 +42,22 @@ def runs(rows: DataFrame, bucket: str, spread: str, block: int = BLOCK) -> DataF
     return dealt.select(*others, run.alias("run"), side.cast("byte").alias("side")).repartition("run").sortWithinPartitions("run")
 
 
+def dealt_join(rows: DataFrame, counted: DataFrame, keys: list[str], spread: list[str], most: int = DEAL) -> DataFrame:
+    """``rows`` joined to ``counted`` (stored: keys that occur once each, ``n`` rows of each, more columns); ``n`` goes.
+
+    Keys of more than ``most`` rows are dealt into parts by ``spread``, so that no
+    task reads all rows of a key.  At most rows / most keys are that large.
+    """
+    large = counted.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / F.lit(most)).cast("int").alias("__parts"))
+    large = durable(large)
+    if large.isEmpty():
+        return rows.join(counted.drop("n"), keys)
+    parts = F.coalesce("__parts", F.lit(1))
+    left = rows.join(small_side(large), keys, "left").withColumn("__part", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("__parts")
+    right = counted.withColumn("__part", F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(F.col("n"), F.lit(1)) / F.lit(most)).cast("int") - 1)))
+    return left.join(right.drop("n"), [*keys, "__part"]).drop("__part")
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch], most: int = 65_536) -> Iterator[pa.Table]:
     """Tables that end where a run ends; runs are bounded, so each table is too."""
     held: list[pa.RecordBatch] = []

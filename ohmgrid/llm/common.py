@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ohmgrid.functions.storage import durable, shared_folder
 
-__all__ = ["durable", "lower_ascii", "shared_folder", "without_rows"]
+__all__ = ["content_id", "durable", "free_name", "lower_ascii", "small_side", "stored", "shared_folder", "without_rows"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -18,15 +20,49 @@ def lower_ascii(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, ASCII_UPPER, ASCII_LOWER)).otherwise(F.lower(text))
 
 
-#: Row numbers, of 8 bytes, that are sent to every task; more are met by an exchange.
+#: Row identities, of 16 bytes, that are sent to every task; more are met by an exchange.
 BROADCAST_ROWS = 1_000_000
 
 
-def without_rows(numbered: DataFrame, dropped: DataFrame, name: str = "__row") -> DataFrame:
-    """``numbered`` without the rows whose number is in ``dropped``.
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def content_id(df: DataFrame, *columns: str) -> Column:
+    """struct(a, b): 128 bits that the values of ``columns`` alone decide, whatever the split or the order of the rows.
+
+    Numbers given to rows by their place change when a table is split anew, as it
+    may be after executors are lost; these do not.  Equal rows have equal ids.
+    """
+    parts: list[Column] = []
+    for f in df.select(*[f"`{c}`" for c in columns]).schema:
+        column = F.col(f"`{f.name}`")
+        # Maps cannot be hashed.
+        parts += [column.isNull(), F.to_json(F.struct(column)) if "map<" in f.dataType.simpleString() else column]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a table that can be read in any number of splits."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def small_side(rows: DataFrame) -> DataFrame:
+    """A stored ``rows``, marked for broadcast if counting proves it small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def without_rows(documents: DataFrame, dropped: DataFrame, identity: Column) -> DataFrame:
+    """``documents`` without the rows whose ``identity`` is in ``dropped`` (a, b).
 
-    The numbers are stored and counted first; only a proven small set is broadcast.
+    The identities are stored and counted first; only a proven small set is broadcast.
     """
-    dropped = durable(dropped)
-    small = dropped.count() <= BROADCAST_ROWS
-    return numbered.join(F.broadcast(dropped) if small else dropped, name, "left_anti")
+    name = free_name(documents, "own_id")
+    gone = small_side(durable(dropped.select(F.struct("a", "b").alias(name))))
+    return documents.withColumn(name, identity).join(gone, name, "left_anti").drop(name)

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmgrid.llm.common import durable, lower_ascii, without_rows
+from ohmgrid.llm.common import content_id, durable, free_name, lower_ascii, small_side
 
 WINDOW = 13
 #: Contaminated if hit words are at least one in this many.
@@ -75,22 +75,18 @@ def covered_words(spans: Column) -> Column:
 
 
 def find_windows(words: DataFrame, index: DataFrame) -> DataFrame:
-    """One row per document word that begins an occurrence, and the first word of every document as a placeholder.
+    """(text_id, span, number): every occurrence of a window in a text.
 
-    ``words`` has (row, doc_key, words).  The candidate's place must lie inside
-    the document on both sides before its words are compared.
+    ``words`` has (text_id, words).  The candidate's place must lie inside the
+    document on both sides before its words are compared.
     """
-    each = words.select("row", "doc_key", F.size("words").alias("n_words"), "words", F.posexplode_outer("words").alias("at", "token"))
-    met = each.join(F.broadcast(index), "token", "left")
+    each = words.select("text_id", F.size("words").alias("n_words"), "words", F.posexplode("words").alias("at", "token"))
+    met = each.join(F.broadcast(index), "token")
     start = F.col("at") - F.col("place")
     length = F.size("window")
     inside = (start >= 0) & (start + length <= F.col("n_words"))
     same = F.when(inside, F.slice("words", start + 1, length) == F.col("window"))
-    found = F.when(same, F.struct(start.alias("start"), length.alias("length")))
-    return (
-        met.select("row", "doc_key", "n_words", "at", found.alias("span"), F.when(same, F.col("number")).alias("number"))
-        .where(F.col("span").isNotNull() | F.coalesce(F.col("at") == 0, F.lit(True)))
-    )
+    return met.where(same).select("text_id", F.struct(start.alias("start"), length.alias("length")).alias("span"), "number")
 
 
 def contamination(
@@ -109,10 +105,28 @@ def contamination(
     Null and empty texts have no words and are clean; so is everything if the
     benchmark is empty.  Items without words are ignored, repeated items count
     once, null item ids have no name and are not listed.  Repeated rows and ids
-    of documents are each judged.  Other columns are ignored.
+    of documents are each judged.  Other columns are ignored.  A text is known by
+    its contents, so it does not matter in which splits the table is read again.
     """
-    words = documents.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_key"), words_of(F.col(text)).alias("words"))
+    rows = documents.select(F.col(f"`{key}`").alias("doc_key"), content_id(documents, text).alias("text_id"), words_of(F.col(f"`{text}`")).alias("words"))
     windows = durable(benchmark_windows(benchmark, item, item_text, size))
+    hits = text_hits(rows.select("text_id", "words"), windows, slice_windows)
+    # Texts with hits are few; the others are told clean by the same scan that counts their words.
+    full = rows.select("doc_key", "text_id", F.size("words").cast("long").alias("n_words")).join(small_side(hits), "text_id", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    listed = F.coalesce("items", F.array().cast("array<string>"))
+    return full.select(
+        F.col("doc_key").alias(key),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size(listed).cast("long").alias("n_items"),
+        F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
+        ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def text_hits(words: DataFrame, windows: DataFrame, slice_windows: int) -> DataFrame:
+    """One stored row per distinct text with an occurrence: text_id, n_hit, items (sorted)."""
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     n_windows = windows.select("window").distinct().count()
     if n_windows <= slice_windows:
@@ -121,36 +135,29 @@ def contamination(
     passes = max(1, -(-n_windows // slice_windows))
     slices = [index] if passes == 1 else [index.where(F.pmod("number", F.lit(passes)) == k) for k in range(passes)]
     found = reduce(DataFrame.unionAll, [find_windows(words, part) for part in slices])
-    by_doc = found.groupBy("row", "doc_key", "n_words").agg(
-        F.collect_set("span").alias("spans"), F.collect_set("number").alias("numbers")
-    )
-    # Documents with hits are few; only they meet the items of their windows.
-    hits = by_doc.where(F.size("numbers") > 0).select("row", F.explode("numbers").alias("number"))
+    by_text = durable(found.groupBy("text_id").agg(F.collect_set("span").alias("spans"), F.collect_set("number").alias("numbers")))
     items = windows.where(F.col("item").isNotNull()).select(F.xxhash64(F.array_join("window", " ")).alias("number"), "item")
-    named = hits.join(items, "number").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    full = by_doc.join(named, "row", "left")
-    n_words = F.greatest(F.col("n_words"), F.lit(0)).cast("long")
-    n_hit = covered_words(F.col("spans")).cast("long")
-    listed = F.coalesce("items", F.array().cast("array<string>"))
-    return full.select(
-        F.col("doc_key").alias(key),
-        n_words.alias("n_words"),
-        n_hit.alias("n_hit"),
-        F.size(listed).cast("long").alias("n_items"),
-        F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * one_in >= n_words)).alias("contaminated"),
-    )
+    named = by_text.select("text_id", F.explode("numbers").alias("number")).join(items, "number").groupBy("text_id").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return durable(by_text.join(named, "text_id", "left").select("text_id", covered_words(F.col("spans")).alias("n_hit"), "items"))
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", **rule) -> DataFrame:
+def drop_contaminated(
+    documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, one_in: int = ONE_IN, slice_windows: int = SLICE_WINDOWS
+) -> DataFrame:
     """``documents`` without the contaminated rows; all columns stay.
 
-    ``documents`` has to give the same rows in the same order when it is read
-    again, as stored tables do.
+    The rule and its edge cases are those of ``contamination``.
     """
-    numbered = documents.withColumn("__row", F.monotonically_increasing_id())
-    judged = contamination(numbered, benchmark, key="__row", text=text, **rule)
-    return without_rows(numbered, judged.where("contaminated").select("__row")).drop("__row")
+    identity = content_id(documents, text)
+    judged = documents.select(identity.alias("text_id"), words_of(F.col(f"`{text}`")).alias("words"))
+    windows = durable(benchmark_windows(benchmark, item, item_text, size))
+    hits = text_hits(judged, windows, slice_windows)
+    name = free_name(documents, "own_id")
+    hits = small_side(durable(hits.select(F.col("text_id").alias(name), F.col("n_hit").alias(free_name(documents, "own_hits")))))
+    met = documents.withColumn(name, identity).join(hits, name, "left")
+    count = F.col(hits.columns[1])
+    bad = F.coalesce((count > 0) & (count * one_in >= F.size(words_of(F.col(f"`{text}`")))), F.lit(False))
+    return met.where(F.when(count.isNull(), True).otherwise(~bad)).select(*[f"`{c}`" for c in documents.columns])
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

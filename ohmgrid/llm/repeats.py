@@ -22,8 +22,8 @@ that leaves singletons alone:
 4. The cells that are left are refined to the full depth, one of each kind, and
    equal strings are found there.
 
-Identifiers are exchanged, counted and joined; no bucket is gathered in a task.
-Texts are exchanged compressed.
+Identifiers are exchanged, counted and joined; no bucket is gathered in a task, and
+the large ones are dealt into parts.  Texts are exchanged compressed.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmgrid.llm.common import durable
+from ohmgrid.llm import blocks
+from ohmgrid.llm.common import durable, stored
 
 SIZE = 200
 #: Strings of a cell.
@@ -182,8 +183,9 @@ def _signed(values: np.ndarray) -> pa.Array:
 def _scan(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for row, first, offset, more, anchor, stretch in anchors_of(*string_bytes(batch.column(1)), size):
+            ids, texts = batch.column(0).to_numpy(), list(_unpacked(batch.column(1)))
+            bounds = np.cumsum([0, *map(len, texts)])
+            for row, first, offset, more, anchor, stretch in anchors_of(np.concatenate(texts) if texts else np.zeros(0, np.uint8), bounds, size):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[row]), pa.array(pack_span(first, offset, more)), _signed(anchor), _signed(stretch)],
                     names=["row", "span", "bucket", "name"],
@@ -301,12 +303,12 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     is one of a single name, and a name that several rows have.
     """
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("least"), F.max("name").alias("most"))
-    shared = shared.where(F.col("n") > 1).select("bucket", (F.col("least") != F.col("most")).alias("mixed"))
-    met = durable(rows.join(shared, "bucket"))
+    shared = durable(shared.where(F.col("n") > 1).select("bucket", "n", (F.col("least") != F.col("most")).alias("mixed")))
+    met = durable(blocks.dealt_join(rows, shared, ["bucket"], ["row", "span"]))
     mixed = met.where("mixed").drop("mixed")
     first = F.min(F.struct("row", "span", *[c for c in rows.columns if c not in ("row", "span", "bucket", "name")])).alias("one")
     kinds = durable(mixed.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n"), first))
-    equal = mixed.join(kinds.where(F.col("n") > 1).select("bucket", "name"), ["bucket", "name"], "left_semi")
+    equal = blocks.dealt_join(mixed, kinds.where(F.col("n") > 1).select("bucket", "name", "n"), ["bucket", "name"], ["row", "span"])
     settled = met.where(~F.col("mixed")).select("row", "span").unionAll(equal.select("row", "span"))
     return settled, kinds.select("one.*", "bucket")
 
@@ -318,28 +320,28 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     other place of the same or another document; strings never cross documents and
     are judged on the input alone.  Null texts are empty.  Repeated rows are other
     documents; keys may repeat or be null.  Other columns are ignored.  ``size`` is
-    24 to 500.  ``documents`` has to give the same rows in the same order when it
-    is read again, as stored tables do.
+    24 to 500.  Rows are numbered once and stored with their numbers, compressed,
+    so it does not matter in which splits they are read again.
     """
     if not 24 <= size <= 500:
         raise ValueError(f"size {size} is not in 24..500")
     rows = documents.select(
-        F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
+        F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
     )
-    kind = documents.select(key).schema[0].dataType.simpleString()
-    texts = rows.mapInArrow(_pack, f"row long, key {kind}, packed binary")
+    kind = rows.select("key").schema[0].dataType.simpleString()
+    texts = stored(rows.mapInArrow(_pack, f"row long, key {kind}, packed binary"))
 
     def read_again(asked: DataFrame, what: str, kernel, schema: str) -> DataFrame:
         by_text = asked.select("row", F.struct("span", what).alias("asked")).groupBy("row").agg(F.collect_list("asked").alias("asked"))
-        return texts.join(by_text, "row").select("row", "packed", "asked").mapInArrow(kernel(size), schema)
+        return texts.select("row", "packed").join(by_text, "row").select("row", "packed", "asked").mapInArrow(kernel(size), schema)
 
-    stretches = rows.select("row", "text").mapInArrow(_scan(size), "row long, span long, bucket long, name long")
+    stretches = texts.select("row", "packed").mapInArrow(_scan(size), "row long, span long, bucket long, name long")
     in_stretches, asked = _split(stretches)
     cells = durable(read_again(asked, "bucket", _cells, "row long, span long, anchor long, bucket long, name long"))
     in_cells, asked = _split(cells)
     strings = durable(read_again(asked, "anchor", _strings, "row long, span long, bucket long, name long"))
-    twice = strings.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    found = strings.join(twice, ["bucket", "name"], "left_semi")
+    twice = durable(strings.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    found = blocks.dealt_join(strings, twice, ["bucket", "name"], ["row", "span"])
     spans = in_stretches.unionAll(in_cells).unionAll(found.select("row", "span"))
     by_text = spans.groupBy("row").agg(F.collect_list("span").alias("spans"))
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")

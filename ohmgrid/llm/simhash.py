@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmgrid.llm import blocks
-from ohmgrid.llm.common import ASCII_LOWER, ASCII_UPPER, BROADCAST_ROWS, durable, without_rows
+from ohmgrid.llm.common import ASCII_LOWER, ASCII_UPPER, content_id, durable, free_name, small_side, without_rows
 from ohmgrid.operators.graph import connected_components
 
 BITS = 64
@@ -348,7 +348,7 @@ def _possible(table: pa.Table, similar: float):
 
 
 def _nearest(similar: float):
-    """For each row of a run, the nearest possible partner of smaller class: (u, v)."""
+    """For each row of a run, its class v, the nearest possible partner u of smaller class, and how far apart they are at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks.whole_runs(batches):
@@ -361,7 +361,8 @@ def _nearest(similar: float):
                 apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
                 np.minimum.at(nearest, high, (apart << 40) | low)
             rows = np.flatnonzero(nearest < none)
-            yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), pa.array(cls[nearest[rows] & ((1 << 40) - 1)])], names=["u", "v"])
+            apart, low = nearest[rows] >> 40, nearest[rows] & ((1 << 40) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), pa.array(cls[low]), pa.array(apart)], names=["v", "u", "apart"])
 
     return run
 
@@ -443,16 +444,24 @@ def _dense_links(least: float):
     return run
 
 
-def whole_sets(numbered: DataFrame, text: str, shingle: int, asked: DataFrame) -> DataFrame:
-    """``asked`` (cls, and other columns) with ``set``: all shingle hashes of the row of that number, made from its text again."""
-    others = [c for c in asked.columns if c != "cls"]
-    asked = durable(asked.distinct().groupBy("cls").agg(F.collect_list(F.struct(*others)).alias("for")) if others else asked.distinct())
-    small = asked.count() <= BROADCAST_ROWS
-    source = numbered.select(F.col("__row").alias("cls"), F.col(text).cast("string").alias("text")).join(F.broadcast(asked) if small else asked, "cls")
+def whole_sets(numbered: DataFrame, shingle: int, asked: DataFrame) -> DataFrame:
+    """``asked`` (cls, id, and other columns) with ``set``: all shingle hashes of a row of that id, made from its text again.
+
+    Equal rows have one id; a task makes the set of each id once.
+    """
+    others = [c for c in asked.columns if c not in ("cls", "id")]
+    asked = durable(asked.distinct().groupBy("cls", "id").agg(F.collect_list(F.struct(*others)).alias("for")) if others else asked.distinct())
+    source = numbered.join(small_side(asked), "id")
     kept = [c for c in ("cls", "for") if c in asked.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            fresh = []
+            for cls in batch.column("cls").to_pylist():
+                fresh.append(cls not in seen)
+                seen.add(cls)
+            batch = batch.filter(pa.array(fresh))
             sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sets, pa.binary())], names=[*kept, "set"])
 
@@ -461,18 +470,23 @@ def whole_sets(numbered: DataFrame, text: str, shingle: int, asked: DataFrame) -
     return found.select("cls", F.explode("for").alias("for"), "set").select("cls", "for.*", "set") if others else found
 
 
-def verified_links(numbered: DataFrame, text: str, shingle: int, pairs: DataFrame, similar: float) -> DataFrame:
-    """Those of ``pairs`` (u below v: numbers of rows) whose whole shingle sets are similar; each set is sent once to each smaller partner."""
-    asked = pairs.select(F.col("u").alias("home"), F.explode(F.array("u", "v")).alias("cls"))
-    met = whole_sets(numbered, text, shingle, asked).repartition("home").sortWithinPartitions("home", "cls")
-    return durable(met.mapInArrow(_verified(similar), "u long, v long"))
+def verified_links(numbered: DataFrame, shingle: int, classes: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
+    """Those of ``pairs`` (u below v: classes, stored) whose whole shingle sets are similar.
+
+    Each set is sent once to each smaller partner, its home; homes of many partners are dealt into parts.
+    """
+    large = durable(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > blocks.BLOCK).select("u", F.ceil(F.col("n") / blocks.BLOCK).alias("parts")))
+    dealt = pairs.join(small_side(large), "u", "left").withColumn("part", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int"))
+    asked = dealt.select(F.col("u").alias("home"), "part", F.explode(F.array("u", "v")).alias("cls")).join(classes.select("cls", "id"), "cls")
+    met = whole_sets(numbered, shingle, asked).repartition("home", "part").sortWithinPartitions("home", "part", "cls")
+    return durable(met.mapInArrow(_verified(similar), "u long, v long").distinct())
 
 
-def similar_links(numbered: DataFrame, text: str, shingle: int, classes: DataFrame, similar: float) -> DataFrame:
+def similar_links(numbered: DataFrame, shingle: int, classes: DataFrame, similar: float) -> DataFrame:
     """(u, v): verified links that join exactly the classes whose sets are similar, by chains.
 
     Candidates share a hash of their prefixes, and every one is either verified on
-    whole sets or joined by links that are.  First each row's nearest partners are
+    whole sets or joined by links that are.  First each row's nearest partner is
     verified, so that large groups close; then all pairs that are still apart.
     """
     rows = classes.select("cls", "n", "prefix").mapInArrow(_tokens, "token long, cls long, n int, pos int")
@@ -483,17 +497,18 @@ def similar_links(numbered: DataFrame, text: str, shingle: int, classes: DataFra
         return rows.join(extra, "cls").repartition("run").sortWithinPartitions("run")
 
     plain = classes.select("cls", "bits", F.col("cls").alias("label"))
-    pairs = durable(met(plain).mapInArrow(_nearest(similar), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    links = verified_links(numbered, text, shingle, pairs, similar)
+    nearest = met(plain).mapInArrow(_nearest(similar), "v long, u long, apart long")
+    pairs = durable(nearest.groupBy("v").agg(F.min(F.struct("apart", "u")).alias("best")).select("best.u", "v"))
+    links = verified_links(numbered, shingle, classes, pairs, similar)
     parts = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
     labelled = durable(classes.select("cls", "bits").join(parts, "cls", "left").select("cls", "bits", F.coalesce("root", "cls").alias("label")))
     rest = durable(met(labelled).mapInArrow(_rest(similar), "run long, side byte, u long, v long"))
     left = durable(rest.where("v IS NOT NULL").select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"))
-    links = links.unionAll(verified_links(numbered, text, shingle, left, similar))
+    links = links.unionAll(verified_links(numbered, shingle, classes, left, similar))
     dense = rest.where("v IS NULL").select("run", "side", F.col("u").alias("cls"))
     if dense.isEmpty():
         return links
-    sets = durable(whole_sets(numbered, text, shingle, dense.select("cls")))
+    sets = durable(whole_sets(numbered, shingle, dense.select("cls").join(classes.select("cls", "id"), "cls")).dropDuplicates(["cls"]))
     rows = dealt.join(dense, ["run", "side", "cls"], "left_semi")
     return links.unionAll(met(labelled.join(sets, "cls"), rows).mapInArrow(_dense_links(similar), "u long, v long"))
 
@@ -501,26 +516,36 @@ def similar_links(numbered: DataFrame, text: str, shingle: int, classes: DataFra
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
     """``documents`` with one row of each group of near duplicates, that of the smallest key; all columns stay.
 
-    Equal keys are told apart by the order of the rows, and null keys come last.
+    Equal keys are told apart by the contents of their rows, and null keys come
+    last; of wholly equal rows any one is the one.
 
     Rows whose shingle sets have a similarity of at least ``similar`` are one group,
     by chains; every such pair is found and is held against the whole sets.  Rows
-    without words (null and empty texts) are one group.  ``documents`` has to give
-    the same rows in the same order when it is read again, as stored tables do.
+    without words (null and empty texts) are one group.  Rows are known by their
+    contents, so it does not matter in which splits the table is read again.
     """
-    numbered = documents.withColumn("__row", F.monotonically_increasing_id())
-    named = numbered.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row")).alias("name"), F.col(text).alias("text"))
-    common = common_shingles(named.select(F.col("name.row").alias("row"), "text"), "row", "text", shingle)
+    identity = content_id(documents, *documents.columns)
+    numbered = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), identity.alias("id"))
+    named = numbered.select(F.struct(F.col("key").isNull().alias("none"), "key", "id").alias("name"), "text")
+    common = common_shingles(numbered.select("id", "text"), "id", "text", shingle)
     each = durable(prefixes(named, "name", "text", shingle, similar, common))
     kept = each.groupBy("digest").agg(F.min("name").alias("first"), F.min_by(F.struct("n", "prefix", "bits"), "name").alias("of"))
-    classes = durable(kept.select("digest", "first", F.col("first.row").alias("cls"), "of.*"))
-    parts = connected_components(similar_links(numbered, text, shingle, classes, similar))
+    # Stored at once, so that the classes keep the numbers they get here.
+    classes = durable(kept.select("digest", "first", F.monotonically_increasing_id().alias("cls"), F.col("first.id").alias("id"), "of.*"))
+    parts = connected_components(similar_links(numbered.select("id", "text"), shingle, classes, similar))
     rooted = classes.select("digest", "first", "cls").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
     rooted = durable(rooted.select("digest", "first", F.coalesce("component", "cls").alias("root")))
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
-    group = rooted.join(kept, "root").select("digest", "kept")
-    dropped = each.select("name", "digest").join(group, "digest").where(F.col("name.row") != F.col("kept.row")).select(F.col("name.row").alias("__row"))
-    return without_rows(numbered, dropped).drop("__row")
+    group = durable(rooted.join(kept, "root").select("digest", "kept"))
+    judged = each.select("name", "digest").join(group, "digest").select("name.id.*", (F.col("name.id") == F.col("kept.id")).alias("first"))
+    rest = without_rows(documents, judged.where(~F.col("first")).select("a", "b"), identity)
+    # Equal rows are all the first of their group; they are few, and one of each is put back.
+    equal = durable(judged.where("first").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"))
+    if equal.isEmpty():
+        return rest
+    name = free_name(documents, "own_id")
+    one = documents.withColumn(name, identity).join(small_side(equal.select(F.struct("a", "b").alias(name))), name, "left_semi").dropDuplicates([name]).drop(name)
+    return without_rows(rest, equal, identity).unionByName(one)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
