@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 # Provenances from the weakest to the strongest.
 PROVENANCE = ("assumed", "derived", "configured", "imported")
@@ -54,27 +56,60 @@ def weakest_provenance(provenance: Column) -> Column:
 
 
 def slug(name: Column) -> Column:
-    """Lower case, runs of other characters as one dash, none at the ends; ``item`` if nothing is left."""
+    """Lower case, runs of other characters as one dash, none at the ends; ``unnamed`` if nothing is left."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(plain == "", "item").otherwise(plain)
+    return F.when(F.coalesce(plain, F.lit("")) == "", "unnamed").otherwise(plain)
+
+
+def _suffixed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Slugs of one family after another; ``tried`` holds how far the suffixes of each base have been given or passed over."""
+    family, tried = None, {}
+
+    def taken(name: str) -> bool:
+        base, _, number = name.rpartition("-")
+        return name in tried or (number.isdigit() and number[0] != "0" and 2 <= int(number) <= tried.get(base, 0))
+
+    for frame in frames:
+        out = []
+        for own, base in zip(frame["__family"], frame["__slug"], strict=True):
+            if own != family:
+                family, tried = own, {}
+            k = tried.get(base, 0) + 1
+            while taken(base if k == 1 else f"{base}-{k}"):
+                k += 1
+            tried[base] = k
+            out.append(base if k == 1 else f"{base}-{k}")
+        frame["__slug"] = out
+        yield frame
+
+
+def unique_slugs(df: DataFrame, name: str, order: list[str], out: str = "slug", within: list[str] | None = None) -> DataFrame:
+    """Adds a slug that no other row ``within`` has: in ``order``, each takes its own or the first free one of -2, -3, ...
+
+    Only slugs of one family, the same but for numbers at the end, can meet.  A
+    family is streamed through one task; the state is a number for each distinct slug.
+    """
+    based = df.withColumn("__slug", slug(F.col(name)))
+    family = F.regexp_replace("__slug", "(-[1-9][0-9]*)+$", "")
+    named = based.withColumn("__family", F.to_json(F.array(*[F.col(c).cast("string") for c in within or []], family)))
+    dealt = named.repartition("__family").sortWithinPartitions("__family", *order)
+    return dealt.mapInPandas(_suffixed, dealt.schema).drop("__family").withColumnRenamed("__slug", out)
 
 
-def unique_slugs(df: DataFrame, name: str, order: list[str], out: str = "slug") -> DataFrame:
-    """Adds a slug that no other row has: the first of equal ones stays, the others get -2, -3, ... in ``order``."""
-    numbered = df.withColumn("__slug", slug(F.col(name)))
-    k = F.row_number().over(W.partitionBy("__slug").orderBy(*order))
-    return numbered.withColumn(out, F.when(k == 1, F.col("__slug")).otherwise(F.concat_ws("-", "__slug", k.cast("string")))).drop("__slug")
+def safe_label(name: Column, most: int = 48) -> Column:
+    """An uploaded name with unusual characters as underscores and no dots, dashes or underscores at its ends; ``unnamed`` if nothing is left."""
+    cleaned = F.regexp_replace(F.regexp_replace(F.trim(name), r"[^A-Za-z0-9._-]", "_"), r"^[._-]+|[._-]+$", "")
+    return F.substring(F.when(F.coalesce(cleaned, F.lit("")) == "", "unnamed").otherwise(cleaned), 1, most)
 
 
-def safe_label(name: Column, most: int = 120) -> Column:
-    """Last part of an uploaded path, with unusual characters as underscores; ``upload`` if nothing is left."""
-    last = F.regexp_replace(F.trim(F.regexp_replace(name, r"^.*[/\\]", "")), r"[^A-Za-z0-9._ -]", "_")
-    return F.when(last == "", "upload").otherwise(F.substring(last, 1, most))
+# Parts of keys whose values are not logged, and what stands in their place.
+SECRET_KEYS = ("password", "secret", "token", "api_key", "credential")
+REDACTED = "***redacted***"
 
 
 def redacted(context: Column) -> Column:
     """A map with the values of secret-looking keys hidden."""
-    return F.transform_values(context, lambda k, v: F.when(k.rlike("(?i)password|secret|token|api_?key|credential"), "***").otherwise(v))
+    return F.transform_values(context, lambda k, v: F.when(F.lower(k).rlike("|".join(SECRET_KEYS)), REDACTED).otherwise(v))
 
 
 def content_digest(text: Column) -> Column:

@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, ``spark.checkpoint.dir``; one is made only where none is set, as in tests."""
+    """The cluster's checkpoint folder, ``spark.checkpoint.dir``.
+
+    On one machine, as in tests, a folder is made where none is set; a cluster
+    without one is refused, as its machines do not share their temporary folders.
+    """
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ohmgrid-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ohmgrid-"))
     return context.getCheckpointDir().get()
 
 

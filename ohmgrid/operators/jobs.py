@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # States that each state may move to.
 TRANSITIONS = {
-    "QUEUED": ("CLAIMED", "CANCELLED"),
+    "QUEUED": ("CLAIMED", "CANCELLING", "CANCELLED"),
     "CLAIMED": ("RUNNING", "QUEUED", "CANCELLING", "FAILED"),
     "RUNNING": ("COMPLETED", "COMPLETED_WITH_WARNINGS", "FAILED", "CANCELLING", "QUEUED"),
     "CANCELLING": ("CANCELLED", "FAILED"),
@@ -26,8 +26,10 @@ QUALITY_STATE = {
     "CONVERGED": "COMPLETED",
     "CONVERGED_WITH_MODEL_LIMITATIONS": "COMPLETED_WITH_WARNINGS",
     "RESOURCE_LIMITED": "COMPLETED_WITH_WARNINGS",
-    "CANCELLED_PARTIAL": "COMPLETED_WITH_WARNINGS",
+    "NOT_CONVERGED": "COMPLETED_WITH_WARNINGS",
+    "NUMERICAL_FAILURE": "FAILED",
 }
+TRUSTED = ("CONVERGED", "CONVERGED_WITH_MODEL_LIMITATIONS")
 MAX_ATTEMPTS = 3
 
 

@@ -42,11 +42,10 @@ def default_sizing(box: Column) -> Column:
 
 def size_field(asked: DataFrame, seeds: DataFrame, key: str, seed: str, same: list[str], growth: float, largest: float, k: int = 8) -> DataFrame:
     """(key, size): the least of size + growth x distance over the k nearest seeds of the layer, at most ``largest``."""
-    met = asked.join(seeds, same)
-    dx, dy = F.col("px") - F.col("nx"), F.col("py") - F.col("ny")
-    ranked = met.select(key, "size", seed, F.sqrt(dx * dx + dy * dy).alias("distance"))
-    nearest = ranked.withColumn("__k", F.row_number().over(W.partitionBy(key).orderBy("distance", seed))).where(F.col("__k") <= k)
-    return nearest.groupBy(key).agg(F.min(F.least(F.col("size") + growth * F.col("distance"), F.lit(largest))).alias("size"))
+    from ohmgrid.operators.spatial import nearest_k
+
+    found = nearest_k(asked, seeds, key, seed, same, k).join(seeds.select(seed, "size"), seed)
+    return found.groupBy(key).agg(F.min(F.least(F.col("size") + growth * F.col("distance"), F.lit(largest))).alias("size"))
 
 
 def compare_runs(base: DataFrame, refined: DataFrame, target: float) -> DataFrame:

@@ -130,3 +130,27 @@ def diagnostics(parts: dict[str, DataFrame]) -> DataFrame:
         coded = rows.select(F.lit(code).alias("code"), F.col("pos").cast("long").alias("pos"), F.col("subject").cast("string").alias("subject"))
         out = coded if out is None else out.unionByName(coded)
     return out.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min_by("subject", "pos").alias("first"))
+
+
+def matching(df: DataFrame, name: str, text: str) -> DataFrame:
+    """Rows whose name holds the text, in any case."""
+    return df.where(F.contains(F.lower(name), F.lit(text.lower())))
+
+
+def terminals_by_component(terminals: DataFrame, components: DataFrame) -> DataFrame:
+    """(component, terminals, n): sorted terminal names under the component's designator, or under ``component <id>`` where it is unknown; by name."""
+    named = terminals.join(components.select("component_id", "refdes"), "component_id", "left")
+    shown = F.coalesce("refdes", F.concat(F.lit("component "), F.col("component_id").cast("string")))
+    return named.groupBy(shown.alias("component")).agg(F.array_sort(F.collect_list("name")).alias("terminals"), F.count(F.lit(1)).alias("n")).orderBy("component")
+
+
+def board_list(boards: DataFrame, needed: list[Column]) -> DataFrame:
+    """Stored boards with their readiness, the most recent first."""
+    return boards.withColumn("readiness", readiness(needed)).orderBy(F.col("stored_at").desc(), "board_id")
+
+
+def report_lines(layers: DataFrame) -> DataFrame:
+    """(idx, line): the stackup of an inspection report, a line of fixed columns for each layer; thickness in micrometres."""
+    known = F.format_string("%-4s %-12s %6.1f um", "layer_id", "function", "thickness")
+    unknown = F.format_string("%-4s %-12s thickness unknown", "layer_id", "function")
+    return layers.select("idx", F.when(F.col("thickness").isNull(), unknown).otherwise(known).alias("line"))

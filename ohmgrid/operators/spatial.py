@@ -1,10 +1,20 @@
-"""Spatial joins by grid buckets; never a product of two large tables."""
+"""Spatial joins by grid cells; never a product of two large tables.
+
+Boxes of every size are met by levels: a box lies on the level whose cells are as
+wide as it is, so that it covers four of them at most, and a point looks into one
+cell of each level in use.  Nearest neighbours are searched in cells that double
+until the search is certain to be complete.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from ohmgrid.functions.storage import durable
 from ohmgrid.operators.graph import connected_components
 
 
@@ -12,6 +22,30 @@ def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
 
+def levels_of(boxes: DataFrame) -> list[int]:
+    """The levels in use; widths are doubles, so there are few."""
+    return sorted(r[0] for r in boxes.select("level").distinct().collect())
+
+
+def with_cells(boxes: DataFrame) -> DataFrame:
+    """``boxes`` (bx0, bx1, by0, by1) once for each cell of their level that they touch: level, cx, cy."""
+    width = F.greatest(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0"), F.lit(1e-12))
+    levelled = boxes.withColumn("level", F.ceil(F.log2(width)).cast("int"))
+    size = F.pow(F.lit(2.0), F.col("level"))
+
+    def span(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(low) / size).cast("long"), F.floor(F.col(high) / size).cast("long")))
+
+    return levelled.withColumn("cx", span("bx0", "bx1")).withColumn("cy", span("by0", "by1"))
+
+
+def in_cells(points: DataFrame, levels: list[int], x: str, y: str) -> DataFrame:
+    """``points`` once for each level: level, cx, cy of the cell that the point is in."""
+    each = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]) if levels else F.array().cast("array<int>")))
+    size = F.pow(F.lit(2.0), F.col("level"))
+    return each.withColumns({"cx": F.floor(F.col(x) / size).cast("long"), "cy": F.floor(F.col(y) / size).cast("long")})
+
+
 def near_pairs(points: DataFrame, key: str, x: str, y: str, radius: float, group: list[str] | None = None) -> DataFrame:
     """(a, b, distance), a < b, of points of a group within ``radius``: a bucket join on cells of that size.
 
@@ -33,6 +67,14 @@ def clusters(points: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     return points.select(key).join(parts.select(F.col("node").alias(key), "component"), key, "left").select(key, F.coalesce("component", key).alias("cluster"))
 
 
+def chained(points: DataFrame, key: str, x: str, y: str, radius: float, group: list[str] | None = None) -> DataFrame:
+    """(a, b) that chain exactly the points of a group within ``radius`` of each other, a point for many in one place."""
+    place = [*(group or []), x, y]
+    first = durable(points.groupBy(*place).agg(F.min(key).alias("a")))
+    stars = points.join(first, [*place]).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"))
+    return near_pairs(first.withColumnRenamed("a", key), key, x, y, radius, group).select("a", "b").unionAll(stars)
+
+
 def overlap_pairs(vias: DataFrame, key: str, x: str, y: str, radius: str, low: str, high: str, most_radius: float) -> DataFrame:
     """(a, b) of barrels that touch (distance below the sum of radii) and share a layer; cells are twice the largest radius."""
     size = 2 * most_radius
@@ -102,43 +144,91 @@ def points_in_regions(points: DataFrame, regions: DataFrame, key: str, region: s
     """(key, region) of points inside; even-odd over all rings, so holes count themselves out.
 
     ``points`` has (key, px, py, ...same), ``regions`` (region, edges: array of
-    struct x1, y1, x2, y2, ...same).  The equi-join on ``same`` and the bounding box
-    come first, the edges of a region are folded in place.
+    struct x1, y1, x2, y2, ...same).  Points meet the boxes whose cells they are in;
+    the edges of a region are folded in place.
     """
-    # A slight sort-free box test before the exact one.
     boxed = regions.select(
         region, *same, "edges",
-        F.array_min(F.transform("edges", lambda e: e["x1"])).alias("bx0"), F.array_max(F.transform("edges", lambda e: e["x1"])).alias("bx1"),
-        F.array_min(F.transform("edges", lambda e: e["y1"])).alias("by0"), F.array_max(F.transform("edges", lambda e: e["y1"])).alias("by1"),
-    )
+        (F.array_min(F.transform("edges", lambda e: e["x1"])) - pad).alias("bx0"), (F.array_max(F.transform("edges", lambda e: e["x1"])) + pad).alias("bx1"),
+        (F.array_min(F.transform("edges", lambda e: e["y1"])) - pad).alias("by0"), (F.array_max(F.transform("edges", lambda e: e["y1"])) + pad).alias("by1"),
+    ).where(F.col("bx0").isNotNull())
+    boxes = with_cells(boxed)
     px, py = F.col("px"), F.col("py")
-    met = points.join(boxed, same).where((px >= F.col("bx0") - pad) & (px <= F.col("bx1") + pad) & (py >= F.col("by0") - pad) & (py <= F.col("by1") + pad))
+    met = in_cells(points, levels_of(boxes), "px", "py").join(boxes, [*same, "level", "cx", "cy"])
+    inside = (px >= F.col("bx0")) & (px <= F.col("bx1")) & (py >= F.col("by0")) & (py <= F.col("by1"))
     odd = F.size(F.filter("edges", lambda e: crosses(px, py, e["x1"], e["y1"], e["x2"], e["y2"]))) % 2 == 1
-    return met.where(odd).select(key, region)
+    return met.where(inside & odd).select(key, region)
+
+
+def nearest_k(points: DataFrame, nodes: DataFrame, key: str, node: str, same: list[str], k: int) -> DataFrame:
+    """(key, node, distance, rank) of the ``k`` nearest nodes of the same net and layer; equal distances by the smaller node.
+
+    ``points`` has (key, px, py, ...same), ``nodes`` (node, nx, ny, ...same); groups
+    of fewer nodes give them all.  Points look into the nine cells around them; those
+    whose k-th node is within a cell's width are done, as nothing nearer lies outside,
+    and the others go on with cells twice as wide.
+    """
+    own = durable(nodes.select(*same, node, "nx", "ny"))
+    extent = own.agg(F.min("nx"), F.max("nx"), F.min("ny"), F.max("ny"), F.count(F.lit(1))).first()
+    result = "__d"
+    open_points = durable(points.select(key, *same, "px", "py"))
+    reach = open_points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+    if not extent[4] or reach[0] is None:
+        empty = open_points.join(own, same).select(key, node, F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
+        return empty.limit(0)
+    width = max(extent[1], reach[1]) - min(extent[0], reach[0])
+    height = max(extent[3], reach[3]) - min(extent[2], reach[2])
+    whole = max(math.hypot(width, height), 1e-12) * (1 + 1e-9)
+    size = min(whole, max(whole * math.sqrt(k / extent[4]), whole * 2.0**-40))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    done: list[DataFrame] = []
+    while True:
+        looks = open_points.withColumn("d", F.explode(around)).withColumns({"cx": cell(F.col("px"), size) + F.col("d.i"), "cy": cell(F.col("py"), size) + F.col("d.j")}).drop("d")
+        met = looks.join(own.withColumns({"cx": cell(F.col("nx"), size), "cy": cell(F.col("ny"), size)}), [*same, "cx", "cy"])
+        dx, dy = F.col("px") - F.col("nx"), F.col("py") - F.col("ny")
+        by_distance = W.partitionBy(key).orderBy(result, node)
+        ranked = met.select(key, node, F.sqrt(dx * dx + dy * dy).alias(result)).withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
+        last = size >= whole
+        if not last:
+            complete = ranked.where((F.col("rank") == k) & (F.col(result) <= size)).select(key)
+            ranked = ranked.join(complete, key, "left_semi")
+        ranked = durable(ranked)
+        done.append(ranked)
+        if last:
+            break
+        open_points = durable(open_points.join(ranked.select(key).distinct(), key, "left_anti"))
+        if open_points.isEmpty():
+            break
+        size = min(2 * size, whole)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.withColumnRenamed(result, "distance").select(key, node, "distance", "rank")
 
 
 def nearest(points: DataFrame, nodes: DataFrame, key: str, node: str, same: list[str]) -> DataFrame:
     """(key, node, distance): the nearest node of the same net and layer; equal distances by the smaller node."""
-    met = points.join(nodes, same)
-    distance = F.hypot(F.col("px") - F.col("nx"), F.col("py") - F.col("ny"))
-    best = met.groupBy(key).agg(F.min(F.struct(distance.alias("distance"), F.col(node).alias("node"))).alias("best"))
-    return best.select(key, F.col("best.node").alias(node), F.col("best.distance").alias("distance"))
+    return nearest_k(points, nodes, key, node, same, 1).select(key, node, "distance")
 
 
 def nodes_within(discs: DataFrame, nodes: DataFrame, key: str, node: str, same: list[str], radius: str) -> DataFrame:
     """(key, node) of nodes inside each disc, with the tolerance of one part in 10^9."""
-    met = discs.join(nodes, same)
-    distance = F.hypot(F.col("px") - F.col("nx"), F.col("py") - F.col("ny"))
-    return met.where(distance <= F.col(radius) * (1 + 1e-9) + 1e-12).select(key, node)
+    reach = F.col(radius) * (1 + 1e-9) + 1e-12
+    boxes = with_cells(discs.select(key, *same, "px", "py", reach.alias("reach")).withColumns({
+        "bx0": F.col("px") - F.col("reach"), "bx1": F.col("px") + F.col("reach"), "by0": F.col("py") - F.col("reach"), "by1": F.col("py") + F.col("reach"),
+    }))
+    met = in_cells(nodes, levels_of(boxes), "nx", "ny").join(boxes, [*same, "level", "cx", "cy"])
+    return met.where(F.hypot(F.col("px") - F.col("nx"), F.col("py") - F.col("ny")) <= F.col("reach")).select(key, node)
 
 
 def containing_triangle(points: DataFrame, triangles: DataFrame, key: str, tri: str, same: list[str], tolerance: float = 1e-9) -> DataFrame:
     """(key, tri): the first triangle (x0, y0, x1, y1, x2, y2) that holds each point, by barycentric coordinates."""
-    t = triangles.withColumns({
+    boxes = with_cells(triangles.withColumns({
         "bx0": F.least("x0", "x1", "x2"), "bx1": F.greatest("x0", "x1", "x2"), "by0": F.least("y0", "y1", "y2"), "by1": F.greatest("y0", "y1", "y2"),
-    })
+    }))
     px, py = F.col("px"), F.col("py")
-    met = points.join(t, same).where(px.between(F.col("bx0"), F.col("bx1")) & py.between(F.col("by0"), F.col("by1")))
+    met = in_cells(points, levels_of(boxes), "px", "py").join(boxes, [*same, "level", "cx", "cy"])
+    met = met.where(px.between(F.col("bx0"), F.col("bx1")) & py.between(F.col("by0"), F.col("by1")))
     area = (F.col("x1") - F.col("x0")) * (F.col("y2") - F.col("y0")) - (F.col("x2") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     l1 = ((px - F.col("x0")) * (F.col("y2") - F.col("y0")) - (F.col("x2") - F.col("x0")) * (py - F.col("y0"))) / area
     l2 = ((F.col("x1") - F.col("x0")) * (py - F.col("y0")) - (px - F.col("x0")) * (F.col("y1") - F.col("y0"))) / area

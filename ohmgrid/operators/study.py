@@ -11,6 +11,9 @@ from pyspark.sql.window import Window as W
 
 from ohmgrid.operators.graph import connected_components
 
+# Fixed values: (target, passes, unknowns, confirmations) of the adaptive tiers.
+TIERS = {"low": (1e-2, 6, 500_000, 1), "medium": (1e-3, 12, 2_000_000, 2), "high": (3e-4, 16, 8_000_000, 3)}
+
 SPEC = "struct<kind:string,board_id:string,net_id:string,accuracy:string,source_terminal_ids:array<string>,source_terminal_id:string,to_terminal_ids:array<string>,to_terminal_id:string,source_voltage_v:double,loads:array<struct<terminal_ids:array<string>,terminal_id:string,current_a:double>>>"
 
 
@@ -129,3 +132,38 @@ def assign_cutouts(cutouts: DataFrame, outlines: DataFrame, inside: DataFrame) -
     """(cutout, outline): the first outline that holds the cutout's point, the very first one if none does."""
     met = cutouts.select("cutout").join(inside.groupBy("cutout").agg(F.min("outline").alias("outline")), "cutout", "left")
     return met.select("cutout", F.coalesce("outline", F.lit(0)).alias("outline"))
+
+
+def with_policy(asked: DataFrame) -> DataFrame:
+    """``asked`` (tier, and any of target, passes, dofs, confirmations) with all four: a field that is given beats the tier's."""
+    out = asked
+    for k, name in enumerate(("target", "passes", "dofs", "confirmations")):
+        of_tier = F.coalesce(*[F.when(F.col("tier") == tier, values[k]) for tier, values in TIERS.items()])
+        out = out.withColumn(name, F.coalesce(F.col(name), of_tier) if name in asked.columns else of_tier)
+    return out
+
+
+def members(spec: Column) -> Column:
+    """All ids that a spec names, each once: sources, far end and loads."""
+    loads = F.flatten(F.transform(spec["loads"], lambda x: x["terminal_ids"]))
+    return F.array_distinct(F.concat(spec["source_terminal_ids"], spec["to_terminal_ids"], loads))
+
+
+def resolve(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """(key, id): what ``asked`` (key, asked, studied) names by id or by name among ``known`` (id, name), null if nothing.
+
+    The studied one wins, then an id before a name, then the smallest id.
+    """
+    wanted = asked.select(key, "asked", "studied")
+    by_id = wanted.join(known.select("id").withColumn("asked", F.col("id")), "asked")
+    by_name = wanted.join(known.select("id", F.col("name").alias("asked")), "asked")
+    rank = F.struct((~F.coalesce(F.col("id") == F.col("studied"), F.lit(False))).alias("other"), (F.col("id") != F.col("asked")).alias("named"), "id")
+    best = by_id.unionByName(by_name).groupBy(key).agg(F.min(rank).alias("best"))
+    return wanted.select(key).join(best, key, "left").select(key, F.col("best.id").alias("id"))
+
+
+def convergence_document(history: DataFrame, run: list[str], order: str) -> DataFrame:
+    """(run, document): the passes of each run as one JSON document, in order; a run has tens of passes."""
+    row = F.struct(order, *[c for c in history.columns if c not in (*run, order)])
+    listed = history.groupBy(*run).agg(F.array_sort(F.collect_list(row)).alias("passes"))
+    return listed.select(*run, F.to_json(F.struct(F.lit(1).alias("version"), "passes")).alias("document"))

@@ -76,3 +76,9 @@ def conservation(sources: DataFrame, loads: DataFrame, dissipated: DataFrame) ->
     return one.withColumns({"imbalance_fraction": imbalance, "power_mismatch_fraction": mismatch}).withColumn(
         "severity", F.when(worst > 1e-3, "error").when(worst > 1e-6, "warning").otherwise("ok")
     )
+
+
+def reference_voltage(df: DataFrame, group: list[str], voltage: str) -> DataFrame:
+    """Per group, the largest finite potential; null if there is none."""
+    v = F.col(voltage)
+    return df.groupBy(*group).agg(F.max(F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)).alias("reference"))

@@ -106,8 +106,6 @@ def solve(spark: SparkSession, board: Board, size: float, order: str = "p1", cur
     return Result(problem, solution, voltages, fields)
 
 
-# Fixed values: (target, passes, unknowns, confirmations) of the adaptive tiers.
-TIERS = {"low": (1e-2, 6, 500_000, 1), "medium": (1e-3, 12, 2_000_000, 2), "high": (3e-4, 16, 8_000_000, 3)}
 GENERATION = "index int, dof_count long, element_count long, resistance_ohm double, change double, estimated_error double, imbalance_fraction double, power_mismatch_fraction double, marked_elements long, streak int, status string"
 
 

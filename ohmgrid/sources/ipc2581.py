@@ -321,7 +321,7 @@ def board_tables(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "source", F.concat_ws(".", "component", "pin").alias("name"), F.coalesce("drawn", "declared").alias("net_id"), "component", "pads",
         F.coalesce(F.col("drawn") != F.col("declared"), F.lit(False)).alias("mismatch"),
     ).where(F.col("net_id").isNotNull())
-    terminals = Q.unique_slugs(terminals, "name", ["source", "name"], "terminal_id")
+    terminals = Q.unique_slugs(terminals, "name", ["name"], "terminal_id", ["source"])
     components = parts["component"].groupBy("source", "refdes").agg(F.min_by("part", "pos").alias("part"))
     nets = regions.select("source", "net_id").unionAll(vias.select("source", "net_id")).unionAll(terminals.select("source", "net_id")).where(F.col("net_id").isNotNull()).distinct()
     return {"layers": layers, "nets": nets, "regions": regions, "refused": refused, "vias": vias, "terminals": terminals, "components": components}
