@@ -9,13 +9,18 @@ from pyspark.sql.window import Window as W
 from ohmgrid.functions.storage import durable
 
 
+#: Pointer doublings of a round, and levels that are resolved before the result is stored.
+DOUBLINGS, LEVELS = 2, 4
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (u, v: long) reaches.
 
     Each round, nodes pick the smallest of their closed neighbourhood, by id in
-    even rounds and by a fresh hash in odd ones, and the graph is contracted along
-    the picks; rounds grow with the logarithm of the graph.  Hubs are met by
-    partial aggregation and skew-split joins, and nothing is collected.
+    the first round and by a fresh hash in the others, picks of picks are followed
+    four steps far, and the graph is contracted along them; rounds grow with the
+    logarithm of the graph, for chains too.  Hubs are met by partial aggregation
+    and skew-split joins, and nothing is collected.
     """
     live = durable(
         edges.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -25,12 +30,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         turn = len(levels)
 
         def rank(name: str, turn: int = turn):
-            return F.col(name) if turn % 2 == 0 else F.xxhash64(name, F.lit(turn))
+            return F.col(name) if turn == 0 else F.xxhash64(name, F.lit(turn))
 
         both = live.unionAll(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         best = both.groupBy("u").agg(F.min(F.struct(rank("v").alias("rank"), F.col("v").alias("node"))).alias("best"))
         own = F.struct(rank("u").alias("rank"), F.col("u").alias("node"))
         picked = durable(best.select(F.col("u").alias("node"), F.least(own, F.col("best"))["node"].alias("parent")))
+        for _ in range(DOUBLINGS):
+            picked = picked.join(picked.toDF("parent", "next"), "parent").select("node", F.col("next").alias("parent"))
+        picked = durable(picked)
         ends = live.join(picked.toDF("u", "pu"), "u").join(picked.toDF("v", "pv"), "v").where(F.col("pu") != F.col("pv"))
         live = durable(ends.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
         levels.append(picked)
@@ -39,7 +47,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     roots = levels.pop()
     while levels:
         roots = levels.pop().join(roots.toDF("parent", "root"), "parent", "left").select("node", F.coalesce("root", "parent").alias("parent"))
-    roots = durable(roots)
+        if len(levels) % LEVELS == 0:
+            roots = durable(roots)
     return roots.join(roots.groupBy("parent").agg(F.min("node").alias("component")), "parent").select("node", "component")
 
 
