@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ohmgrid.functions.storage import durable, shared_folder
 
-__all__ = ["content_id", "durable", "free_name", "lower_ascii", "small_side", "stored", "shared_folder", "without_rows"]
+__all__ = ["content_id", "durable", "free_name", "lower_ascii", "shared_folder", "small_side", "without_rows"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -46,13 +44,6 @@ def content_id(df: DataFrame, *columns: str) -> Column:
     return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as a table that can be read in any number of splits."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def small_side(rows: DataFrame) -> DataFrame:
     """A stored ``rows``, marked for broadcast if counting proves it small."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

@@ -3,8 +3,8 @@
 Equal vectors of a label are one class.  Each class has a sign code in several
 tables; classes that share label, table and code are compared by their exact
 cosine in double precision, in blocks of bounded size.  A pair that meets in
-several tables is counted in the first of them alone, which both vectors tell by
-themselves, so links are counted without ever being listed.
+several tables is counted in the first of them alone, which the codes that both
+vectors carry tell, so links are counted without ever being listed.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from ohmgrid.llm import blocks
 from ohmgrid.llm.common import durable
@@ -44,8 +44,18 @@ def planes(dims: int, signs: int, tables: int) -> np.ndarray:
 
 def codes(vectors: np.ndarray, signs: int, tables: int) -> np.ndarray:
     """int64[n, tables]: the sign code of each vector in each table."""
-    bits = (vectors @ planes(vectors.shape[1], signs, tables) > 0).reshape(len(vectors), tables, signs)
-    return bits @ (1 << np.arange(signs, dtype=np.int64))
+    return unpacked(sign_bits(vectors, signs, tables), signs, tables)
+
+
+def sign_bits(vectors: np.ndarray, signs: int, tables: int) -> np.ndarray:
+    """uint8[n, bytes]: the signs of each vector in all tables, packed."""
+    return np.packbits(vectors @ planes(vectors.shape[1], signs, tables) > 0, axis=1)
+
+
+def unpacked(packed: np.ndarray, signs: int, tables: int) -> np.ndarray:
+    """int64[n, tables]: codes from packed signs."""
+    bits = np.unpackbits(packed, axis=1, count=tables * signs).reshape(len(packed), tables, signs)
+    return bits.astype(np.int64) @ (1 << np.arange(signs, dtype=np.int64))
 
 
 def _matrix(column) -> np.ndarray:
@@ -68,10 +78,13 @@ def _keyed(signs: int, tables: int):
         for batch in batches:
             for rows in _by_length(batch.column("vector")):
                 own = batch.take(pa.array(rows))
-                code = codes(_matrix(own.column("vector")), signs, tables)
+                packed = sign_bits(_matrix(own.column("vector")), signs, tables)
+                code = unpacked(packed, signs, tables)
+                carried = pa.array([p.tobytes() for p in packed], pa.binary())
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays(
-                        [*own.columns, pa.array(np.full(len(rows), t, np.int32)), pa.array(code[:, t].copy())], names=[*own.schema.names, "part", "code"]
+                        [*own.columns, carried, pa.array(np.full(len(rows), t, np.int32)), pa.array(code[:, t].copy())],
+                        names=[*own.schema.names, "signs", "part", "code"],
                     )
 
     return run
@@ -86,7 +99,8 @@ def _compare(signs: int, tables: int, cosine: float):
                 node, many = own.column("node").to_numpy(), own.column("n").to_numpy()
                 part, label = own.column("part").to_numpy(), own.column("label").to_numpy()
                 x = _matrix(own.column("vector"))
-                code = codes(x, signs, tables)
+                # Carried, not made anew: a sum near zero may round to the other side in another batch.
+                code = unpacked(np.frombuffer(b"".join(own.column("signs").to_pylist()), np.uint8).reshape(len(own), -1), signs, tables)
                 # Scaled first, so that neither huge nor tiny components overflow.
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 norm = np.sqrt(np.einsum("ij,ij->i", x, x))
@@ -121,17 +135,18 @@ def near_vectors(
     like any other and is never the smallest; a component of null keys alone has a
     null id and is not kept.  An empty table gives no rows.
     """
-    values = F.col(vector).cast("array<double>")
+    values = F.col(f"`{vector}`").cast("array<double>")
     largest = F.array_max(F.transform(values, F.abs))
     sound = (
-        F.col(label).isNotNull()
+        F.col(f"`{label}`").isNotNull()
         & (F.size(values) > 0)
         & ~F.exists(values, lambda v: v.isNull() | F.isnan(v))
         & (largest > 0)
         & (largest < F.lit(float("inf")))
     )
     rows = vectors.select(
-        F.col(key).alias("key"), F.when(F.coalesce(sound, F.lit(False)), F.struct(F.col(label).alias("label"), F.col(vector).alias("vector"))).alias("own")
+        F.col(f"`{key}`").alias("key"),
+        F.when(F.coalesce(sound, F.lit(False)), F.struct(F.col(f"`{label}`").alias("label"), F.col(f"`{vector}`").alias("vector"))).alias("own"),
     )
     rows = durable(rows.withColumn("row", F.monotonically_increasing_id()))
     live = rows.where(F.col("own").isNotNull())
@@ -140,9 +155,9 @@ def near_vectors(
     )
     signs, tables = code_shape(classes.count(), cosine, recall)
     flat = classes.select("node", "n", F.col("own.label").alias("label"), F.col("own.vector").alias("vector"))
-    wide = StructType([*flat.schema.fields, StructField("part", IntegerType()), StructField("code", LongType())])
+    wide = StructType([*flat.schema.fields, StructField("signs", BinaryType()), StructField("part", IntegerType()), StructField("code", LongType())])
     keyed = flat.mapInArrow(_keyed(signs, tables), wide)
-    keyed = keyed.select("node", "n", "part", "vector", F.xxhash64("label").alias("label"), F.xxhash64("label", "part", "code").alias("bucket"))
+    keyed = keyed.select("node", "n", "part", "signs", "vector", F.xxhash64("label").alias("label"), F.xxhash64("label", "part", "code").alias("bucket"))
     compared = blocks.runs(keyed, "bucket", "node")
     found = durable(compared.mapInArrow(_compare(signs, tables, cosine), "u long, v long, links long"))
     counts = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
@@ -150,19 +165,19 @@ def near_vectors(
     of_class = (
         classes.join(parts, "node", "left")
         .join(counts, "node", "left")
-        .select("own", "first", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+        .select("own", "first", "n", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     )
     of_class = durable(of_class)
     ids = of_class.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = of_class.join(ids, "root").select("own", "n_links", "component_id")
-    out = rows.join(linked, "own", "left")
-    alone = F.col("own").isNull()
-    component = F.when(alone, F.col("key")).otherwise(F.col("component_id"))
-    return out.select(
+    linked = durable(of_class.join(ids, "root").select("own", "n", "n_links", "component_id"))
+    # Copies of one vector may fill a third of the table; their class is dealt into parts.
+    out = blocks.dealt_join(live, linked, ["own"], ["row"]).select("key", "n_links", "component_id")
+    alone = rows.where(F.col("own").isNull()).select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
+    return out.unionAll(alone).select(
         F.col("key").alias(key),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"),
+        F.col("n_links").cast("long").alias("n_links"),
+        "component_id",
+        F.coalesce(F.col("key") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
 
 

@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ohmgrid.llm.common import free_name
+
 #: Key of the production query; a deployment passes its own.
 KEY = "ohmgrid-example-key"
 ROUNDS = 10
@@ -337,18 +339,19 @@ def pseudonymise(documents: DataFrame, text: str = "text", key: str = KEY, count
     the longer pattern.  The length of a text in characters does not change but
     for IPv4 addresses.
     """
-    body = F.col(text)
+    body = F.col(f"`{text}`")
+    found_name, new_name = free_name(documents, "found_values"), free_name(documents, "new_values")
     found = F.when(body.rlike(MAYBE), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = documents.withColumn("__found", found)
-    new = F.transform("__found", lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new")))
-    rows = rows.withColumn("__new", F.when(F.size("__found") > 0, new))
+    rows = documents.withColumn(found_name, found)
+    new = F.transform(found_name, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new")))
+    rows = rows.withColumn(new_name, F.when(F.size(found_name) > 0, new))
     between = F.split(body, ANY, -1)
-    pieces = F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("__new"), i)["new"], F.lit(""))))
-    rows = rows.withColumn(text, F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(body))
+    pieces = F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col(new_name), i)["new"], F.lit(""))))
+    rows = rows.withColumn(text, F.when(F.size(found_name) > 0, F.array_join(pieces, "")).otherwise(body))
     if count:
-        changed = F.size(F.filter("__new", lambda c: c["old"] != c["new"])).cast("long")
-        rows = rows.withColumn(count, F.coalesce(F.when(F.size("__found") > 0, changed), F.lit(0).cast("long")))
-    return rows.drop("__found", "__new")
+        changed = F.size(F.filter(new_name, lambda c: c["old"] != c["new"])).cast("long")
+        rows = rows.withColumn(count, F.coalesce(F.when(F.size(found_name) > 0, changed), F.lit(0).cast("long")))
+    return rows.drop(found_name, new_name)
 
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

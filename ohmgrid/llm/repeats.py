@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmgrid.llm import blocks
-from ohmgrid.llm.common import durable, stored
+from ohmgrid.llm.common import durable
 
 SIZE = 200
 #: Strings of a cell.
@@ -329,7 +329,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
         F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
     )
     kind = rows.select("key").schema[0].dataType.simpleString()
-    texts = stored(rows.mapInArrow(_pack, f"row long, key {kind}, packed binary"))
+    texts = durable(rows.mapInArrow(_pack, f"row long, key {kind}, packed binary"))
 
     def read_again(asked: DataFrame, what: str, kernel, schema: str) -> DataFrame:
         by_text = asked.select("row", F.struct("span", what).alias("asked")).groupBy("row").agg(F.collect_list("asked").alias("asked"))

@@ -8,12 +8,15 @@ findings are joined back to all paths that carry the blob.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ohmgrid.llm.common import shared_folder
+
 #: Fixed patterns of the base rules, as the contract states them.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -77,12 +80,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.string()), pa.array(findings, pa.list_(FINDINGS))], names=["blob", "findings"])
 
 
-SCAN_SCHEMA = "blob string, findings array<struct<kind:string,start:bigint,end:bigint>>"
+FINDINGS_TYPE = "array<struct<kind:string,start:bigint,end:bigint>>"
+SCAN_SCHEMA = f"blob string, findings {FINDINGS_TYPE}"
+LEDGER_SCHEMA = f"blob string, rule_version int, findings {FINDINGS_TYPE}"
 
 
 def address(versions: DataFrame, text: str) -> DataFrame:
     """Adds ``blob``, the content address; a null text is the empty blob."""
-    return versions.withColumn("blob", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
+    return versions.withColumn("blob", F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256))
 
 
 def scan_unseen(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
@@ -92,7 +97,7 @@ def scan_unseen(versions: DataFrame, text: str = "text", ledger: DataFrame | Non
     of the table reaches the exchange once a task; then each blob meets itself by
     its address and is scanned once.
     """
-    blobs = address(versions, text).select("blob", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    blobs = address(versions, text).select("blob", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"))
     blobs = blobs.mapInArrow(_first_of_task, "blob string, body string")
     if ledger is not None:
         known = ledger.where(F.col("rule_version") == rule_version).select("blob").distinct()
@@ -101,11 +106,33 @@ def scan_unseen(versions: DataFrame, text: str = "text", ledger: DataFrame | Non
     return scanned.select("blob", F.lit(rule_version).alias("rule_version"), "findings")
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger stored at ``path``; an empty one where there is none yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], LEDGER_SCHEMA)
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+
+
+def update_ledger(versions: DataFrame, path: str, text: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
+    """Appends what the ledger at ``path`` lacks for ``versions`` and returns all of it.
+
+    A run that is repeated finds its blobs in the ledger and scans nothing; two
+    runs at once may both add a blob, which the reader counts once.
+    """
+    spark = versions.sparkSession
+    scan_unseen(versions, text, read_ledger(spark, path), rule_version).write.mode("append").parquet(path)
+    return read_ledger(spark, path)
+
+
 def findings_by_path(versions: DataFrame, ledger: DataFrame, text: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
-    """``versions`` with ``blob`` and ``findings`` in place of the text: one row per version, none lost."""
-    others = [c for c in versions.columns if c not in (text, "blob", "findings")]
+    """``versions`` with ``blob`` and ``findings`` in place of the text: one row per version, none lost.
+
+    Columns of ``versions`` named like these two are left out.
+    """
+    others = [f"`{c}`" for c in versions.columns if c not in (text, "blob", "findings")]
     rows = address(versions, text).select(*others, "blob")
-    held = ledger.where(F.col("rule_version") == rule_version).select("blob", "findings")
+    held = ledger.where(F.col("rule_version") == rule_version).groupBy("blob").agg(F.first("findings").alias("findings"))
     return rows.join(held, "blob", "left")
 
 
@@ -114,13 +141,13 @@ def _joined(spans):
 
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document, by a first pass of the ledger over the whole table.
+    """Secrets of every document, by the first update of a new ledger in the shared folder.
 
     Null and empty texts have no findings and the digest of the empty string;
     repeated rows and ids are each reported.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = findings_by_path(docs, scan_unseen(docs))
+    found = findings_by_path(docs, update_ledger(docs, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"))
     base = F.filter("findings", lambda s: s["kind"].isin(*BASE_KINDS))
 
     def count(kind):

@@ -267,13 +267,27 @@ def in_order(h: np.ndarray, common: np.ndarray, by_value: np.ndarray) -> np.ndar
     return np.concatenate((h[~known], common[np.sort(by_value[at[known]])]))
 
 
-def parity(h: np.ndarray) -> bytes:
-    """Parity of the hashes in each of ``PARITY`` cells; sets differ in at least as many hashes as these in bits."""
-    return np.packbits(np.bincount((h & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+def parity(h: np.ndarray, cells: int = PARITY) -> bytes:
+    """Parity of the hashes in each of the cells; sets differ in at least as many hashes as these in bits."""
+    return np.packbits(np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).tobytes()
+
+
+def long_parity(h: np.ndarray) -> bytes | None:
+    """Parity in twice as many cells as there are hashes, a power of two, as few cells tell nothing of a long set; none for short ones."""
+    return parity(h, 1 << (2 * len(h) - 1).bit_length()) if 2 * len(h) > PARITY else None
+
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    """Differing bits of two parities, the longer one folded to the length of the other."""
+    a, b = (np.frombuffer(s, np.uint8) for s in (x, y))
+    while len(a) != len(b):
+        a, b = sorted((a, b), key=len)
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
 def prefixes(texts: DataFrame, name: str, text: str, shingle: int, similar: float, common: np.ndarray) -> DataFrame:
-    """(name, digest, n, prefix, bits): the set's digest and size, its first hashes in order, and its parity.
+    """(name, digest, n, prefix, bits, sig): the set's digest and size, its first hashes in order, its parity and, if it is long, a longer one.
 
     Two sets of at least this similarity share one of their first n - ceil(similar n) + 1 hashes in any common order.
     """
@@ -281,18 +295,19 @@ def prefixes(texts: DataFrame, name: str, text: str, shingle: int, similar: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, firsts, bits = [], [], [], []
+            digests, sizes, firsts, bits, long = [], [], [], [], []
             for value in batch.column(1):
                 h = shingle_set(value.as_py(), shingle)
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
                 firsts.append(in_order(h, common, by_value)[: len(h) - math.ceil(similar * len(h) - EPS) + 1].tobytes())
                 bits.append(parity(h))
-            arrays = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[name, "digest", "n", "prefix", "bits"])
+                long.append(long_parity(h))
+            arrays = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary()), pa.array(bits, pa.binary()), pa.array(long, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[name, "digest", "n", "prefix", "bits", "sig"])
 
     source = texts.select(name, F.col(text).cast("string"))
-    return source.mapInArrow(run, f"`{name}` {source.schema[0].dataType.simpleString()}, digest binary, n int, prefix binary, bits binary")
+    return source.mapInArrow(run, f"`{name}` {source.schema[0].dataType.simpleString()}, digest binary, n int, prefix binary, bits binary, sig binary")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,28 +342,48 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield last
 
 
+def folded(sigs: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """(length of each parity in bytes, for each length the parities of at least that length folded to it, zeros for shorter ones)."""
+    lengths = np.array([len(s) for s in sigs], np.int64)
+    out = {}
+    for size in np.unique(lengths):
+        matrix = np.zeros((len(sigs), int(size) // 8), np.uint64)
+        for k in np.flatnonzero(lengths >= size):
+            matrix[k] = np.bitwise_xor.reduce(np.frombuffer(sigs[k], np.uint8).reshape(-1, int(size)), axis=0).view(np.uint64)
+        out[int(size)] = matrix
+    return lengths, out
+
+
 def _possible(table: pa.Table, similar: float):
-    """(i, j) -> whether the rows can be similar: by size, by position, by parity, and not linked yet.
+    """(i, j) -> whether the rows can be similar: by size, by position, by parity, by the longer parity if given, and not linked yet.
 
     The token is taken to be the first that both sets hold in the order, as it is in one run of every similar pair.
     """
     n, pos, label = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "label"))
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
+    short = table.column("bits").to_pylist()
+    bits = np.frombuffer(b"".join(short), np.uint64).reshape(len(n), -1)
+    lengths, long = folded([s or b for s, b in zip(table.column("sig").to_pylist(), short, strict=True)]) if "sig" in table.column_names else (None, {})
 
     def near(i, j):
         a, b = n[i], n[j]
         need = np.ceil(similar / (1 + similar) * (a + b) - EPS)
         ok = (np.minimum(a, b) >= similar * np.maximum(a, b) - EPS) & (np.minimum(a - pos[i], b - pos[j]) >= need) & (label[i] != label[j])
         at = np.flatnonzero(ok)
-        i, j = i[at], j[at]
-        ok[at] = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j] - 2 * need[at]
+        most = n[i[at]] + n[j[at]] - 2 * need[at]
+        fits = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(axis=1, dtype=np.int64) <= most
+        for size, matrix in long.items():
+            own = np.flatnonzero(fits & (np.minimum(lengths[i[at]], lengths[j[at]]) == size))
+            for k in range(0, len(own), 4_000_000 // size + 1):
+                part = own[k : k + 4_000_000 // size + 1]
+                fits[part] = np.bitwise_count(matrix[i[at[part]]] ^ matrix[j[at[part]]]).sum(axis=1, dtype=np.int64) <= most[part]
+        ok[at] = fits
         return ok
 
     return near, bits
 
 
 def _nearest(similar: float):
-    """For each row of a run, its class v, the nearest possible partner u of smaller class, and how far apart they are at least."""
+    """For each row of a run, its class v, the nearest possible partner u, and how far apart they are at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks.whole_runs(batches):
@@ -357,12 +392,12 @@ def _nearest(similar: float):
             none = np.iinfo(np.int64).max
             nearest = np.full(len(cls), none)
             for i, j in blocks.pair_steps(table.column("run").to_numpy(), table.column("side").to_numpy(), near):
-                low, high = np.where(cls[i] < cls[j], i, j), np.where(cls[i] < cls[j], j, i)
-                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-                np.minimum.at(nearest, high, (apart << 40) | low)
+                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) << 40
+                np.minimum.at(nearest, i, apart | j)
+                np.minimum.at(nearest, j, apart | i)
             rows = np.flatnonzero(nearest < none)
-            apart, low = nearest[rows] >> 40, nearest[rows] & ((1 << 40) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), pa.array(cls[low]), pa.array(apart)], names=["v", "u", "apart"])
+            apart, other = nearest[rows] >> 40, nearest[rows] & ((1 << 40) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), pa.array(cls[other]), pa.array(apart)], names=["v", "u", "apart"])
 
     return run
 
@@ -406,19 +441,19 @@ def _sets(column) -> list[np.ndarray]:
     return [np.frombuffer(s, np.uint64) for s in column.to_pylist()]
 
 
-def _verified(least: float):
-    """Links of the sets of each home: the home's own, ``cls`` equal to ``home``, against each other one."""
+def _by_home(columns: list[str], keep):
+    """(u, v) of a home and each class sent to it for which ``keep`` holds; the home's own row, ``cls`` equal to ``home``, comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, own = None, np.zeros(0, np.uint64)
+        home, own = None, None
         for batch in batches:
             u, v = [], []
-            for at, cls, h in zip(batch.column("home").to_pylist(), batch.column("cls").to_pylist(), _sets(batch.column("set")), strict=True):
+            for at, cls, *values in zip(*(batch.column(c).to_pylist() for c in ("home", "cls", *columns)), strict=True):
                 if at == cls:
-                    home, own = at, h
+                    home, own = at, values
                 elif at != home:
-                    raise ValueError("a home's own set comes first")
-                elif similarity(own, h) >= least:
+                    raise ValueError("a home's own row comes first")
+                elif keep(*own, *values):
                     u.append(at)
                     v.append(cls)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -426,6 +461,21 @@ def _verified(least: float):
     return run
 
 
+def _plausible(similar: float):
+    """Whether the parities of two sets allow the similarity."""
+
+    def keep(n, bits, sig, n2, bits2, sig2) -> bool:
+        need = math.ceil(similar / (1 + similar) * (n + n2) - EPS)
+        return parity_distance(sig or bits, sig2 or bits2) <= n + n2 - 2 * need
+
+    return keep
+
+
+def _similar(least: float):
+    """Whether two whole sets are similar."""
+    return lambda x, y: similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least
+
+
 def _dense_links(least: float):
     """Verifies every possible pair of a run that no chain of its links joins; at most a link for each row leaves."""
 
@@ -470,16 +520,32 @@ def whole_sets(numbered: DataFrame, shingle: int, asked: DataFrame) -> DataFrame
     return found.select("cls", F.explode("for").alias("for"), "set").select("cls", "for.*", "set") if others else found
 
 
+def sent_home(pairs: DataFrame) -> DataFrame:
+    """(home, part, cls) of ``pairs`` (u, v; home: one of them; stored): each class to its home once, and the home to itself.
+
+    Homes of many partners are dealt into parts.
+    """
+    large = durable(pairs.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > blocks.BLOCK).select("home", F.ceil(F.col("n") / blocks.BLOCK).alias("parts")))
+    other = F.when(F.col("home") == F.col("u"), F.col("v")).otherwise(F.col("u"))
+    dealt = pairs.join(small_side(large), "home", "left").withColumn("part", F.pmod(F.xxhash64("u", "v"), F.coalesce("parts", F.lit(1))).cast("int"))
+    return dealt.select("home", "part", F.explode(F.array("home", other)).alias("cls")).distinct()
+
+
+def at_home(sent: DataFrame) -> DataFrame:
+    """Rows of ``sent_home`` gathered by home and part, the home's own first."""
+    return sent.withColumn("guest", F.col("cls") != F.col("home")).repartition("home", "part").sortWithinPartitions("home", "part", "guest")
+
+
 def verified_links(numbered: DataFrame, shingle: int, classes: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
-    """Those of ``pairs`` (u below v: classes, stored) whose whole shingle sets are similar.
+    """(u, v) of those ``pairs`` (u, v: classes; home: one of them; stored) whose whole shingle sets are similar.
 
-    Each set is sent once to each smaller partner, its home; homes of many partners are dealt into parts.
+    Parities that grow with the sets are compared first; they refuse nearly all
+    others at a small part of the bytes.
     """
-    large = durable(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > blocks.BLOCK).select("u", F.ceil(F.col("n") / blocks.BLOCK).alias("parts")))
-    dealt = pairs.join(small_side(large), "u", "left").withColumn("part", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int"))
-    asked = dealt.select(F.col("u").alias("home"), "part", F.explode(F.array("u", "v")).alias("cls")).join(classes.select("cls", "id"), "cls")
-    met = whole_sets(numbered, shingle, asked).repartition("home", "part").sortWithinPartitions("home", "part", "cls")
-    return durable(met.mapInArrow(_verified(similar), "u long, v long").distinct())
+    light = at_home(sent_home(pairs).join(classes.select("cls", "n", "bits", "sig"), "cls"))
+    left = durable(light.mapInArrow(_by_home(["n", "bits", "sig"], _plausible(similar)), "u long, v long").select("u", "v", F.col("u").alias("home")).distinct())
+    met = whole_sets(numbered, shingle, sent_home(left).join(classes.select("cls", "id"), "cls"))
+    return durable(at_home(met).mapInArrow(_by_home(["set"], _similar(similar)), "u long, v long").distinct())
 
 
 def similar_links(numbered: DataFrame, shingle: int, classes: DataFrame, similar: float) -> DataFrame:
@@ -498,15 +564,27 @@ def similar_links(numbered: DataFrame, shingle: int, classes: DataFrame, similar
 
     plain = classes.select("cls", "bits", F.col("cls").alias("label"))
     nearest = met(plain).mapInArrow(_nearest(similar), "v long, u long, apart long")
-    pairs = durable(nearest.groupBy("v").agg(F.min(F.struct("apart", "u")).alias("best")).select("best.u", "v"))
+    picks = nearest.groupBy("v").agg(F.min(F.struct("apart", "u")).alias("best")).select(F.col("best.u").alias("home"), "v")
+    # Two rows may pick each other.
+    ends = [F.least("home", "v").alias("u"), F.greatest("home", "v").alias("v")]
+    pairs = durable(picks.select("home", *ends).groupBy("u", "v").agg(F.max("home").alias("home")))
     links = verified_links(numbered, shingle, classes, pairs, similar)
     parts = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
     labelled = durable(classes.select("cls", "bits").join(parts, "cls", "left").select("cls", "bits", F.coalesce("root", "cls").alias("label")))
     rest = durable(met(labelled).mapInArrow(_rest(similar), "run long, side byte, u long, v long"))
-    left = durable(rest.where("v IS NOT NULL").select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"))
-    links = links.unionAll(verified_links(numbered, shingle, classes, left, similar))
+    found = rest.where("v IS NOT NULL").select("u", "v")
     dense = rest.where("v IS NULL").select("run", "side", F.col("u").alias("cls"))
-    if dense.isEmpty():
+    some = not dense.isEmpty()
+    if some:
+        # Long sets crowd: their longer parities leave few pairs of a run.
+        rows = dealt.join(dense, ["run", "side", "cls"], "left_semi")
+        rest = durable(met(labelled.join(classes.select("cls", "sig"), "cls"), rows).mapInArrow(_rest(similar), "run long, side byte, u long, v long"))
+        found = found.unionAll(rest.where("v IS NOT NULL").select("u", "v"))
+        dense = rest.where("v IS NULL").select("run", "side", F.col("u").alias("cls"))
+        some = not dense.isEmpty()
+    left = durable(found.distinct().join(pairs, ["u", "v"], "left_anti").withColumn("home", F.col("u")))
+    links = links.unionAll(verified_links(numbered, shingle, classes, left, similar))
+    if not some:
         return links
     sets = durable(whole_sets(numbered, shingle, dense.select("cls").join(classes.select("cls", "id"), "cls")).dropDuplicates(["cls"]))
     rows = dealt.join(dense, ["run", "side", "cls"], "left_semi")
@@ -529,7 +607,7 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shin
     named = numbered.select(F.struct(F.col("key").isNull().alias("none"), "key", "id").alias("name"), "text")
     common = common_shingles(numbered.select("id", "text"), "id", "text", shingle)
     each = durable(prefixes(named, "name", "text", shingle, similar, common))
-    kept = each.groupBy("digest").agg(F.min("name").alias("first"), F.min_by(F.struct("n", "prefix", "bits"), "name").alias("of"))
+    kept = each.groupBy("digest").agg(F.min("name").alias("first"), F.min_by(F.struct("n", "prefix", "bits", "sig"), "name").alias("of"))
     # Stored at once, so that the classes keep the numbers they get here.
     classes = durable(kept.select("digest", "first", F.monotonically_increasing_id().alias("cls"), F.col("first.id").alias("id"), "of.*"))
     parts = connected_components(similar_links(numbered.select("id", "text"), shingle, classes, similar))
