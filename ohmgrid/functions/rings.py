@@ -27,7 +27,8 @@ def chords(radius: Column, sweep: Column, sagitta: float = SAGITTA) -> Column:
     """Chords of a sweep that stay within the sagitta, between 16 and 720 a circle."""
     step = F.when(radius > sagitta, 2 * F.acos(1 - F.lit(sagitta) / radius))
     circle = F.coalesce(F.greatest(F.lit(LEAST_CHORDS), F.least(F.lit(MOST_CHORDS), F.ceil(F.lit(TURN) / step))), F.lit(LEAST_CHORDS))
-    return F.greatest(F.lit(1), F.ceil(circle * sweep / TURN)).cast("int")
+    # Rounding does not add a chord to a whole number of them.
+    return F.greatest(F.lit(1), F.ceil(circle * sweep / TURN - 1e-9)).cast("int")
 
 
 def arc(x0: Column, y0: Column, x1: Column, y1: Column, cx: Column, cy: Column, clockwise: Column) -> Column:

@@ -729,4 +729,4 @@ def adaptive_history(spark, d):
 
 
 # Further queries register themselves.
-from ohmgrid.plans import catalog_board  # noqa: E402, F401
+from ohmgrid.plans import catalog_board, catalog_kernels  # noqa: E402, F401
