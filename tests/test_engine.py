@@ -32,9 +32,13 @@ def test_units_and_materials(spark):
 def test_quantities(spark):
     q = Q.quantity(F.lit(1.0), "m", "assumed")
     row = one(spark, Q.quantity_fault(q).alias("a"), Q.slug(F.lit("  Top/Layer #1 ")).alias("b"), Q.redacted(F.create_map(F.lit("api_key"), F.lit("x"), F.lit("n"), F.lit("1"))).alias("c"))
-    assert row["a"] == "assumed without a note" and row["b"] == "top-layer-1" and row["c"] == {"api_key": "***", "n": "1"}
+    assert row["a"] == "assumed without a note" and row["b"] == "top-layer-1" and row["c"] == {"api_key": "***redacted***", "n": "1"}
     df = spark.createDataFrame([(1, "A b"), (2, "a-b"), (3, "c")], "k int, name string")
     assert [r["slug"] for r in Q.unique_slugs(df, "name", ["k"]).orderBy("k").collect()] == ["a-b", "a-b-2", "c"]
+    names = spark.createDataFrame(list(enumerate(["A", "A", "A 2", "a", "??", "A-2", None, "a-4", "a"])), "k int, name string")
+    assert [r["slug"] for r in Q.unique_slugs(names, "name", ["k"]).orderBy("k").collect()] == ["a", "a-2", "a-2-2", "a-3", "unnamed", "a-2-3", "unnamed-2", "a-4", "a-5"]
+    labels = [("../etc/pass wd", "etc_pass_wd"), ("..", "unnamed"), ("a" * 60, "a" * 48), (" b.zip ", "b.zip")]
+    assert [r["l"] for r in spark.createDataFrame(labels, "n string, e string").select(Q.safe_label(F.col("n")).alias("l")).collect()] == [e for _, e in labels]
 
 
 def test_rings(spark):
