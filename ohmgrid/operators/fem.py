@@ -71,6 +71,16 @@ def quadratic_nodes(triangles: DataFrame, nodes: DataFrame) -> tuple[DataFrame,
     return nodes.select("study", "layer", "node", "x", "y").unionByName(extra), wide
 
 
+def lifted(triangles: DataFrame, values: DataFrame) -> DataFrame:
+    """(study, node, value) at all nodes of quadratic triangles from (study, node, value) at their corners: a middle has the mean of its edge's ends."""
+    out = triangles.select("study", *[f"n{k}" for k in range(6)])
+    for k in range(3):
+        out = out.join(values.select("study", F.col("node").alias(f"n{k}"), F.col("value").alias(f"v{k}")), ["study", f"n{k}"])
+    pairs = [(f"n{k}", F.col(f"v{k}")) for k in range(3)] + [(f"n{k + 3}", (F.col(f"v{k}") + F.col(f"v{(k + 1) % 3}")) / 2) for k in range(3)]
+    each = out.select("study", F.explode(F.array(*[F.struct(F.col(n).alias("node"), v.alias("value")) for n, v in pairs])).alias("p")).select("study", "p.*")
+    return each.groupBy("study", "node").agg(F.max("value").alias("value"))
+
+
 # Barycentric points of the three-point rule of second degree; each weighs a third.
 QUADRATURE = ((2 / 3, 1 / 6, 1 / 6), (1 / 6, 2 / 3, 1 / 6), (1 / 6, 1 / 6, 2 / 3))
 
@@ -306,6 +316,15 @@ def flux_jumps(fields: DataFrame, gs: str = "gs") -> DataFrame:
     return met.groupBy("study", "tri").agg(F.sqrt(F.sum(0.5 * F.col("length") * F.col("length") * F.col("jump") * F.col("jump"))).alias("eta"))
 
 
+def goal_weighted(jumps: DataFrame) -> DataFrame:
+    """(study, tri, eta) of indicators weighted for the terminal resistance.
+
+    The resistance is the energy of a unit current, which is its own adjoint, so the
+    weight of an element is its indicator.
+    """
+    return jumps.select("study", "tri", (F.col("eta") * F.col("eta")).alias("eta"))
+
+
 def via_currents(segments: DataFrame, voltages: DataFrame) -> DataFrame:
     """(study, via_id, current, power): the segment current of the largest size, positive downwards, and the dissipation of all."""
     u = voltages.select("study", F.col("node").alias("upper"), F.col("voltage").alias("vu"))
@@ -319,11 +338,15 @@ def via_currents(segments: DataFrame, voltages: DataFrame) -> DataFrame:
 def via_segments(contacts: DataFrame, layers: DataFrame, conductivity: float) -> DataFrame:
     """(study, via_id, upper, lower, conductance) between neighbouring connected layers of each via.
 
-    ``contacts`` has (study, via_id, layer, node, barrel_area), ``layers`` (layer, z_mid).
+    ``contacts`` has (study, via_id, layer, node, barrel_area), ``layers`` (layer, z_mid)
+    of one stackup, or (study, layer, z_mid) of many.
     """
     from ohmgrid.operators.ordered import adjacent_pairs
 
-    placed = contacts.join(F.broadcast(layers.select("layer", "z_mid")), "layer")
+    if "study" in layers.columns:
+        placed = contacts.join(layers.select("study", "layer", "z_mid"), ["study", "layer"])
+    else:
+        placed = contacts.join(F.broadcast(layers.select("layer", "z_mid")), "layer")
     pairs = adjacent_pairs(placed, ["study", "via_id"], ["z_mid", "layer"], ["z_mid", "node", "barrel_area"])
     length = F.col("next_z_mid") - F.col("z_mid")
     kept = pairs.where(length > 0)

@@ -91,23 +91,53 @@ def grid_mesh(rects: DataFrame, size: float, lines: DataFrame | None = None) ->
         all_lines = all_lines.unionByName(lines.select("study", "axis", "at"))
     grid = cuts(all_lines, ["study", "axis"], size)
 
-    def steps(axis: str) -> DataFrame:
-        own = grid.where(F.col("axis") == axis)
-        along = W.partitionBy("study").orderBy("k")
-        named = own.select("study", F.col("k").alias(f"{axis}k"), F.col("at").alias(f"{axis}a"), F.lead("at").over(along).alias(f"{axis}b"), F.count(F.lit(1)).over(W.partitionBy("study")).alias(f"n{axis}"))
-        return named.where(F.col(f"{axis}b").isNotNull())
-
     # Each rectangle meets the grid steps it covers: an interval join inside a study.
-    x, y = steps("x"), steps("y")
+    x, y = steps(grid, "x"), steps(grid, "y")
     wide = rects.join(x, "study").where((F.col("xa") >= F.col("x0") - 1e-12) & (F.col("xb") <= F.col("x1") + 1e-12))
     cells = wide.join(y, "study").where((F.col("ya") >= F.col("y0") - 1e-12) & (F.col("yb") <= F.col("y1") + 1e-12))
-    cells = cells.groupBy("study", "layer", "xk", "yk", "xa", "xb", "ya", "yb", "nx", "ny").agg(F.count(F.lit(1)).alias("covers"))
+    return cell_mesh(cells.groupBy(*CELL).agg(F.count(F.lit(1)).alias("covers")))
+
+
+def steps(grid: DataFrame, axis: str) -> DataFrame:
+    """(study, <axis>k, <axis>a, <axis>b, n<axis>): the steps between neighbouring grid lines of an axis."""
+    own = grid.where(F.col("axis") == axis)
+    along = W.partitionBy("study").orderBy("k")
+    named = own.select("study", F.col("k").alias(f"{axis}k"), F.col("at").alias(f"{axis}a"), F.lead("at").over(along).alias(f"{axis}b"), F.count(F.lit(1)).over(W.partitionBy("study")).alias(f"n{axis}"))
+    return named.where(F.col(f"{axis}b").isNotNull())
+
+
+CELL = ("study", "layer", "xk", "yk", "xa", "xb", "ya", "yb", "nx", "ny")
+
+
+def ring_cells(edges: DataFrame, grid: DataFrame, bucket: float) -> DataFrame:
+    """``CELL`` and region_id of the grid cells whose middle lies in a region, by the even-odd rule.
+
+    ``edges`` has (study, layer, region_id, x1, y1, x2, y2).  Every row of cells is
+    scanned once: the edges that cross its middle are sorted and pair up into
+    intervals of columns.  Both joins are by buckets of this width.
+    """
+    bucketed = lambda v: F.floor(v / bucket).cast("long")
+    y = steps(grid, "y").withColumn("yc", (F.col("ya") + F.col("yb")) / 2).withColumn("b", bucketed(F.col("yc")))
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    spread = edges.where(low < high).withColumn("b", F.explode(F.sequence(bucketed(low), bucketed(high))))
+    met = spread.join(y, ["study", "b"]).where((low <= F.col("yc")) & (F.col("yc") < high))
+    at = F.col("x1") + (F.col("yc") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    scans = met.groupBy("study", "layer", "region_id", "yk", "ya", "yb", "ny").agg(F.array_sort(F.collect_list(at)).alias("xs"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda i: F.struct(F.get("xs", i).alias("lo"), F.get("xs", i + 1).alias("hi")))
+    inside = scans.select("study", "layer", "region_id", "yk", "ya", "yb", "ny", F.explode(pairs).alias("p")).select("*", "p.lo", "p.hi").drop("p")
+    x = steps(grid, "x").withColumn("xc", (F.col("xa") + F.col("xb")) / 2).withColumn("b", bucketed(F.col("xc")))
+    opened = inside.withColumn("b", F.explode(F.sequence(bucketed(F.col("lo")), bucketed(F.col("hi")))))
+    return opened.join(x, ["study", "b"]).where((F.col("lo") <= F.col("xc")) & (F.col("xc") < F.col("hi"))).select(*CELL, "region_id")
+
+
+def cell_mesh(cells: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(nodes, triangles) of grid cells (``CELL``), two triangles each, which ``keep`` columns of their cell."""
     per_layer = F.col("nx") * F.col("ny")
 
     def node(i, j):
         return F.col("layer") * per_layer + (F.col("yk") + j) * F.col("nx") + F.col("xk") + i
 
-    corners = cells.select("study", "layer", "xa", "xb", "ya", "yb", node(0, 0).alias("a"), node(1, 0).alias("b"), node(1, 1).alias("c"), node(0, 1).alias("d"))
+    corners = cells.select("study", "layer", *keep, "xa", "xb", "ya", "yb", node(0, 0).alias("a"), node(1, 0).alias("b"), node(1, 1).alias("c"), node(0, 1).alias("d"))
     points = F.array(*[F.struct(F.col(n).alias("node"), F.col(px).alias("x"), F.col(py).alias("y")) for n, px, py in (("a", "xa", "ya"), ("b", "xb", "ya"), ("c", "xb", "yb"), ("d", "xa", "yb"))])
     nodes = corners.select("study", "layer", F.explode(points).alias("p")).select("study", "layer", "p.*").distinct()
     # Diagonals alternate, so that the mesh has no preferred direction.
@@ -117,7 +147,7 @@ def grid_mesh(rects: DataFrame, size: float, lines: DataFrame | None = None) ->
         return F.struct(*[F.col(c).alias(f"n{k}") for k, c in enumerate(corner)])
 
     halves = F.when(flip, F.array(half("a", "b", "c"), half("a", "c", "d"))).otherwise(F.array(half("a", "b", "d"), half("b", "c", "d")))
-    triangles = corners.select("study", "layer", F.col("a"), F.posexplode(halves).alias("h", "t")).select("study", "layer", (F.col("a") * 2 + F.col("h")).alias("tri"), "t.n0", "t.n1", "t.n2")
+    triangles = corners.select("study", "layer", *keep, F.col("a"), F.posexplode(halves).alias("h", "t")).select("study", "layer", *keep, (F.col("a") * 2 + F.col("h")).alias("tri"), "t.n0", "t.n1", "t.n2")
     return nodes, triangles
 
 

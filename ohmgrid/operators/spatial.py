@@ -140,12 +140,31 @@ def crosses(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Colu
     return spans & (px < at)
 
 
+def to_edge(px: Column, py: Column, e: Column) -> Column:
+    """Distance of a point from an edge struct(x1, y1, x2, y2)."""
+    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+    along = ((px - e["x1"]) * dx + (py - e["y1"]) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-300))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+    return F.hypot(px - e["x1"] - t * dx, py - e["y1"] - t * dy)
+
+
+def ring_edges(rings: Column) -> Column:
+    """array of struct(x1, y1, x2, y2): the edges of an array of closed rings."""
+
+    def one(ring):
+        turned = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(1), F.lit(1)))
+        return F.zip_with(ring, turned, lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
+
+    return F.flatten(F.transform(rings, one))
+
+
 def points_in_regions(points: DataFrame, regions: DataFrame, key: str, region: str, same: list[str], pad: float = 0.0) -> DataFrame:
     """(key, region) of points inside; even-odd over all rings, so holes count themselves out.
 
     ``points`` has (key, px, py, ...same), ``regions`` (region, edges: array of
     struct x1, y1, x2, y2, ...same).  Points meet the boxes whose cells they are in;
-    the edges of a region are folded in place.
+    the edges of a region are folded in place.  Points within ``pad`` of an edge,
+    where it is given, are inside too.
     """
     boxed = regions.select(
         region, *same, "edges",
@@ -157,7 +176,7 @@ def points_in_regions(points: DataFrame, regions: DataFrame, key: str, region: s
     met = in_cells(points, levels_of(boxes), "px", "py").join(boxes, [*same, "level", "cx", "cy"])
     inside = (px >= F.col("bx0")) & (px <= F.col("bx1")) & (py >= F.col("by0")) & (py <= F.col("by1"))
     odd = F.size(F.filter("edges", lambda e: crosses(px, py, e["x1"], e["y1"], e["x2"], e["y2"]))) % 2 == 1
-    return met.where(inside & odd).select(key, region)
+    return met.where(inside & (odd | F.exists("edges", lambda e: to_edge(px, py, e) <= pad) if pad else odd)).select(key, region)
 
 
 def nearest_k(points: DataFrame, nodes: DataFrame, key: str, node: str, same: list[str], k: int) -> DataFrame:

@@ -468,3 +468,54 @@ def resumed_generations(spark, d):
     for index, signature in ((0, "own"), (1, "own"), (2, "other"), (4, "own")):
         artifacts.save_generation(events.where(F.col("user_id") % 4 == index % 4), root, signature, index)
     return artifacts.load_generations(spark, root, "own", 9).select("event_id")
+
+
+# ------------------------------------------------------------------ imported copper
+@query("imported_boards_resistance", """
+    SELECT 'n' || n_nationkey AS study, CAST(round(1e9 * CASE WHEN n_nationkey % 2 = 0 THEN (10 + n_nationkey) * 1e-3 / (5.8e7 / (1 + 0.0039 * 20) * (1 + n_nationkey % 3) * 1e-3 * CASE WHEN n_nationkey % 4 = 0 THEN 70e-6 ELSE 35e-6 END)
+        ELSE 2 * 1e-3 / (5.8e7 / (1 + 0.0039 * 20) * pi() * (1.75e-4 * 1.75e-4 - 1.5e-4 * 1.5e-4)) END) AS BIGINT) AS nano_ohm FROM nation""")
+def imported_boards_resistance(spark, d):
+    """A board a nation, all solved at once: even ones are traces with a hole beside them, odd ones a barrel through three planes that their pads cover; warmer by 20 K."""
+    from ohmgrid.plans import imported
+
+    n = F.col("n_nationkey")
+    trace, length, width = n % 2 == 0, (10 + n) * 1e-3, (1 + n % 3) * 1e-3
+    study = F.concat(F.lit("n"), n).alias("study")
+    box = lambda x0, y0, x1, y1: F.array(R.point(x0, y0), R.point(x1, y0), R.point(x1, y1), R.point(x0, y1))
+    zero, side, pad = F.lit(0.0), F.lit(4e-3), F.lit(1e-3)
+    nations = table(spark, d, "nation")
+    layers = nations.select(study, F.explode(F.sequence(F.lit(0), F.lit(2))).alias("layer")).withColumns({
+        "z_mid": F.col("layer") * 1e-3, "thickness": F.lit(35e-6), "conductivity": F.lit(5.8e7), "tcr": F.lit(0.0039), "reference_k": F.lit(293.15),
+    })
+    # A hole where the pad shorts the copper anyway leaves the resistance as it is.
+    strip = F.array(box(-pad, zero, length + pad, width), box(-pad * 0.75, width * 0.25, -pad * 0.25, width * 0.75))
+    own = F.when(n % 4 == 0, F.lit(70e-6))
+    copper = F.when(trace, F.array(F.struct(F.lit(0).alias("layer"), strip.alias("rings")))).otherwise(F.array(*[F.struct(F.lit(k).alias("layer"), F.array(box(zero, zero, side, side)).alias("rings")) for k in range(3)]))
+    regions = nations.select(study, own.alias("thickness"), F.posexplode(copper).alias("k", "c")).select("study", F.concat(F.lit("r"), F.col("k")).alias("region_id"), "c.layer", "c.rings", "thickness")
+    vias = nations.where(~trace).select(
+        study, F.lit("v").alias("via_id"), (side / 2).alias("x"), (side / 2).alias("y"), F.lit(0).alias("low"), F.lit(2).alias("high"), F.lit(3e-4).alias("finished"), F.lit(None).cast("double").alias("drill"), F.lit(None).cast("double").alias("plating")
+    )
+    end = lambda contact, layer, rings: F.struct(F.lit(contact).alias("contact"), F.lit(layer).alias("layer"), rings.alias("rings"))
+    ends = F.when(trace, F.array(end("source", 0, F.array(box(-pad, zero, zero, width))), end("load", 0, F.array(box(length, zero, length + pad, width))))).otherwise(
+        F.array(*[end(c, k, F.array(box(zero, zero, side, side))) for c, k in (("source", 0), ("load", 2))])
+    )
+    pads = nations.select(study, F.explode(ends).alias("p")).select("study", "p.*")
+    problem = imported.build(imported.Board(layers, regions, vias, pads), 1e-3, temperature_k=313.15, plating=25e-6)
+    probes = nations.select(study, F.lit("source").alias("near"), F.lit("load").alias("far"))
+    return imported.resistance(problem, probes).select("study", F.round(F.col("resistance_ohm") * 1e9).cast("long").alias("nano_ohm"))
+
+
+@query("lifted_fields", f"WITH {TRI} SELECT study, count(*) * 6 AS n, CAST(sum(3 * k + 3 * k + 1 + 3 * k + 2 + 3 * k + 0.5 + 3 * k + 1.5 + 3 * k + 1) AS DOUBLE) AS total FROM t GROUP BY 1")
+def lifted_fields(spark, d):
+    """Corners with their number as value; a middle has the mean of two."""
+    tri = corners(spark, d)
+    ends = F.explode(F.array(*[F.struct(F.col(f"n{k}").alias("node"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in range(3)])).alias("p")
+    nodes = tri.select("study", "layer", ends).select("study", "layer", "p.*")
+    _, wide = fem.quadratic_nodes(tri.drop("x0", "y0", "x1", "y1", "x2", "y2"), nodes)
+    out = fem.lifted(wide, nodes.select("study", "node", F.col("node").cast("double").alias("value")))
+    return out.groupBy("study").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+@query("goal_weighted_indicators", "SELECT l_linenumber AS study, l_partkey AS tri, l_quantity * l_quantity AS eta FROM lineitem")
+def goal_weighted_indicators(spark, d):
+    return fem.goal_weighted(table(spark, d, "lineitem").select(F.col("l_linenumber").alias("study"), F.col("l_partkey").alias("tri"), F.col("l_quantity").alias("eta")))
