@@ -512,14 +512,14 @@ def cancelled_jobs(spark, d):
 @query("claimed_job", f"""
     WITH q AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0 ORDER BY o_orderpriority, o_orderdate, o_orderkey LIMIT 1)
     SELECT o_orderkey AS job_id, CASE WHEN o_orderkey IN (FROM q) THEN 'CLAIMED' ELSE {STATES_SQL} END AS state, CAST(o_orderkey % 3 + CASE WHEN o_orderkey IN (FROM q) THEN 1 ELSE 0 END AS INTEGER) AS attempt,
-           CASE WHEN o_orderkey IN (FROM q) THEN 'w9' WHEN o_orderkey % 5 > 0 THEN 'w1' END AS claimed_by, CASE WHEN o_orderkey IN (FROM q) THEN 160.0 ELSE 100.0 END AS lease_expires_at FROM orders""")
+           CASE WHEN o_orderkey IN (FROM q) THEN 'w9' WHEN o_orderkey % 5 > 0 THEN 'w1' END AS claimed_by, CAST(CASE WHEN o_orderkey IN (FROM q) THEN 160 ELSE 100 END AS DOUBLE) AS lease_expires_at FROM orders""")
 def claimed_job(spark, d):
     return jobs.claim(job_table(spark, d), "w9", 100.0, 60.0).select("job_id", "state", "attempt", "claimed_by", F.col("lease_expires_at").cast("double").alias("lease_expires_at"))
 
 
 @query("released_and_renewed", f"""
     SELECT o_orderkey AS job_id, CASE WHEN o_orderkey = 6 THEN 'QUEUED' ELSE {STATES_SQL} END AS state, CAST(o_orderkey % 3 - CASE WHEN o_orderkey = 6 THEN 1 ELSE 0 END AS INTEGER) AS attempt,
-           CASE WHEN o_orderkey = 6 THEN NULL WHEN o_orderkey = 12 THEN 500.0 ELSE 100.0 END AS lease_expires_at FROM orders""")
+           CAST(CASE WHEN o_orderkey = 6 THEN NULL WHEN o_orderkey = 12 THEN 500 ELSE 100 END AS DOUBLE) AS lease_expires_at FROM orders""")
 def released_and_renewed(spark, d):
     """A release of a claimed job, a renewal by its holder, and one by another worker that changes nothing."""
     out = jobs.release(job_table(spark, d), 6)

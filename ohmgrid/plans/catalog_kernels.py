@@ -59,8 +59,8 @@ def tidy_rings(spark, d):
 
 
 @query("placed_rings", """
-    SELECT p_partkey, round(CASE p_partkey % 4 WHEN 0 THEN 3.0 WHEN 1 THEN 3.0 - p_size WHEN 2 THEN 3.0 - 2 * p_size ELSE 3.0 END, 6) AS min_x,
-           round(CASE p_partkey % 4 WHEN 0 THEN 7.0 WHEN 1 THEN 7.0 WHEN 2 THEN 7.0 - p_size ELSE 7.0 - 2 * p_size END, 6) AS min_y, CAST(2 * p_size * p_size AS DOUBLE) AS area, p_partkey % 8 < 4 AS counter_clockwise FROM part""")
+    SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 3 - p_size WHEN 2 THEN 3 - 2 * p_size ELSE 3 END AS DOUBLE) AS min_x,
+           CAST(CASE p_partkey % 4 WHEN 0 THEN 7 WHEN 1 THEN 7 WHEN 2 THEN 7 - p_size ELSE 7 - 2 * p_size END AS DOUBLE) AS min_y, CAST(2 * p_size * p_size AS DOUBLE) AS area, p_partkey % 8 < 4 AS counter_clockwise FROM part""")
 def placed_rings(spark, d):
     """A rectangle with a corner at the origin, turned by quarters; half of them mirrored, scaled and mirrored back."""
     s = F.col("p_size").cast("double")
@@ -369,7 +369,7 @@ def canonical_diagnostics(spark, d):
     vias = table(spark, d, "supplier").join(named, "s_nationkey").select(
         "board_id", s.alias("pos"), F.concat(F.lit("v"), s).alias("id"), known.alias("plating_thickness"), F.when(s % 2 == 0, known).alias("finished_hole_diameter"), F.lit(None).cast("double").alias("drill_diameter")
     )
-    return canonical_json.diagnostics({"stackup": stackup, "vias": vias}).select("board_id", "code", F.col("n").cast("int").alias("n"), "first")
+    return canonical_json.diagnostics({"stackup": stackup, "vias": vias})
 
 
 def ipc_documents(spark, d):
