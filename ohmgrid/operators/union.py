@@ -8,6 +8,8 @@ area, their bounding box, the source regions in them and their trapezoids.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -139,3 +141,22 @@ def dropped_slivers(regions: DataFrame, merged: DataFrame) -> DataFrame:
     """(region_id) of the sources that no part holds."""
     held = merged.select(F.explode("source_ids").alias("region_id")).distinct()
     return regions.select("region_id").join(held, "region_id", "left_anti")
+
+
+def invalid_rings(regions: DataFrame) -> DataFrame:
+    """(region_id, rings, invalid): how many rings a region has, and how many cross themselves.
+
+    The union takes every ring by the even-odd rule, which repairs them: what a
+    crossing ring encloses an odd number of times is copper.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for region, rings in zip(frame["region_id"], frame["rings"], strict=True):
+                shapes = [np.array([(p["x"], p["y"]) for p in ring]) for ring in rings if len(ring) >= 3]
+                rows.append((region, len(rings), sum(len(crossings(edges([[s]]))) > 0 for s in shapes)))
+            yield pd.DataFrame(rows, columns=["region_id", "rings", "invalid"])
+
+    kind = regions.select("region_id").schema[0].dataType.simpleString()
+    return regions.select("region_id", "rings").mapInPandas(run, f"region_id {kind}, rings long, invalid long")

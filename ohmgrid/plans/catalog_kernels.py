@@ -519,3 +519,20 @@ def lifted_fields(spark, d):
 @query("goal_weighted_indicators", "SELECT l_linenumber AS study, l_partkey AS tri, l_quantity * l_quantity AS eta FROM lineitem")
 def goal_weighted_indicators(spark, d):
     return fem.goal_weighted(table(spark, d, "lineitem").select(F.col("l_linenumber").alias("study"), F.col("l_partkey").alias("tri"), F.col("l_quantity").alias("eta")))
+
+
+@query("repaired_rings", """
+    SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 1 ELSE 0 END AS invalid, CASE WHEN p_partkey % 2 = 1 THEN 2 ELSE 1 END AS parts,
+           CAST(CASE WHEN p_partkey % 2 = 1 THEN 2 ELSE 4 END * p_size * p_size AS BIGINT) AS area_mm2 FROM part""")
+def repaired_rings(spark, d):
+    """Squares, and bow ties that cross themselves in the middle: two triangles."""
+    s = F.col("p_size") * 1e-3
+    zero = F.lit(0.0)
+    tie = F.array(R.point(zero, zero), R.point(2 * s, 2 * s), R.point(2 * s, zero), R.point(zero, 2 * s))
+    square = F.array(R.point(zero, zero), R.point(2 * s, zero), R.point(2 * s, 2 * s), R.point(zero, 2 * s))
+    regions = table(spark, d, "part").select(
+        F.col("p_partkey").cast("string").alias("region_id"), F.lit("L").alias("layer_id"), F.col("p_partkey").cast("string").alias("net_id"), F.array(F.when(F.col("p_partkey") % 2 == 1, tie).otherwise(square)).alias("rings")
+    )
+    merged = union.union_regions(regions).groupBy(F.col("net_id").alias("region_id")).agg(F.count(F.lit(1)).cast("int").alias("parts"), F.round(F.sum("area") * 1e6).cast("long").alias("area_mm2"))
+    found = union.invalid_rings(regions).join(merged, "region_id")
+    return found.select(F.col("region_id").cast("long").alias("p_partkey"), F.col("invalid").cast("int").alias("invalid"), "parts", "area_mm2")
