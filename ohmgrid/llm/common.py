@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ohmgrid.functions.storage import durable, shared_folder
+from ohmgrid.functions.storage import BROADCAST_ROWS, durable, shared_folder, small_side
 
-__all__ = ["content_id", "durable", "free_name", "lower_ascii", "shared_folder", "small_side", "without_rows"]
+__all__ = ["BROADCAST_ROWS", "content_id", "durable", "free_name", "lower_ascii", "shared_folder", "small_side", "without_rows"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -18,9 +18,6 @@ def lower_ascii(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, ASCII_UPPER, ASCII_LOWER)).otherwise(F.lower(text))
 
 
-#: Row identities, of 16 bytes, that are sent to every task; more are met by an exchange.
-BROADCAST_ROWS = 1_000_000
-
 
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
@@ -44,11 +41,6 @@ def content_id(df: DataFrame, *columns: str) -> Column:
     return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
 
 
-def small_side(rows: DataFrame) -> DataFrame:
-    """A stored ``rows``, marked for broadcast if counting proves it small."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def without_rows(documents: DataFrame, dropped: DataFrame, identity: Column) -> DataFrame:
     """``documents`` without the rows whose ``identity`` is in ``dropped`` (a, b).
 
