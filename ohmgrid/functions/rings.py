@@ -59,6 +59,25 @@ def rectangle(cx: Column, cy: Column, width: Column, height: Column) -> Column:
     return F.array(*[point(cx + i * width / 2, cy + j * height / 2) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
 
 
+def round_rectangle(width: Column, height: Column, radius: Column, rounded: Column) -> Column:
+    """Ring about the origin with corners of ``radius``, half of the shorter side at most.
+
+    ``rounded`` says which of lower left, lower right, upper right and upper left are; an oval has the largest radius.
+    """
+    ways = F.array(*[F.struct(F.lit(float(i)).alias("i"), F.lit(float(j)).alias("j"), F.get(rounded, F.lit(k)).alias("on")) for k, (i, j) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1)))])
+    r = F.least(radius, width / 2, height / 2)
+    spots = F.transform(ways, lambda w: F.struct((w["i"] * width / 2).alias("x"), (w["j"] * height / 2).alias("y"), w["i"].alias("i"), w["j"].alias("j"), F.when(w["on"], r).otherwise(F.lit(0.0)).alias("r")))
+
+    def corner(c: Column) -> Column:
+        cx, cy = c["x"] - c["i"] * c["r"], c["y"] - c["j"] * c["r"]
+        # Counter-clockwise: two corners are entered along their upright side, two along the level one.
+        upright = c["i"] * c["j"] > 0
+        x0, y0, x1, y1 = F.when(upright, c["x"]).otherwise(cx), F.when(upright, cy).otherwise(c["y"]), F.when(upright, cx).otherwise(c["x"]), F.when(upright, c["y"]).otherwise(cy)
+        return F.when(c["r"] > COINCIDENT, arc(x0, y0, x1, y1, cx, cy, F.lit(False))).otherwise(F.array(point(c["x"], c["y"])))
+
+    return F.when((width > 0) & (height > 0), F.flatten(F.transform(spots, corner))).otherwise(F.raise_error(F.lit("a rectangle has no extent")).cast("array<struct<x:double,y:double>>"))
+
+
 def tidy(ring: Column) -> Column:
     """The ring without points that repeat the one before and without the closing point; null if fewer than three are left."""
 

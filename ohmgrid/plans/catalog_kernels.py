@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ohmgrid.functions import rings as R
-from ohmgrid.functions.storage import durable, shared_folder
+from ohmgrid.functions.storage import durable, new_folder
 from ohmgrid.operators import fem, mesh, spatial, union
 from ohmgrid.plans.catalog import part_points, query, table
 from ohmgrid.sources import artifacts, canonical_json, ipc2581
@@ -340,7 +338,7 @@ def canonical_round_trip(spark, d):
     layer = lambda k, kind: f'{{"id":"l{k}","name":"L{k}","function":"{kind}","index":{k},"thickness":{{"value":3.5e-5,"unit":"m","provenance":"imported"}}}}'
     board = F.concat(F.lit('{"id":"'), "n_name", F.lit(f'","name":"b","stackup":[{layer(0, "signal")},{layer(1, "plane")}],"nets":'), F.to_json("nets"), F.lit("}"))
     documents = full.select(F.from_json(board, canonical_json.BOARD).alias("board"))
-    folder = f"{shared_folder(spark)}/boards-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "boards")
     # A line is one document.
     canonical_json.write(documents.repartition("board.id"), folder, "format_version")
     files = spark.read.text(f"{folder}/part-*").where("value <> ''")
@@ -396,12 +394,48 @@ def ipc_documents(spark, d):
         F.coalesce("stacks", F.lit("")), F.lit('<LayerFeature layerRef="Top">'), F.coalesce("features", F.lit("")), F.lit("</LayerFeature></Step></CadData></Ecad></IPC-2581>"),
     )
     full = table(spark, d, "nation").join(features, "n_nationkey", "left").join(stacks, "n_nationkey", "left")
-    folder = f"{shared_folder(spark)}/ipc-{uuid.uuid4().hex}"
-    # One file for each document: a folder for each nation.
-    full.select("n_nationkey", text.alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(folder)
-    rows = durable(ipc2581.read_rows(spark, f"{folder}/n_nationkey=*/part-*"))
-    nation = F.regexp_extract("source", "n_nationkey=([0-9]+)", 1).cast("int")
-    return {name: part.withColumn("n_nationkey", nation) for name, part in ipc2581.sections_of(rows).items()}
+    return stored_documents(full.select("n_nationkey", text.alias("value")))
+
+
+def nation_of(source):
+    return F.regexp_extract(source, "n_nationkey=([0-9]+)", 1).cast("int")
+
+
+def stored_documents(texts):
+    """The sections of documents that are stored first, one file for each: a folder for each nation."""
+    folder = new_folder(texts.sparkSession, "ipc")
+    texts.repartition("n_nationkey").write.partitionBy("n_nationkey").text(folder)
+    rows = durable(ipc2581.read_rows(texts.sparkSession, f"{folder}/n_nationkey=*/part-*"))
+    return {name: part.withColumn("n_nationkey", nation_of("source")) for name, part in ipc2581.sections_of(rows).items()}
+
+
+@query("ipc_nested_primitives", """
+    WITH c AS (SELECT c_nationkey AS n, c_custkey % 7 AS r, CASE WHEN c_nationkey % 3 = 0 THEN 0.0254 * 0.0254 ELSE 1e-6 END AS s, (1 + c_nationkey % 5) * 2 AS chain FROM customer),
+    f AS (SELECT *, CASE r WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 5 THEN 2 WHEN 6 THEN 1 ELSE 0 END AS rings, CASE r WHEN 0 THEN chain WHEN 1 THEN chain WHEN 2 THEN chain * 2 + 1 WHEN 5 THEN 9 WHEN 6 THEN 12 ELSE 0 END AS area FROM c)
+    SELECT n AS n_nationkey, CAST(sum(rings) AS BIGINT) AS polygons, CAST(round(sum(area) * any_value(s) * 1e9) AS BIGINT) AS area_e9, count(*) FILTER (WHERE r = 3) AS cycles, count(*) FILTER (WHERE r = 4) AS missing FROM f GROUP BY 1""")
+def ipc_nested_primitives(spark, d):
+    """Features drawn by a chain of five references, its middle, a user group that doubles it, a cycle, an entry that is not there, two primitives in one feature, a square-cornered RectRound."""
+    k, c = F.col("n_nationkey"), F.col("c_custkey")
+    refs = ['<StandardPrimitiveRef id="c0"/>', '<StandardPrimitiveRef id="c3"/>', '<UserPrimitiveRef id="group"/>', '<StandardPrimitiveRef id="loop"/>', '<StandardPrimitiveRef id="half"/>',
+            '<RectCenter width="2" height="4"/><UserSpecial><RectCenter width="1" height="1"/></UserSpecial>', '<RectRound width="4" height="3" radius="0"/>']
+    shape = F.get(F.array(*[F.lit(r) for r in refs]), (c % 7).cast("int"))
+    feature = F.format_string('<Set net="N%d"><Features><Location x="%d" y="0"/>%s</Features></Set>', c, c * 9, shape)
+    drawn = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(c, feature.alias("t")))), lambda x: x["t"]), "").alias("drawn"))
+    links = "".join(f'<EntryStandard id="{a}"><StandardPrimitiveRef id="{b}"/></EntryStandard>' for a, b in (("c0", "c1"), ("c1", "c2"), ("c2", "c3"), ("c3", "c4"), ("c4", "c5"), ("loop", "back"), ("back", "loop"), ("half", "gone")))
+    group = '<DictionaryUser><EntryUser id="group"><UserSpecial><StandardPrimitiveRef id="c1"/><StandardPrimitiveRef id="c4"/><RectCenter width="1" height="1"/></UserSpecial></EntryUser></DictionaryUser>'
+    text = F.concat(
+        F.lit(f'<IPC-2581 revision="B"><Content><DictionaryStandard>{links}<EntryStandard id="c5"><RectCenter width="'), 1 + k % 5, F.lit(f'" height="2"/></EntryStandard></DictionaryStandard>{group}</Content><Ecad><CadHeader units="'),
+        F.when(k % 3 == 0, "INCH").otherwise("MILLIMETER"), F.lit('"/><CadData><Layer name="Top" layerFunction="CONDUCTOR"/><Step><LayerFeature layerRef="Top">'), F.col("drawn"), F.lit("</LayerFeature></Step></CadData></Ecad></IPC-2581>"),
+    )
+    parts = stored_documents(drawn.select("n_nationkey", text.alias("value")))
+    shapes = durable(ipc2581.resolved_shapes(parts))
+    area = spatial.ring_area(F.get("rings", F.lit(0)))
+    nation = nation_of("source").alias("n_nationkey")
+    made = ipc2581.copper(parts, shapes).groupBy(nation).agg(F.count(F.lit(1)).alias("polygons"), F.round(F.sum(area) * 1e9).cast("long").alias("area_e9"))
+    count = lambda reason: F.coalesce(F.sum(F.when(F.col("reason") == reason, F.col("n"))), F.lit(0))
+    lost = ipc2581.missing_refs(parts, shapes).groupBy(nation).agg(count("cycle").alias("cycles"), count("missing").alias("missing"))
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("polygons", "area_e9", "cycles", "missing")}
+    return drawn.select("n_nationkey").join(made, "n_nationkey", "left").join(lost, "n_nationkey", "left").withColumns(zero)
 
 
 @query("ipc_headers", "SELECT n_nationkey, 'supported' AS revision_state, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 0.0254 ELSE 0.001 END AS DOUBLE) AS scale FROM nation")
@@ -456,14 +490,14 @@ def vtk_export(spark, d):
 def published_results(spark, d):
     """A table published whole and read back from where it was renamed to."""
     counted = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    done = artifacts.publish(spark, {"t": counted}, shared_folder(spark), f"job-{uuid.uuid4().hex[:16]}", {"quality": "CONVERGED"})
+    done = artifacts.publish(spark, {"t": counted}, new_folder(spark, "results"), "job-0123456789abcdef", {"quality": "CONVERGED"})
     return spark.read.parquet(f"{done}/t")
 
 
 @query("resumed_generations", "SELECT event_id FROM events WHERE user_id % 4 IN (0, 1)")
 def resumed_generations(spark, d):
     """Checkpoints are read up to the first that is not there; those of another signature are left out."""
-    root = f"{shared_folder(spark)}/generations-{uuid.uuid4().hex}"
+    root = new_folder(spark, "generations")
     events = table(spark, d, "events").select("event_id", "user_id")
     for index, signature in ((0, "own"), (1, "own"), (2, "other"), (4, "own")):
         artifacts.save_generation(events.where(F.col("user_id") % 4 == index % 4), root, signature, index)

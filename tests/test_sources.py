@@ -8,7 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from ohmgrid.operators import jobs, union
+from ohmgrid.operators import jobs, spatial, union
 from ohmgrid.sources import artifacts, canonical_json, ipc2581, markup
 from ohmgrid.streaming import lifecycle
 
@@ -66,7 +66,7 @@ XML = """<?xml version="1.0"?><IPC-2581 revision="B" xmlns="http://webstds.ipc.o
 <PadStack name="ps" net="VCC"><LayerHole name="h1" diameter="0.3" platingStatus="VIA" x="1" y="1"><Span fromLayer="Top" toLayer="Bot"/></LayerHole><LayerPad layerRef="Top"><Location x="20" y="20"/><StandardPrimitiveRef id="round"/><PinRef componentRef="U1" pin="1"/></LayerPad></PadStack>
 <Component refDes="U1" part="P"/><LogicalNet name="GND"><PinRef componentRef="U1" pin="1"/></LogicalNet>
 <LayerFeature layerRef="Top"><Set net="VCC"><Features><Contour><Polygon><PolyBegin x="0" y="0"/><PolyStepSegment x="12" y="0"/><PolyStepSegment x="12" y="10"/><PolyStepSegment x="0" y="10"/><PolyStepSegment x="0" y="0"/></Polygon><Cutout><PolyBegin x="2" y="2"/><PolyStepSegment x="6" y="2"/><PolyStepSegment x="6" y="8"/><PolyStepSegment x="2" y="8"/></Cutout></Contour></Features></Set>
-<Set net="No Net"><Features><Line startX="0" startY="30" endX="8" endY="30"><LineDesc lineWidth="1" lineEnd="ROUND"/></Line></Features><Features><Mystery/></Features></Set>
+<Set net="No Net"><Features><Line startX="0" startY="30" endX="7" endY="30"><LineDesc lineWidth="0.6" lineEnd="ROUND"/></Line></Features><Features><Mystery/></Features></Set>
 <Set net="VCC"><Features><Polygon><PolyBegin x="31" y="30"/><PolyStepCurve x="31" y="30" centerX="30" centerY="30" clockwise="false"/></Polygon></Features></Set></LayerFeature>
 <LayerFeature layerRef="Bot"><Set net="GND" polarity="NEGATIVE"><Features><Location x="5" y="5"/><RectCenter width="2" height="2"/></Features></Set><Set net="GND"><Features><Xform rotation="90"/><Location x="30" y="0"/><RectCenter width="4" height="1"/></Features></Set></LayerFeature>
 </Step></CadData></Ecad></IPC-2581>"""
@@ -83,7 +83,7 @@ def test_ipc2581(spark, tmp_path):
     assert merged["Top", "VCC", "n-Top-VCC-000"] == pytest.approx(120 - 24, rel=1e-9)
     circles = sorted(v for (lay, net, _), v in merged.items() if (lay, net) == ("Top", "VCC"))[:2]
     assert circles == [pytest.approx(math.pi, rel=3e-3)] * 2
-    assert merged["Top", None, "n-Top-none-000"] == pytest.approx(8 + math.pi / 4, rel=3e-3) and merged["Bot", "GND", "n-Bot-GND-000"] == pytest.approx(4.0, rel=1e-9)
+    assert merged["Top", None, "n-Top-none-000"] == pytest.approx(4.2 + 0.09 * math.pi, rel=3e-3) and merged["Bot", "GND", "n-Bot-GND-000"] == pytest.approx(4.0, rel=1e-9)
     assert [r["n"] for r in board["refused"].collect()] == [1]
     via = board["vias"].first()
     assert (via["from_layer"], via["to_layer"], via["drill"]) == ("Top", "Bot", pytest.approx(3e-4))
@@ -92,6 +92,56 @@ def test_ipc2581(spark, tmp_path):
     assert parts["unknown"].first()["label"] == "Features/Mystery" and ipc2581.missing_refs(parts).count() == 0
 
 
+def board_of(entries, features):
+    return f"""<IPC-2581 revision="B"><Content>{entries}</Content><Ecad><CadHeader units="MILLIMETER"/><CadData><Layer name="Top" layerFunction="CONDUCTOR"/><Step>
+    <LayerFeature layerRef="Top"><Set net="N">{features}</Set></LayerFeature></Step></CadData></Ecad></IPC-2581>"""
+
+
+def ref(name, x=0, kind="Standard"):
+    return f'<Features><Location x="{x}" y="0"/><{kind}PrimitiveRef id="{name}"/></Features>'
+
+
+def test_references_of_any_depth(spark, tmp_path):
+    chain = "".join(f'<EntryStandard id="c{k}"><StandardPrimitiveRef id="c{k + 1}"/></EntryStandard>' for k in range(11)) + '<EntryStandard id="c11"><RectCenter width="2" height="3"/></EntryStandard>'
+    loop = '<EntryStandard id="p"><StandardPrimitiveRef id="q"/></EntryStandard><EntryStandard id="q"><StandardPrimitiveRef id="p"/></EntryStandard><EntryStandard id="into"><StandardPrimitiveRef id="p"/></EntryStandard>'
+    lost = '<EntryStandard id="half"><StandardPrimitiveRef id="gone"/></EntryStandard>'
+    user = '<DictionaryUser><EntryUser id="c0"><UserSpecial><Circle diameter="1"/><StandardPrimitiveRef id="c7"/><UserPrimitiveRef id="two"/></UserSpecial></EntryUser><EntryUser id="two"><UserSpecial><RectCenter width="1" height="1"/><Oval width="4" height="2"/></UserSpecial></EntryUser></DictionaryUser>'
+    (tmp_path / "a.xml").write_text(board_of(f"<DictionaryStandard>{chain}{loop}{lost}</DictionaryStandard>{user}", "".join(ref(n, 10 * k) for k, n in enumerate(["c0", "c5", "c11", "p", "into", "half", "nothing"])) + ref("c0", 90, "User")))
+    # The same name in another document is another entry.
+    (tmp_path / "b.xml").write_text(board_of('<DictionaryStandard><EntryStandard id="c0"><Circle diameter="4"/></EntryStandard></DictionaryStandard>', ref("c0") + ref("c11")))
+    parts = ipc2581.sections_of(ipc2581.read_rows(spark, f"{tmp_path}/*.xml").cache())
+    name = F.element_at(F.split("source", "/"), -1).alias("file")
+    area = spatial.ring_area(F.get("rings", F.lit(0))) * 1e6
+    rows = [(r["file"], r["source_ref"], round(r["area"], 1)) for r in ipc2581.copper(parts).select(name, "source_ref", "pos", "part", area.alias("area")).orderBy("file", "pos", "part").collect()]
+    assert rows == [*[("a.xml", f"Top/Set[0]/Features[{k}]/StandardPrimitiveRef[0]", 6.0) for k in range(3)], *[("a.xml", "Top/Set[0]/Features[7]/UserPrimitiveRef[0]", v) for v in (0.8, 6.0, 1.0, round(4 + math.pi, 1))], ("b.xml", "Top/Set[0]/Features[0]/StandardPrimitiveRef[0]", 12.6)]
+    lost = {(r["file"], r["ref"], r["reason"]): r["n"] for r in ipc2581.missing_refs(parts).select(name, "ref", "reason", "n").collect()}
+    assert lost == {("a.xml", "p", "cycle"): 1, ("a.xml", "into", "cycle"): 1, ("a.xml", "gone", "missing"): 1, ("a.xml", "nothing", "missing"): 1, ("b.xml", "c11", "missing"): 1}
+
+
+def test_references_that_multiply_are_refused(spark, tmp_path):
+    doubling = "".join(f'<EntryUser id="d{k}"><UserSpecial><UserPrimitiveRef id="d{k + 1}"/><UserPrimitiveRef id="d{k + 1}"/></UserSpecial></EntryUser>' for k in range(40)) + '<EntryUser id="d40"><Circle diameter="1"/></EntryUser>'
+    (tmp_path / "a.xml").write_text(board_of(f"<DictionaryUser>{doubling}</DictionaryUser>", ref("d0", kind="User")))
+    parts = ipc2581.sections_of(ipc2581.read_rows(spark, f"{tmp_path}/*.xml").cache())
+    with pytest.raises(ipc2581.Refused, match="too many"):
+        ipc2581.resolved_entries(parts["dictionary"])
+    short = ipc2581.resolved_entries(parts["dictionary"].where("id rlike 'd(3[5-9]|40)'"))
+    assert {r["id"]: r["count"] for r in short.groupBy("id").count().collect()} == {f"d{k}": 2 ** (40 - k) for k in range(35, 41)}
+
+
+def test_primitives(spark, tmp_path):
+    shapes = ['<RectRound width="6" height="4" radius="1"/>', '<RectRound width="6" height="4" radius="1" upperRight="true" lowerLeft="false"/>', '<RectRound width="6" height="4" radius="9"/>', '<Oval width="6" height="4"/>', '<Oval width="4" height="4"/>', '<RectRound width="6" height="4" radius="0"/>',
+              '<Circle diameter="2"/><RectCenter width="1" height="1"/><Mystery/>', '<UserSpecial><Circle diameter="2"/><Odd/></UserSpecial>']
+    (tmp_path / "a.xml").write_text(board_of("", "".join(f'<Features><Location x="{20 * k}" y="5"/>{s}</Features>' for k, s in enumerate(shapes))))
+    parts = ipc2581.sections_of(ipc2581.read_rows(spark, f"{tmp_path}/*.xml").cache())
+    area, box = spatial.ring_area(F.get("rings", F.lit(0))) * 1e6, spatial.bounding_box(F.get("rings", F.lit(0)))
+    rows = ipc2581.copper(parts).select("source_ref", area.alias("a"), box.alias("b"), "pos").orderBy("pos").collect()
+    corner = 1 - math.pi / 4
+    assert [r["a"] for r in rows] == [pytest.approx(v, rel=2e-3) for v in (24 - 4 * corner, 24 - corner, 8 + 4 * math.pi, 8 + 4 * math.pi, 4 * math.pi, 24, math.pi, 1, math.pi)]
+    assert [r["source_ref"].rpartition("/")[2] for r in rows][6:] == ["Circle[0]", "RectCenter[1]", "Circle[0]"]
+    assert rows[0]["b"]["min_x"] == pytest.approx(-3e-3) and rows[0]["b"]["max_y"] == pytest.approx(7e-3)
+    assert sorted(r["label"] for r in parts["unknown"].collect()) == ["Features/Mystery", "Features/Odd"]
+
+
 @pytest.mark.parametrize("text", ["<!DOCTYPE a><a/>", "<!ENTITY x 'y'><a/>", "<a>" * 200 + "</a>" * 200, "<a>"])
 def test_hostile_markup(text):
     with pytest.raises(ipc2581.Refused):
