@@ -6,7 +6,8 @@ the packing is planned on their histogram: bins with the same contents are one
 group with a count.  A best-fit start is followed by a local search over the
 underfull groups, which moves pieces and exchanges one for one, two for one or
 one for two so that the sum of squared fills grows, until bins are empty and no
-exchange helps.  An exchange is made in as many equal bins at once as there are.  The plan's size depends on the capacity alone; the pieces are
+exchange helps.  An exchange is made in as many equal bins at once as there are, and of
+many equal bins bundles are exchanged, so that the work on the driver is bounded.  The pieces are
 then dealt to its slots by their rank among the pieces of their length, in
 parallel and without collecting any of them.
 """
@@ -29,6 +30,8 @@ from ohmgrid.llm.common import durable
 
 CAPACITY = 1024
 END = 2
+#: Underfull bins, or bundles of equal ones, that are searched at once on the driver.
+UNITS = 1 << 17
 
 PIECES = "piece int, start long, length long, ids_crc32 long, task int, rank long"
 
@@ -66,6 +69,37 @@ def cut_pieces(documents: DataFrame, key: str, text: str, capacity: int, path: s
 Pattern = tuple[int, ...]
 
 
+class Held:
+    """What bins can give back, by the room that giving it back makes: the smallest size for each room."""
+
+    def __init__(self, capacity: int):
+        #: count[f, s]: groups of bins with f free that hold the size s.
+        self.count = np.zeros((capacity + 1, capacity + 1), np.int32)
+        #: least[f + s]: the smallest such s, or more than any.
+        self.none = capacity + 1
+        self.least = np.full(2 * capacity + 2, self.none, np.int64)
+
+    def put(self, free: int, sizes: np.ndarray) -> None:
+        self.count[free, sizes] += 1
+        self.least[free + sizes] = np.minimum(self.least[free + sizes], sizes)
+
+    def take(self, free: int, sizes: np.ndarray) -> None:
+        self.count[free, sizes] -= 1
+        for s in sizes[(self.count[free, sizes] == 0) & (self.least[free + sizes] == sizes)]:
+            room = free + s
+            others = np.arange(max(1, room - len(self.count) + 1), min(room, len(self.count) - 1) + 1)
+            found = others[self.count[room - others, others] > 0]
+            self.least[room] = found[0] if len(found) else self.none
+
+    def smallest(self, low: int, high: int, below: int) -> tuple[int, int] | None:
+        """(free, size) of the smallest size under ``below`` whose room is in low..high - 1."""
+        least = self.least[low:high]
+        if not len(least):
+            return None
+        k = int(least.argmin())
+        return (low + k - int(least[k]), int(least[k])) if least[k] < below else None
+
+
 class Bins:
     """Groups of bins with the same contents (lengths, longest first), found by free space and by content."""
 
@@ -73,8 +107,10 @@ class Bins:
         self.capacity = capacity
         self.full: Counter[Pattern] = Counter()
         self.open: dict[int, Counter[Pattern]] = defaultdict(Counter)
-        #: holds[f, s]: bins with f free that hold a piece of length s.
-        self.holds = np.zeros((capacity + 1, capacity + 1), np.int64)
+        #: The free spaces as bits.
+        self.frees = 0
+        self.one, self.two = Held(capacity), Held(capacity)
+        self.sums: dict[Pattern, np.ndarray] = {}
 
     def add(self, pattern: Pattern, count: int) -> None:
         if not count or not pattern:
@@ -83,21 +119,42 @@ class Bins:
         if not free:
             self.full[pattern] += count
             return
-        self.open[free][pattern] += count
-        if not self.open[free][pattern]:
-            del self.open[free][pattern]
-        if not self.open[free]:
-            del self.open[free]
-        for s in set(pattern):
-            self.holds[free, s] += count
-
-    def tightest(self, length: int, but: int | None = None) -> int | None:
+        group = self.open[free]
+        before = group[pattern]
+        group[pattern] = before + count
+        if bool(before) == bool(before + count):
+            return
+        if before:
+            del group[pattern]
+            if not group:
+                del self.open[free]
+                self.frees ^= 1 << free
+        else:
+            self.frees |= 1 << free
+        for held, sizes in ((self.one, np.array(sorted(set(pattern)))), (self.two, self.pair_sums(pattern))):
+            (held.take if before else held.put)(free, sizes)
+
+    def pair_sums(self, pattern: Pattern) -> np.ndarray:
+        if pattern not in self.sums:
+            p = np.array(pattern)
+            i, j = np.triu_indices(len(p), 1)
+            self.sums[pattern] = np.unique(p[i] + p[j])
+        return self.sums[pattern]
+
+    def tightest(self, length: int) -> int | None:
         """Smallest free space of at least ``length``."""
-        return min((f for f in self.open if f >= length and f != but), default=None)
+        above = self.frees >> length
+        return length + (above & -above).bit_length() - 1 if above else None
 
     def holding(self, free: int, length: int) -> Pattern:
         return min(p for p in self.open[free] if length in p)
 
+    def holding_two(self, free: int, size: int) -> tuple[Pattern, tuple[int, int]]:
+        """A bin and two of its pieces of that size together."""
+        pattern = min(p for p in self.open[free] if size in self.pair_sums(p))
+        a = next(x for k, x in enumerate(pattern) if size - x in pattern[k + 1 :])
+        return pattern, (a, size - a)
+
 
 def without(pattern: Pattern, *lengths: int) -> Pattern:
     left = list(pattern)
@@ -134,40 +191,27 @@ def _exchange(bins: Bins, donor: Pattern, give: tuple[int, ...]) -> tuple[int, P
     """What a bin can take ``give`` for: (its free space, its contents, what it gives back), the least given back first.
 
     The donor's own bin is not in ``bins``.  Squared fill grows if the taker ends
-    up fuller than the donor was.
+    up fuller than the donor was: the room it makes is under ``most``.
     """
-    size, full = sum(give), sum(donor)
-
-    def grows(free: int, gain: int) -> bool:
-        return bins.capacity - free + gain > full
-
+    size, most = sum(give), bins.capacity + sum(give) - sum(donor)
     room = bins.tightest(size)
-    if room is not None and grows(room, size):
+    if room is not None and room < most:
         return room, min(bins.open[room]), ()
-    free = np.array(sorted(bins.open), dtype=np.int64)
-    # The taker's free space lies in [size - back, capacity + size - back - full), and it holds the piece given back.
-    near = free[free < bins.capacity + size - full]
-    s = np.arange(1, size)
-    fits = (bins.holds[near, 1:size] > 0) & (near[:, None] + s >= size) & (near[:, None] + s < bins.capacity + size - full)
-    back = np.flatnonzero(fits.any(axis=0))
-    if len(back):
-        tight = int(near[fits[:, back[0]].argmax()])
-        return tight, bins.holding(tight, int(s[back[0]])), (int(s[back[0]]),)
-    if len(give) == 1:  # one for two
-        for f in free[::-1]:
-            for pattern in bins.open[int(f)]:
-                for i, a in enumerate(pattern):
-                    for b in pattern[i + 1 :]:
-                        if size - f <= a + b < size and grows(int(f), size - a - b):
-                            return int(f), pattern, (a, b)
+    found = bins.one.smallest(size, most, size)
+    if found:
+        return found[0], bins.holding(*found), (found[1],)
+    if len(give) == 1 and (found := bins.two.smallest(size, most, size)):  # one for two
+        pattern, back = bins.holding_two(*found)
+        return found[0], pattern, back
     return None
 
 
 def improve(bins: Bins, floor: int) -> Bins:
     """Empties the emptiest bins by moves and exchanges, until there are ``floor`` bins or none can give anything.
 
-    Bins of equal contents give together, half of them at a time so that the others
-    can take; the work depends on the distinct contents, not on the documents.
+    All bins of equal contents give together, to as many equal bins as there are: an exchange
+    uses up a group on one side.  Only if no other bins can take are they split into halves that
+    give and take.  So a histogram with all counts multiplied takes the same exchanges.
     """
     n = sum(bins.full.values()) + sum(sum(c.values()) for c in bins.open.values())
     gained = True
@@ -175,30 +219,64 @@ def improve(bins: Bins, floor: int) -> Bins:
         gained = False
         for start in [p for f in sorted(bins.open, reverse=True) for p in sorted(bins.open[f])]:
             free = bins.capacity - sum(start)
-            while n > floor and (held := bins.open[free][start] if free in bins.open else 0):
-                held, donor = (held + 1) // 2, start
-                bins.add(donor, -held)
-                while donor:
-                    gives = [(x,) for x in sorted(set(donor), reverse=True)]
-                    gives += dict.fromkeys((a, b) for i, a in enumerate(donor) for b in donor[i + 1 :])
+            held = bins.open[free][start] if free in bins.open else 0
+            if not held or n <= floor:
+                continue
+            bins.add(start, -held)
+            donor = start
+            while donor and held:
+                gives = [(x,) for x in sorted(set(donor), reverse=True)]
+                gives += dict.fromkeys((a, b) for i, a in enumerate(donor) for b in donor[i + 1 :])
+                found = next(((give, met) for give in gives if (met := _exchange(bins, donor, give))), None)
+                if not found and donor == start and held > 1:
+                    # Nothing else can take: one half may give to the other.
+                    bins.add(start, held - held // 2)
+                    held //= 2
                     found = next(((give, met) for give in gives if (met := _exchange(bins, donor, give))), None)
-                    if not found:
-                        break
-                    give, (room, taker, back) = found
-                    many = min(held, bins.open[room][taker])
-                    bins.add(donor, held - many)
-                    held = many
-                    bins.add(taker, -many)
-                    bins.add(plus(without(taker, *back), *give), many)
-                    donor = plus(without(donor, *give), *back)
-                    gained = True
-                bins.add(donor, held)
-                n -= 0 if donor else held
-                if donor == start:
+                if not found:
                     break
+                give, (room, taker, back) = found
+                many = min(held, bins.open[room][taker])
+                bins.add(donor, held - many)
+                held = many
+                bins.add(taker, -many)
+                bins.add(plus(without(taker, *back), *give), many)
+                donor = plus(without(donor, *give), *back)
+                gained = True
+            bins.add(donor, held)
+            n -= 0 if donor else held
     return bins
 
 
+def bins_of(bins: Bins) -> int:
+    return sum(bins.full.values()) + sum(sum(c.values()) for c in bins.open.values())
+
+
+def improve_in_units(bins: Bins, units: int = UNITS) -> Bins:
+    """``improve`` with work that does not grow with the documents.
+
+    Underfull bins of equal contents are bundled, so that at most ``units`` bundles are
+    searched; an exchange between bundles is one in each of their bins.  What is left
+    over from bundling, less than a bundle for each content, is searched in smaller bundles, down to single bins.
+    """
+    out = Bins(bins.capacity)
+    out.full = bins.full
+    left = {p: c for group in bins.open.values() for p, c in group.items()}
+    while left:
+        unit = 1
+        while sum(left.values()) // unit > units:
+            unit *= 2
+        bundled = Bins(bins.capacity)
+        for pattern, count in left.items():
+            bundled.add(pattern, count // unit)
+        left = {p: c % unit for p, c in left.items() if c % unit}
+        filled = sum(sum(p) * c for group in bundled.open.values() for p, c in group.items())
+        improve(bundled, -(-filled // bins.capacity))
+        for pattern, count in [*bundled.full.items(), *((p, c) for group in bundled.open.values() for p, c in group.items())]:
+            out.add(pattern, count * unit)
+    return out
+
+
 def plan_slots(bins: Bins) -> tuple[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], int]:
     """For each length: first ranks, first sequence numbers and offsets of its slots; and the number of sequences."""
     groups = list(bins.full.items()) + [(p, n) for f in sorted(bins.open) for p, n in bins.open[f].items()]
@@ -236,8 +314,7 @@ def pack(
     before = F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1))
     bases = per_task.select("length", "task", "n", F.coalesce(before, F.lit(0)).alias("base"))
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    lengths = sum(s * n for s, n in histogram.items())
-    bins = improve(best_fit(histogram, capacity), -(-lengths // capacity))
+    bins = improve_in_units(best_fit(histogram, capacity))
     slots, n_short = plan_slots(bins)
     names = [key, "piece", "start", "length", "ids_crc32"]
 

@@ -232,6 +232,63 @@ def test_swaps_do_not_depend_on_the_number_of_documents():
         assert {s: sum(p.count(s) * k for p, k in groups) for s in histogram} == histogram
 
 
+def lognormal(n):
+    """About ``n`` documents of 1,000 lengths."""
+    s = np.arange(1, 1001)
+    p = np.exp(-((np.log(s) - 5.5) ** 2) / 2) / s
+    return {int(k): int(c) for k, c in zip(s, np.round(n * p / p.sum()), strict=True) if c}
+
+
+def test_search_is_bounded(monkeypatch):
+    """A thousand documents or a million times as many: the exchanges searched for stay within a few thousand, and none is worse than best fit."""
+    asked = []
+    plain = packing._exchange
+    monkeypatch.setattr(packing, "_exchange", lambda *a: asked.append(1) or plain(*a))
+    counts = []
+    for n in (10**4, 10**7, 10**9):
+        histogram = lognormal(n)
+        start = packing.bins_of(packing.best_fit(histogram, 1024))
+        asked.clear()
+        better = packing.improve_in_units(packing.best_fit(histogram, 1024), units=1 << 12)
+        counts.append(len(asked))
+        groups = [*better.full.items(), *((p, k) for c in better.open.values() for p, k in c.items())]
+        held = {}
+        for p, k in groups:
+            assert k > 0 and sum(p) <= 1024
+            for s in p:
+                held[s] = held.get(s, 0) + k
+        least = -(-sum(s * c for s, c in histogram.items()) // 1024)
+        assert held == histogram and least <= packing.bins_of(better) <= start and packing.bins_of(better) - least <= 1 + 1e-4 * least
+    assert max(counts) < 40_000
+
+
+def fewest_bins(sizes, capacity):
+    """The fewest bins by trying, larger pieces first."""
+    sizes = sorted(sizes, reverse=True)
+
+    def fits(k, free):
+        if k == len(sizes):
+            return True
+        return any(fits(k + 1, (*free[:b], f - sizes[k], *free[b + 1 :])) for b, f in enumerate(free) if f >= sizes[k] and f not in free[:b])
+
+    n = -(-sum(sizes) // capacity)
+    while not fits(0, (capacity,) * n):
+        n += 1
+    return n
+
+
+def test_against_the_fewest_bins():
+    rng = random.Random(5)
+    exact = 0
+    for _ in range(300):
+        sizes = [rng.randrange(1, 20) for _ in range(rng.randrange(1, 12))]
+        histogram = {s: sizes.count(s) for s in sizes}
+        n, best = packing.bins_of(packing.improve_in_units(packing.best_fit(histogram, 20))), fewest_bins(sizes, 20)
+        assert best <= n <= best + 1
+        exact += n == best
+    assert exact >= 297
+
+
 # ---------------------------------------------------------------- 4
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
