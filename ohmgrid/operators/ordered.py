@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ohmgrid.operators import ranges
+
 
 def relative_change(value: Column, previous: Column) -> Column:
     """Movement as a fraction of the previous value; null for the first and after zero."""
@@ -59,20 +61,15 @@ def doerfler(df: DataFrame, group: list[str], error: str, theta: tuple[int, int]
 
     Returns total, n_marked, threshold (every larger error is marked) and
     n_at_threshold (how many of that error are).  Errors are integers; they are
-    counted before the window, so the ordered side holds distinct values only.
+    counted first, and sums are carried over sorted ranges of distinct values.
     """
     num, den = theta
     square = F.col(error) * F.col(error)
     counted = df.groupBy(*group, F.col(error).alias("__e"), square.alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
-    down = W.partitionBy(*group).orderBy(F.col("__e").desc())
-    before = down.rowsBetween(W.unboundedPreceding, -1)
     mass = F.col("__s") * F.col("__n")
-    run = counted.select(
-        *group, "__e", "__s", "__n",
-        F.coalesce(F.sum(mass).over(before), F.lit(0)).alias("__cum"),
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rows"),
-        F.sum(mass).over(W.partitionBy(*group)).alias("total"),
-    )
+    laid = ranges.numbered(counted, group, [F.col("__e").desc()], "__k", sums={"__cum": mass, "__rows": F.col("__n")}, totals={"__cum": "total"})
+    # What is marked before a value.
+    run = laid.withColumns({"__cum": F.col("__cum") - mass, "__rows": F.col("__rows") - F.col("__n")})
     # Marking goes on while what is marked so far falls short.
     cut = run.where((F.col("__cum") * den < F.col("total") * num) & (F.col("__s") > 0))
     last = cut.groupBy(*group, "total").agg(F.min_by(F.struct("__e", "__s", "__n", "__cum", "__rows"), "__e").alias("z"))
@@ -83,13 +80,14 @@ def doerfler(df: DataFrame, group: list[str], error: str, theta: tuple[int, int]
 
 
 def mark(df: DataFrame, group: list[str], error: str, ties: list[str], theta: tuple[int, int]) -> DataFrame:
-    """The marked rows themselves; equal errors are marked in the order of ``ties``."""
+    """The marked rows themselves; equal errors are marked in the order of ``ties``, numbered over ranges of them."""
     cut = doerfler(df, group, error, theta).select(*group, "threshold", "n_at_threshold")
     met = df.join(cut, group) if group else df.crossJoin(F.broadcast(cut))
     above = met.where(F.col(error) > F.col("threshold")).select(*df.columns)
     at = met.where(F.col(error) == F.col("threshold"))
-    k = F.row_number().over(W.partitionBy(*group, error).orderBy(*ties))
-    return above.unionByName(at.withColumn("__k", k).where(F.col("__k") <= F.col("n_at_threshold")).select(*df.columns))
+    k, = ranges.free_names(at, "k")
+    placed = ranges.numbered(at, group, [F.col(c).asc() for c in ties], k)
+    return above.unionByName(placed.where(F.col(k) < F.col("n_at_threshold")).select(*df.columns))
 
 
 def adjacent_pairs(df: DataFrame, series: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -123,9 +121,10 @@ def latest_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def admitted(queue: DataFrame, lane: list[str], order: list[str], need: Column, budget: int) -> DataFrame:
-    """Running total of ``need`` along each lane of the queue, and whether it stays within the budget."""
-    along = W.partitionBy(*lane).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return queue.withColumn("committed", F.sum(need).over(along)).withColumn("admitted", F.col("committed") <= budget)
+    """Running total of ``need`` along each lane of the queue, carried over ranges of it, and whether it stays within the budget."""
+    place, = ranges.free_names(queue, "place")
+    laid = ranges.numbered(queue, lane, [F.col(c).asc() for c in order], place, sums={"committed": need}).drop(place)
+    return laid.withColumn("admitted", F.col("committed") <= budget)
 
 
 def most_recent(events: DataFrame, key: str, order: list[str], n: int) -> DataFrame:

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from ohmgrid.operators import ranges
 
 
 def weighted_quantiles(df: DataFrame, group: list[str], value: str, weight: Column, fractions: dict[str, tuple[int, int]]) -> DataFrame:
     """Per group, the smallest value at which the running weight reaches a fraction (numerator, denominator) of the total.
 
-    Equal values are summed before the window, so the ordered side holds distinct
-    values only, and integer weights make the result independent of row order.
+    Equal values are summed first, and the running weight is carried over sorted ranges
+    of (group, value), so a group may have any number of distinct values.  Integer weights make the
+    result independent of row order.
     """
     values = df.groupBy(*group, F.col(value).alias("__v")).agg(F.sum(weight).alias("__w"))
-    total = F.sum("__w").over(W.partitionBy(*group))
-    reached = F.sum("__w").over(W.partitionBy(*group).orderBy("__v"))
-    running = values.select(*group, "__v", reached.alias("__r"), total.alias("__t"))
+    running = ranges.numbered(values, group, [F.col("__v").asc()], "__k", sums={"__r": F.col("__w")}, totals={"__r": "__t"})
     return running.groupBy(*group).agg(
         *[F.min(F.when(F.col("__r") * den >= F.col("__t") * num, F.col("__v"))).alias(name) for name, (num, den) in fractions.items()]
     )
@@ -25,8 +25,8 @@ def weighted_quantiles(df: DataFrame, group: list[str], value: str, weight: Colu
 def twentieth(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Per group, 20 times the linearly interpolated 5th percentile of integers, exact; values are counted before they are ordered."""
     counted = df.groupBy(*group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    last = F.sum("__n").over(W.partitionBy(*group)) - 1
-    run = counted.select(*group, "__v", F.sum("__n").over(W.partitionBy(*group).orderBy("__v")).alias("__r"), last.alias("__m"))
+    running = ranges.numbered(counted, group, [F.col("__v").asc()], "__k", sums={"__r": F.col("__n")}, totals={"__r": "__t"})
+    run = running.select(*group, "__v", "__r", (F.col("__t") - 1).alias("__m"))
     at = F.call_function("div", F.col("__m"), F.lit(20))
     low = F.min(F.when(F.col("__r") > at, F.col("__v")))
     high = F.min(F.when(F.col("__r") > F.least(at + 1, F.col("__m")), F.col("__v")))

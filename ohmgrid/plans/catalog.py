@@ -232,6 +232,17 @@ def doerfler_marking(spark, d):
     return ordered.doerfler(rows, ["layer"], "err", (7, 10))
 
 
+@query("marked_rows", """
+    WITH e AS (SELECT l_linenumber AS layer, l_orderkey AS k, CAST(round(l_discount * 100) AS BIGINT) AS err FROM lineitem),
+    r AS (SELECT *, CAST(sum(err * err) OVER (PARTITION BY layer ORDER BY err DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - err * err AS before,
+                 CAST(sum(err * err) OVER (PARTITION BY layer) AS BIGINT) AS total FROM e)
+    SELECT layer, k, err FROM r WHERE before * 10 < total * 7 AND err > 0""")
+def marked_rows(spark, d):
+    """The rows that are marked, those at the threshold by their order."""
+    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("layer"), F.col("l_orderkey").alias("k"), hundredths().alias("err"))
+    return ordered.mark(rows, ["layer"], "err", ["k"], (7, 10))
+
+
 EVENT_CHANGE = """
     SELECT event_id, user_id, ts, value, CASE WHEN lag(value) OVER w <> 0 THEN abs(value - lag(value) OVER w) / abs(lag(value) OVER w) END AS change
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
