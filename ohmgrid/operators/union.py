@@ -84,7 +84,11 @@ def trapezoids(e: np.ndarray) -> list[tuple[float, float, float, float, float, f
 
 def parts(polygons: list[list[np.ndarray]]) -> list[tuple[float, list[int], list[list[float]]]]:
     """(area, polygons, trapezoids) of the connected parts of a union, from left to right."""
-    cells = trapezoids(edges(polygons))
+    return connected(trapezoids(edges(polygons)))
+
+
+def connected(cells: list[tuple[float, float, float, float, float, float, frozenset]]) -> list[tuple[float, list[int], list[list[float]]]]:
+    """(area, polygons, trapezoids) of trapezoids that share a stretch of an upright line, from left to right."""
     root = list(range(len(cells)))
 
     def find(k: int) -> int:
