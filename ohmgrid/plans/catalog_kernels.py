@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ohmgrid.functions import rings as R
 from ohmgrid.functions.storage import durable, new_folder
 from ohmgrid.operators import fem, mesh, spatial, union
 from ohmgrid.plans.catalog import part_points, query, table
-from ohmgrid.sources import artifacts, canonical_json, ipc2581
+from ohmgrid.sources import artifacts, canonical_json, ipc2581, ipc2581_scan
 
 
 # ------------------------------------------------------------------ rings
@@ -370,7 +371,7 @@ def canonical_diagnostics(spark, d):
     return canonical_json.diagnostics({"stackup": stackup, "vias": vias})
 
 
-def ipc_documents(spark, d):
+def ipc_documents(spark, d, read=None):
     """An IPC-2581 document a nation, in inches for every third: four layers, a rectangle a customer, a via a supplier, a pin for both."""
     k = F.col("n_nationkey")
     net = F.when(F.col("c_custkey") % 5 == 0, "No Net").otherwise(F.concat(F.lit("N"), F.col("c_custkey")))
@@ -394,17 +395,19 @@ def ipc_documents(spark, d):
         F.coalesce("stacks", F.lit("")), F.lit('<LayerFeature layerRef="Top">'), F.coalesce("features", F.lit("")), F.lit("</LayerFeature></Step></CadData></Ecad></IPC-2581>"),
     )
     full = table(spark, d, "nation").join(features, "n_nationkey", "left").join(stacks, "n_nationkey", "left")
-    return stored_documents(full.select("n_nationkey", text.alias("value")))
+    return stored_documents(full.select("n_nationkey", text.alias("value")), read)
 
 
 def nation_of(source):
     return F.regexp_extract(source, "n_nationkey=([0-9]+)", 1).cast("int")
 
 
-def stored_documents(texts):
-    """The sections of documents that are stored first, one file for each: a folder for each nation."""
+def stored_documents(texts, read=None):
+    """The sections of documents that are stored first, one file for each: a folder for each nation; ``read`` in place of the parser."""
     folder = new_folder(texts.sparkSession, "ipc")
     texts.repartition("n_nationkey").write.partitionBy("n_nationkey").text(folder)
+    if read:
+        return {name: part.withColumn("n_nationkey", nation_of("source")) for name, part in read(texts.sparkSession, f"{folder}/n_nationkey=*/part-*").items()}
     rows = durable(ipc2581.read_rows(texts.sparkSession, f"{folder}/n_nationkey=*/part-*"))
     return {name: part.withColumn("n_nationkey", nation_of("source")) for name, part in ipc2581.sections_of(rows).items()}
 
@@ -456,6 +459,22 @@ def ipc_sections(spark, d):
     return out.join(lost, "n_nationkey", "left").select("n_nationkey", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("features", "unknown", "holes", "missing")])
 
 
+@query("ipc_scan", """
+    SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS feature, (SELECT CAST(coalesce(sum(c_custkey * 4), 0) AS BIGINT) FROM customer WHERE c_nationkey = n_nationkey) AS x, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 7 = 0) AS unknown,
+           (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS hole, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS component, 4 AS layer, 3 AS stackup, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 0.0254 ELSE 0.001 END AS DOUBLE) AS scale, true AS in_order FROM nation""")
+def ipc_scan(spark, d):
+    """Sections of documents that are split over tasks wherever an element ends; sets in the order in which they were drawn."""
+    parts = ipc_documents(spark, d, lambda s, path: ipc2581_scan.scan(s, path)[0])
+    out = parts["header"].select("n_nationkey", "scale")
+    for name in ("feature", "unknown", "hole", "component", "layer", "stackup"):
+        out = out.join(parts[name].groupBy("n_nationkey").agg(F.count(F.lit(1)).alias(name)), "n_nationkey", "left")
+    # Sets were drawn by rising customer, so by rising x.
+    along = parts["feature"].withColumn("k", F.row_number().over(W.partitionBy("n_nationkey").orderBy("x")) - 1)
+    drawn = along.groupBy("n_nationkey").agg(F.sum("x").cast("long").alias("x"), F.bool_and(F.col("k") == F.col("set")).alias("in_order"))
+    filled = {c: F.coalesce(c, F.lit(0)) for c in ("feature", "unknown", "hole", "component", "layer", "stackup", "x")}
+    return out.join(drawn, "n_nationkey", "left").withColumns(filled | {"in_order": F.coalesce("in_order", F.lit(True))})
+
+
 @query("ipc_board", """
     WITH c AS (SELECT c_nationkey AS n, count(*) FILTER (WHERE c_custkey % 11 <> 0) AS drawn, count(*) FILTER (WHERE c_custkey % 11 = 0) AS refused, count(DISTINCT CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 11 <> 0 THEN c_custkey END) AS named FROM customer GROUP BY 1),
     s AS (SELECT s_nationkey AS n, count(*) FILTER (WHERE s_suppkey % 6 <> 0) AS pads, count(*) FILTER (WHERE s_suppkey % 4 <> 0) AS vias, count(*) AS terminals FROM supplier GROUP BY 1)

@@ -177,6 +177,11 @@ def sections(content: bytes) -> Iterator[tuple[str, dict]]:
     if units is None:
         units = next((e.get("units") for e in root.iter() if e.get("units")), None)
     yield "header", {"revision": revision, "units": units, "elements": count, "sections": sorted({_local(c.tag) for c in root}), "generator": generator}
+    yield from element_rows(root)
+
+
+def element_rows(root: ElementTree.Element) -> Iterator[tuple[str, dict]]:
+    """(section, body) of the elements below ``root`` and of itself, in document order."""
     for e in root.iter():
         name = _local(e.tag)
         if name in ("EntryStandard", "EntryUser"):
@@ -234,17 +239,25 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, ROW)
 
 
-def sections_of(rows: DataFrame) -> dict[str, DataFrame]:
-    """A table for each section, with source and pos; the header's units give ``scale``, metres of one unit."""
-    out = {
+def body_tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """A table for each section, with source and pos."""
+    return {
         name: rows.where(F.col("section") == name).select("source", "pos", F.from_json("body", kind).alias("r")).select("source", "pos", "r.*")
         for name, kind in SECTIONS.items()
     }
-    head = out["header"]
+
+
+def sections_of(rows: DataFrame) -> dict[str, DataFrame]:
+    """A table for each section, with source and pos; the header's units give ``scale``, metres of one unit."""
+    out = body_tables(rows)
+    return out | {"header": with_revision(out["header"])}
+
+
+def with_revision(head: DataFrame) -> DataFrame:
+    """Headers with the state of their revision and the scale of their units."""
     plain = F.upper(F.regexp_replace(F.trim(F.coalesce("revision", F.lit(""))), "(?i)^(ipc-?2581|rev(ision)?)[-_ ]*", ""))
     state = F.when(plain.isin(*READ_REVISIONS), "supported").when(plain.isin(*KNOWN_REVISIONS), "unsupported").otherwise("unknown")
-    out["header"] = head.withColumns({"revision_state": state, "scale": unit_scale(F.col("units"))})
-    return out
+    return head.withColumns({"revision_state": state, "scale": unit_scale(F.col("units"))})
 
 
 def _ring(steps: Column, scale: Column) -> Column:

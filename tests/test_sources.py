@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ohmgrid.operators import jobs, spatial, union
-from ohmgrid.sources import artifacts, canonical_json, ipc2581, markup
+from ohmgrid.sources import artifacts, canonical_json, ipc2581, ipc2581_scan, markup
 from ohmgrid.streaming import lifecycle
 
 
@@ -142,6 +142,44 @@ def test_primitives(spark, tmp_path):
     assert sorted(r["label"] for r in parts["unknown"].collect()) == ["Features/Mystery", "Features/Odd"]
 
 
+def plain_rows(df, drop=("pos", "source_ref")):
+    name = F.element_at(F.split("source", "/"), -1)
+    kept = df.withColumn("source", name).drop(*drop)
+    return sorted(json.dumps([str(r[c]) for c in sorted(kept.columns)]) for r in kept.collect())
+
+
+def test_parallel_scan_equals_the_parser(spark, tmp_path):
+    """Small splits, so that every document is read by many tasks; single quotes, empty sets and line breaks in tags."""
+    features = "".join(f'<Features><Location x="{k}" y="1"/><Polygon><PolyBegin x="0" y="0"/><PolyStepSegment x="2" y="0"/><PolyStepCurve x="0" y="2" centerX="0" centerY="0" clockwise="false"/><PolyStepSegment x="0" y="1"/></Polygon></Features>' for k in range(40))
+    sets = "".join(f'<Set net="N{k}&amp;{k}" polarity="POSITIVE">{ref("round", k)}<Features><Line startX="0" startY="0" endX="{k}" endY="1"><LineDesc lineWidth="1"/></Line></Features><Hole name="h{k}" diameter="1" platingStatus="VIA" x="1" y="1"/></Set>' for k in range(150))
+    many = f"""<?xml version="1.0"?><IPC-2581 revision="B"><Content><DictionaryStandard><EntryStandard id="round"><Circle diameter="2"/></EntryStandard></DictionaryStandard></Content><Ecad><CadHeader
+      units='INCH'/><CadData><Layer name='Top' layerFunction="CONDUCTOR"/><Layer name="Bot" layerFunction="PLANE"/><Step><Component refDes="U1" part="a &lt; b"><Location x="1" y="2"/></Component>
+      <LayerFeature layerRef="Empty"/><LayerFeature layerRef="Top">{sets}<Set net="none"/><Set net="poly">{features}</Set></LayerFeature><LayerFeature layerRef='Bot'><Set net="last">{ref("round")}</Set></LayerFeature></Step></CadData></Ecad></IPC-2581>"""
+    for name, text in (("many.xml", many), ("plain.xml", XML)):
+        (tmp_path / name).write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert ipc2581_scan.tokens(spark, f"{tmp_path}/*.xml").rdd.getNumPartitions() > 10
+        found, bad = ipc2581_scan.scan(spark, f"{tmp_path}/*.xml")
+        parsed = ipc2581.sections_of(ipc2581.read_rows(spark, f"{tmp_path}/*.xml").cache())
+        for name in ("dictionary", "layer", "stackup", "outline", "hole", "pad", "component", "pin", "feature", "unknown"):
+            assert plain_rows(found[name]) == plain_rows(parsed[name]), name
+        drop = ("pos", "sections", "generator")
+        assert plain_rows(found["header"], drop) == plain_rows(parsed["header"], drop)
+        assert bad.count() == 0 and found["corrupt"].count() == 0
+        regions = [ipc2581.board_tables(parts)["regions"].select("source", "layer_id", "net_id", "rings") for parts in (found, parsed)]
+        assert plain_rows(regions[0]) == plain_rows(regions[1])
+        (tmp_path / "bad.xml").write_text('<!DOCTYPE x><IPC-2581 revision="B"><Ecad><CadHeader units="INCH"/></Ecad></IPC-2581>')
+        for name, text in (("prefix.xml", '<i:IPC-2581 revision="B"><i:Set></i:Set></i:IPC-2581>'), ("space.xml", board_of("", "").replace("</Set>", "</Set >")), ("comment.xml", board_of("", "<!-- <Set> </Set> -->"))):
+            (tmp_path / name).write_text(text)
+        (tmp_path / "cut.xml").write_text(board_of("", '<Features><Circle diameter="1"></Features>' + ref("x")))
+        found, bad = ipc2581_scan.scan(spark, f"{tmp_path}/*.xml")
+        assert sorted(r["reason"][:8] for r in bad.collect()) == ["declares", *["prefixed"] * 3] and found["corrupt"].count() == 1 and found["header"].count() == 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @pytest.mark.parametrize("text", ["<!DOCTYPE a><a/>", "<!ENTITY x 'y'><a/>", "<a>" * 200 + "</a>" * 200, "<a>"])
 def test_hostile_markup(text):
     with pytest.raises(ipc2581.Refused):
