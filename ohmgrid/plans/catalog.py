@@ -747,4 +747,4 @@ def adaptive_history(spark, d):
 
 
 # Further queries register themselves.
-from ohmgrid.plans import catalog_board, catalog_kernels, catalog_overlay  # noqa: E402, F401
+from ohmgrid.plans import catalog_board, catalog_kernels, catalog_overlay, catalog_queue  # noqa: E402, F401
