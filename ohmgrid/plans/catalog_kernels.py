@@ -9,7 +9,7 @@ from ohmgrid.functions import rings as R
 from ohmgrid.functions.storage import durable, new_folder
 from ohmgrid.operators import fem, mesh, spatial, union
 from ohmgrid.plans.catalog import part_points, query, table
-from ohmgrid.sources import artifacts, canonical_json, ipc2581, ipc2581_scan
+from ohmgrid.sources import artifacts, canonical_json, import_run, ipc2581, ipc2581_scan
 
 
 # ------------------------------------------------------------------ rings
@@ -459,6 +459,20 @@ def ipc_sections(spark, d):
     return out.join(lost, "n_nationkey", "left").select("n_nationkey", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("features", "unknown", "holes", "missing")])
 
 
+@query("import_records", """
+    SELECT 'started' AS event, CAST(NULL AS BIGINT) AS documents, CAST(NULL AS BIGINT) AS feature, CAST(NULL AS BIGINT) AS hole, CAST(NULL AS BIGINT) AS unknown
+    UNION ALL SELECT 'finished', (SELECT count(*) FROM nation), (SELECT count(*) FROM customer), (SELECT count(*) FROM supplier), (SELECT count(*) FROM customer WHERE c_custkey % 7 = 0)""")
+def import_records(spark, d):
+    """Records of an import of all documents, counted while their sections were written."""
+    root = new_folder(spark, "imports")
+
+    def read(s, path):
+        import_run.run_import(s, path, root)
+        return {"records": import_run.records(s, root).withColumn("source", F.lit(None).cast("string"))}
+
+    return ipc_documents(spark, d, read)["records"].select("event", "documents", "feature", "hole", "unknown")
+
+
 @query("ipc_scan", """
     SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS feature, (SELECT CAST(coalesce(sum(c_custkey * 4), 0) AS BIGINT) FROM customer WHERE c_nationkey = n_nationkey) AS x, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 7 = 0) AS unknown,
            (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS hole, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS component, 4 AS layer, 3 AS stackup, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 0.0254 ELSE 0.001 END AS DOUBLE) AS scale, true AS in_order FROM nation""")

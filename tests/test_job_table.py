@@ -90,3 +90,22 @@ def test_streamed_leases(spark, tmp_path):
     assert any(c == "lease" for rows in found.values() for *_, c in rows)
     for j, rows in by_job.items():
         assert sorted(found[j]) == sorted(leases.batch_leases(rows, 40_000, 10_000_000)), j
+
+
+def test_import_records(spark, tmp_path):
+    from ohmgrid.sources import import_run, ipc2581
+
+    (tmp_path / "good").mkdir()
+    (tmp_path / "bad").mkdir()
+    board = '<IPC-2581 revision="B"><Ecad><CadHeader units="INCH"/><CadData><Layer name="Top" layerFunction="CONDUCTOR"/><LayerFeature layerRef="Top"><Set><Features><Circle diameter="1"/><Odd/></Features></Set></LayerFeature></CadData></Ecad></IPC-2581>'
+    for k in range(3):
+        (tmp_path / "good" / f"{k}.xml").write_text(board)
+    (tmp_path / "bad" / "x.xml").write_text("<!DOCTYPE secret>" + board)
+    root = f"file://{tmp_path}/runs"
+    run = import_run.run_import(spark, f"{tmp_path}/good", root)
+    with pytest.raises(Exception, match="declares a type"):
+        import_run.run_import(spark, f"{tmp_path}/bad", root)
+    found = [(r["event"], r["documents"], r["rows"], r["feature"], r["unknown"], r["error"]) for r in import_run.records(spark, root).orderBy("at").collect()]
+    assert found == [("started", *[None] * 5), ("finished", 3, 12, 3, 3, None), ("started", *[None] * 5), ("failed", *[None] * 4, "the document declares a type or an entity")]
+    parts = ipc2581.sections_of(import_run.rows_of(spark, root, run))
+    assert parts["feature"].count() == 3 and parts["header"].first()["scale"] == 0.0254
