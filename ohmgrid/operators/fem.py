@@ -346,7 +346,7 @@ def via_segments(contacts: DataFrame, layers: DataFrame, conductivity: float) ->
     if "study" in layers.columns:
         placed = contacts.join(layers.select("study", "layer", "z_mid"), ["study", "layer"])
     else:
-        placed = contacts.join(F.broadcast(layers.select("layer", "z_mid")), "layer")
+        placed = contacts.join(layers.select("layer", "z_mid"), "layer")
     pairs = adjacent_pairs(placed, ["study", "via_id"], ["z_mid", "layer"], ["z_mid", "node", "barrel_area"])
     length = F.col("next_z_mid") - F.col("z_mid")
     kept = pairs.where(length > 0)

@@ -69,7 +69,7 @@ def span_kind(vias: DataFrame, layers: DataFrame) -> DataFrame:
 
 def net_summary(nets: DataFrame, regions: DataFrame, vias: DataFrame, terminals: DataFrame, layers: DataFrame) -> DataFrame:
     """Per net, those without copper too: layers in stack order, counts, area; facts are aggregated before they are joined."""
-    named = regions.join(F.broadcast(layers.select("layer_id", "idx")), "layer_id")
+    named = regions.join(layers.select("layer_id", "idx"), "layer_id")
     on_layers = F.transform(F.array_sort(F.collect_set(F.struct("idx", "layer_id"))), lambda x: x["layer_id"])
     copper = named.groupBy("net_id").agg(on_layers.alias("layers"), F.count(F.lit(1)).alias("region_count"), F.sum("area").alias("area"))
     out = nets.join(copper, "net_id", "left")
@@ -94,7 +94,7 @@ def layer_stats(layers: DataFrame, regions: DataFrame, sources: DataFrame, vias:
     conductive = layers.where(F.col("function").isin(*CONDUCTIVE)).select("layer_id", "idx")
     own = regions.groupBy("layer_id").agg(F.count(F.lit(1)).alias("regions"), F.sum("area").alias("area"), F.count_distinct("net_id").alias("nets"))
     raw = sources.groupBy("layer_id").agg(F.count(F.lit(1)).alias("features"))
-    at = F.broadcast(layers.select("layer_id", "idx"))
+    at = layers.select("layer_id", "idx")
     spans = vias.join(at.toDF("from_layer", "i"), "from_layer").join(at.toDF("to_layer", "j"), "to_layer")
     covered = covering_counts(spans, F.col("i"), F.col("j")).select("idx", F.col("n").alias("vias"))
     full = conductive.join(own, "layer_id", "left").join(raw, "layer_id", "left").join(covered, "idx", "left")
@@ -103,7 +103,7 @@ def layer_stats(layers: DataFrame, regions: DataFrame, sources: DataFrame, vias:
 
 def span_classes(vias: DataFrame, layers: DataFrame) -> DataFrame:
     """(from_row, to_row, n) among the conductive layers' rows; wider spans first, then the upper ones."""
-    rows = F.broadcast(layers.where(F.col("function").isin(*CONDUCTIVE)).select("layer_id", (F.row_number().over(W.partitionBy().orderBy("idx")) - 1).alias("row")))
+    rows = layers.where(F.col("function").isin(*CONDUCTIVE)).select("layer_id", (F.row_number().over(W.partitionBy().orderBy("idx")) - 1).alias("row"))
     met = vias.join(rows.toDF("from_layer", "i"), "from_layer").join(rows.toDF("to_layer", "j"), "to_layer")
     classes = met.groupBy(F.least("i", "j").alias("from_row"), F.greatest("i", "j").alias("to_row")).agg(F.count(F.lit(1)).alias("n"))
     return classes.orderBy((F.col("to_row") - F.col("from_row")).desc(), "from_row")

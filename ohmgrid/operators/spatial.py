@@ -95,7 +95,7 @@ def consolidate_vias(vias: DataFrame, layers: DataFrame, tolerance: float = 1e-7
     merged.  ``layers`` has (layer_id, idx).
     """
     # A board has tens of layers.
-    at = F.broadcast(layers.select("layer_id", "idx"))
+    at = layers.select("layer_id", "idx")
     spanned = vias.join(at.toDF("from_layer", "i"), "from_layer").join(at.toDF("to_layer", "j"), "to_layer")
     spanned = spanned.withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")})
     close = near_pairs(spanned, "via_no", "x", "y", tolerance).select("a", "b")

@@ -123,7 +123,7 @@ def hit(points: DataFrame, inside: DataFrame, layers: DataFrame) -> DataFrame:
 
     ``inside`` has (p, region, layer, drawn), ``layers`` (layer, rank, visible), rank 0 on top.
     """
-    seen = inside.join(F.broadcast(layers.where("visible")), "layer")
+    seen = inside.join(layers.where("visible"), "layer")
     best = seen.groupBy("p").agg(F.min_by("region", F.struct("rank", -F.col("drawn"))).alias("region"))
     return points.select("p").join(best, "p", "left")
 

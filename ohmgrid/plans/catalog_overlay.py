@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ohmgrid.functions import rings as R
 from ohmgrid.functions.storage import durable
-from ohmgrid.operators import overlay
+from ohmgrid.operators import overlay, sampling
 from ohmgrid.plans.catalog import query, table
 
 BARS = """b AS (SELECT 'r' || c_custkey AS id, 'L' || c_nationkey % 4 AS layer, CASE WHEN c_nationkey % 5 > 0 THEN 'n' || c_nationkey % 3 END AS net, CAST(c_custkey AS BIGINT) AS x, 1 + c_custkey % 30 AS w FROM customer),
@@ -72,3 +72,39 @@ def regions_that_meet(spark, d):
     right = rectangles("supplier", "s_suppkey", "s_nationkey", (53, 1000), (29, 997), (5, 40), (5, 50))
     met = overlay.polygons_that_meet(left, right, "c_custkey", "s_suppkey", ["layer"])
     return met.select(F.col("c_custkey").cast("long").alias("c_custkey"), F.col("s_suppkey").cast("long").alias("s_suppkey"))
+
+
+@query("free_widths", """
+    WITH p AS (SELECT p_partkey, least(1.0 + p_size % 7, 5.0) AS inward, least(1.0 + p_partkey % 6, 5.0) AS outward FROM part)
+    SELECT p_partkey, CAST(inward * 1000 AS BIGINT) AS inward_um, CAST(outward * 1000 AS BIGINT) AS outward_um, CAST(round(greatest(least(inward / 4, outward / 2, 1.0), 0.3) * 1000) AS BIGINT) AS size_um FROM p""")
+def free_widths(spark, d):
+    """Width and clearance at the edge of a strip with a second arm above it, by rays of 5 mm, and the size they ask for."""
+    k, zero = F.col("p_partkey"), F.lit(0.0)
+    h, gap, long = (1 + F.col("p_size") % 7) * 1e-3, (1 + k % 6) * 1e-3, F.lit(4e-2)
+    strips = table(spark, d, "part").select(k, h.alias("h"), gap.alias("gap"))
+    h, gap = F.col("h"), F.col("gap")
+    box = lambda y0, y1: [(zero, y0, long, y0), (long, y0, long, y1), (zero, y1, long, y1), (zero, y0, zero, y1)]
+    lines = F.array(*[F.struct(*[v.cast("double").alias(n) for v, n in zip(s, ("x1", "y1", "x2", "y2"), strict=True)]) for s in box(zero, h) + box(h + gap, h + gap + 1e-3)])
+    points = strips.select(k, F.lit(0.02).alias("px"), h.alias("py"), zero.alias("nx"), F.lit(-1.0).alias("ny"), k.alias("point"))
+    found = sampling.boundary_sizes(points, strips.select(k, F.inline(lines)), "point", ["p_partkey"], 4, 1e-3, 3e-4, 5e-3)
+    um = lambda c: F.round(F.col(c) * 1e6).cast("long").alias(f"{c}_um")
+    return found.select(F.col("point").alias("p_partkey"), um("inward"), um("outward"), um("size"))
+
+
+@query("lattice_levels", """
+    WITH b AS (SELECT s_nationkey AS r, s_suppkey AS node, (s_suppkey * 13 % 41) * 0.487 AS x, (s_suppkey * 29 % 37) * 0.403 AS y, CASE s_suppkey % 3 WHEN 0 THEN 0.37 WHEN 1 THEN 0.91 ELSE 1.73 END AS size FROM supplier),
+    f AS (SELECT min(size) AS finest FROM b),
+    l AS (SELECT k, 4.0 / (1 << k) AS level FROM (SELECT CAST(unnest(range(6)) AS INTEGER) AS k), f WHERE k = 0 OR 4.0 / (1 << k) >= greatest(0.2, finest / 2)),
+    g AS (SELECT k, level, i, j, (i + 0.5 * (j % 2)) * level AS px, j * level * sqrt(3.0) / 2 AS py FROM l, LATERAL (SELECT unnest(range(CAST(floor(20.0 / level) AS BIGINT) + 2)) AS i), LATERAL (SELECT unnest(range(CAST(floor(15.0 / (level * sqrt(3.0) / 2)) AS BIGINT) + 2)) AS j)),
+    n AS (SELECT r, k, level, i, j, min(sqrt((px - x) * (px - x) + (py - y) * (py - y))) AS d, arg_min(size, sqrt((px - x) * (px - x) + (py - y) * (py - y))) AS size FROM g, b GROUP BY ALL),
+    t AS (SELECT *, least(size + 0.5 * d, 4.0) AS target FROM n)
+    SELECT r AS n_nationkey, k AS halvings, count(*) AS points, CAST(sum(i) AS BIGINT) AS cols, CAST(sum(j) AS BIGINT) AS rows FROM t WHERE target >= level AND target < 2 * level AND d >= 0.6 * level GROUP BY 1, 2""")
+def lattice_levels(spark, d):
+    """Points of graded lattices by nation and level, the boundary points being the suppliers; in millimetres."""
+    s = F.col("s_suppkey")
+    size = F.when(s % 3 == 0, 0.37).when(s % 3 == 1, 0.91).otherwise(1.73)
+    nodes = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), s.alias("node"), (s * 13 % 41 * 0.487).alias("nx"), (s * 29 % 37 * 0.403).alias("ny"), size.alias("size"))
+    boxes = table(spark, d, "nation").select("n_nationkey", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(20.0).alias("x1"), F.lit(15.0).alias("y1"))
+    laid = sampling.graded_lattice(boxes, nodes, "n_nationkey", "node", 4.0, 0.2, 0.5, clearance=0.6)
+    halvings = F.round(F.log2(F.lit(4.0) / F.col("level"))).cast("int").alias("halvings")
+    return laid.groupBy("n_nationkey", halvings).agg(F.count(F.lit(1)).alias("points"), F.sum("col").alias("cols"), F.sum("row").alias("rows"))

@@ -32,7 +32,7 @@ def bind_pads(spark: SparkSession, board: Board, nodes: DataFrame) -> DataFrame:
     """(study, contact, node) of the nodes inside each pad, its edge included."""
     pads = spark.createDataFrame([(board.study, name, *r) for name, rects in board.pads.items() for r in rects], PAD)
     # A study has few pads.
-    met = nodes.join(F.broadcast(pads), ["study", "layer"])
+    met = nodes.join(pads, ["study", "layer"])
     inside = F.col("x").between(F.col("px0") - 1e-9, F.col("px1") + 1e-9) & F.col("y").between(F.col("py0") - 1e-9, F.col("py1") + 1e-9)
     return met.where(inside).select("study", "contact", "node").distinct()
 
@@ -42,7 +42,7 @@ def bind_vias(spark: SparkSession, board: Board, nodes: DataFrame) -> DataFrame:
     if not board.vias:
         return spark.createDataFrame([], "study string, via_id string, layer int, node long, barrel_area double")
     vias = spark.createDataFrame([(board.study, *v) for v in board.vias], "study string, via_id string, px double, py double, barrel_area double")
-    met = nodes.join(F.broadcast(vias), "study")
+    met = nodes.join(vias, "study")
     near = F.min(F.struct(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")).alias("d"), "node")).alias("best")
     return met.groupBy("study", "via_id", "layer", "barrel_area").agg(near).select("study", "via_id", "layer", F.col("best.node").alias("node"), "barrel_area")
 

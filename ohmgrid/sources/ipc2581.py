@@ -384,12 +384,12 @@ def board_tables(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     Negative artwork on a conductive layer is refused and counted in ``refused``;
     names that stand for no net become null; plated holes with a known span are vias.
     """
-    scale = F.broadcast(parts["header"].select("source", "scale"))
+    scale = parts["header"].select("source", "scale")
     stack = parts["stackup"].join(scale, "source").select("source", F.col("layer").alias("name"), (F.col("thickness") * F.col("scale")).alias("thickness"), "sequence", "material")
     listed = parts["layer"].join(stack, ["source", "name"], "left")
     layers = review.classify_layers(listed.withColumnRenamed("function", "declared"), "declared", "thickness", ["source"], "sequence")
     forms = durable(resolved_shapes(parts))
-    shapes = durable(copper(parts, forms)).join(F.broadcast(layers.select("source", F.col("name").alias("layer"), F.col("function").alias("layer_function"))), ["source", "layer"])
+    shapes = durable(copper(parts, forms)).join(layers.select("source", F.col("name").alias("layer"), F.col("function").alias("layer_function")), ["source", "layer"])
     on_copper = shapes.where(F.col("layer_function").isin(*review.CONDUCTIVE))
     negative = F.upper(F.coalesce("polarity", F.lit("POSITIVE"))) == "NEGATIVE"
     number = F.row_number().over(W.partitionBy("source").orderBy("pos", "part"))
