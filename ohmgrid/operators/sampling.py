@@ -118,3 +118,30 @@ def graded_lattice(
     target = F.least(F.col("size") + growth * F.col("distance"), F.lit(largest))
     wanted = (target >= F.col("level")) & (target < 2 * F.col("level")) & (F.col("distance") >= clearance * F.col("level"))
     return met.where(wanted).select(region, "level", "col", "row", "px", "py")
+
+
+def walk_spans(pieces: DataFrame, span: list[str], start: str, stop: str, first_size: str, last_size: str) -> DataFrame:
+    """(span, step, position, size): points along spans whose distances follow the size there, the first at the span's start, none at its end.
+
+    Pieces have where they start and stop along the span and the sizes at both ends, between which the size is linear; those of
+    a span follow each other.  A span of n sizes in all, the integral of one over the size, takes round(n) steps, one at least,
+    which are stretched alike so that the last ends where the span does.  The integral is
+    carried over sorted ranges of pieces, so a span may be any number of them, and each piece gives the points that lie on it.
+    """
+    a, b = F.col(first_size), F.col(last_size)
+    long = F.col(stop) - F.col(start)
+    slope = (b - a) / long
+    level = F.abs(b - a) <= 1e-12 * a
+    own = F.when(level, long / a).otherwise(F.ln(b / a) / F.when(~level, slope))
+    sound = pieces.select(*span, start, stop, first_size, last_size).where((F.col(stop) > F.col(start)) & (a > 0) & (b > 0))
+    number, reached, whole = ranges.free_names(sound, "number", "reached", "whole")
+    laid = ranges.numbered(sound, span, [F.col(start).asc()], number, sums={reached: own}, totals={reached: whole})
+    steps = F.greatest(F.lit(1.0), F.round(F.col(whole)))
+    before = F.greatest(F.col(reached) - own, F.lit(0.0))
+    # Sums of the same numbers in another order may differ in the last digits; a point between two pieces is on the later one.
+    place = lambda v: F.ceil(v * steps / F.col(whole) - 1e-9).cast("long")
+    low, high = F.when(F.col(number) == 0, F.lit(0).cast("long")).otherwise(place(before)), F.least(place(F.col(reached)), steps.cast("long"))
+    points = laid.select("*", before.alias("from_"), steps.alias("steps_"), F.explode(F.when(high > low, F.sequence(low, high - 1))).alias("step"))
+    into = F.greatest(F.col("step") * F.col(whole) / F.col("steps_") - F.col("from_"), F.lit(0.0))
+    moved = F.when(level, into * a).otherwise(a * F.expm1(into * slope) / F.when(~level, slope))
+    return points.select(*span, "step", (F.col(start) + moved).alias("position"), (a + slope * moved).alias("size"))

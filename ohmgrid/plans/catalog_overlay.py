@@ -108,3 +108,19 @@ def lattice_levels(spark, d):
     laid = sampling.graded_lattice(boxes, nodes, "n_nationkey", "node", 4.0, 0.2, 0.5, clearance=0.6)
     halvings = F.round(F.log2(F.lit(4.0) / F.col("level"))).cast("int").alias("halvings")
     return laid.groupBy("n_nationkey", halvings).agg(F.count(F.lit(1)).alias("points"), F.sum("col").alias("cols"), F.sum("row").alias("rows"))
+
+
+@query("walked_spans", """
+    WITH p AS (SELECT p_partkey, 5.0 + p_size AS long, 0.5 AS a, 0.5 + (p_partkey % 4) * 0.5 AS b FROM part),
+    n AS (SELECT *, (b - a) / long AS slope, CASE WHEN a = b THEN long / a ELSE ln(b / a) / ((b - a) / long) END AS whole FROM p),
+    k AS (SELECT *, greatest(1, CAST(round(whole) AS BIGINT)) AS steps FROM n), j AS (SELECT *, unnest(range(steps)) AS j FROM k)
+    SELECT p_partkey, steps, CAST(sum(round((CASE WHEN a = b THEN j * whole / steps * a ELSE a * (exp(j * whole / steps * slope) - 1) / slope END) * 1000)) AS BIGINT) AS positions_um FROM j GROUP BY 1, 2""")
+def walked_spans(spark, d):
+    """Points along spans of growing size, each span in five pieces: how many, and the sum of where they are."""
+    k = F.col("p_partkey")
+    long, b = 5.0 + F.col("p_size"), 0.5 + (k % 4) * 0.5
+    at = lambda i: long * i / 5
+    size = lambda i: 0.5 + (b - 0.5) * i / 5
+    pieces = table(spark, d, "part").select(k, F.inline(F.array(*[F.struct(at(i).cast("double").alias("s0"), at(i + 1).cast("double").alias("s1"), size(i).cast("double").alias("z0"), size(i + 1).cast("double").alias("z1")) for i in range(5)])))
+    found = sampling.walk_spans(pieces, ["p_partkey"], "s0", "s1", "z0", "z1")
+    return found.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("steps"), F.sum(F.round(F.col("position") * 1000)).cast("long").alias("positions_um"))

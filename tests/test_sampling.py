@@ -83,3 +83,21 @@ def test_lattice_levels(spark):
         sampling.graded_lattice(df, points, "r", "node", 2e-3, 1e-4, 0.7, most=500)
     far = points.withColumn("size", F.lit(5e-3))
     assert {x["level"] for x in sampling.graded_lattice(df, far, "r", "node", 2e-3, 1e-4, 0.7).collect()} == {2e-3}
+
+
+def test_walks(spark):
+    """Level, rising and falling sizes in one piece and in many, against stepping along the integral in small steps."""
+    spans = {"level": [(0.0, 10.0, 1.0, 1.0)], "odd": [(0.0, 10.4, 1.0, 1.0)], "short": [(2.0, 2.3, 1.0, 1.0)], "rising": [(0.0, 8.0, 0.1, 2.1)], "many": [(0.1 * k, 0.1 * (k + 1), 0.5 + 0.3 * math.sin(k), 0.5 + 0.3 * math.sin(k + 1)) for k in range(200)]}
+    df = spark.createDataFrame([(n, *p) for n, ps in spans.items() for p in ps], "span string, s0 double, s1 double, z0 double, z1 double").repartition(5)
+    out = {n: [] for n in spans}
+    for r in sampling.walk_spans(df, ["span"], "s0", "s1", "z0", "z1").orderBy("span", "step").collect():
+        out[r["span"]].append((r["step"], r["position"], r["size"]))
+    assert [p for _, p, _ in out["level"]] == pytest.approx(list(range(10))) and [p for _, p, _ in out["odd"]] == pytest.approx([1.04 * k for k in range(10)]) and [p for _, p, _ in out["short"]] == [2.0]
+    for name, pieces in spans.items():
+        s = np.concatenate([np.linspace(a, b, 4001)[:-1] for a, b, _, _ in pieces] + [[pieces[-1][1]]])
+        z = np.interp(s, [p[0] for p in pieces] + [pieces[-1][1]], [p[2] for p in pieces] + [pieces[-1][3]])
+        total = np.concatenate(([0.0], np.cumsum(np.diff(s) / ((z[1:] + z[:-1]) / 2))))
+        n = max(1, round(total[-1]))
+        assert [k for k, _, _ in out[name]] == list(range(n))
+        assert [p for _, p, _ in out[name]] == pytest.approx(np.interp(np.arange(n) * total[-1] / n, total, s), abs=1e-5)
+        assert [v for _, _, v in out[name]] == pytest.approx(np.interp([p for _, p, _ in out[name]], s, z), abs=1e-5)
