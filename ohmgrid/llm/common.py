@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmgrid.functions.storage import BROADCAST_ROWS, durable, shared_folder, small_side
 
-__all__ = ["BROADCAST_ROWS", "content_id", "durable", "free_name", "lower_ascii", "shared_folder", "small_side", "without_rows"]
+__all__ = ["BROADCAST_ROWS", "content_id", "durable", "free_name", "lower_ascii", "shared_folder", "small_batches", "small_side", "without_rows"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -19,6 +19,17 @@ def lower_ascii(text: Column) -> Column:
 
 
 
+#: Bytes of an Arrow batch that a Python worker is handed at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches to ``BATCH_BYTES``, unless they are smaller: workers hold a batch and what is made of it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

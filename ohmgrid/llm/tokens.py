@@ -36,24 +36,34 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.special = [t.content for t in added.values()]
+        self.path, self._tokenizer = path, None
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            held = json.load(f)
+        added, model = {t["id"]: t["content"] for t in held["added_tokens"]}, held["model"]
+        self.special = list(added.values())
         symbols = byte_symbols()
         ranks = {bytes(symbols[c] for c in token): n for token, n in model["vocab"].items() if token not in self.special}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        ordered = all(model["vocab"][a + b] == 256 + k for k, (a, b) in enumerate(merges)) and len(ranks) == 256 + len(merges)
+        # Only this splitting is what PATTERN does.
+        plain = not held.get("normalizer") and (held.get("pre_tokenizer") or {}).items() >= {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items()
+        ordered = plain and all(model["vocab"][a + b] == 256 + k for k, (a, b) in enumerate(merges)) and len(ranks) == 256 + len(merges)
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ordered else None
         #: Bytes that each id stands for.
         self.n_bytes = np.zeros(max([*ranks.values(), *added]) + 1, np.int64)
         for token, n in ranks.items():
             self.n_bytes[n] = len(token)
         for n, token in added.items():
-            self.n_bytes[n] = len(token.content.encode())
+            self.n_bytes[n] = len(token.encode())
+
+    @property
+    def tokenizer(self):
+        """The library's own tokenizer, read when the first text needs it."""
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of ``text`` as little-endian unsigned 32-bit numbers."""

@@ -226,3 +226,24 @@ def test_long_text(spark):
     df = spark.createDataFrame([(1, "x" * 3_000_000, "en", "s", 1)], DOC)
     row = merkle.manifest(df).first()
     assert row["leaf"] == row["subroot"] == row["root"] == plain_leaf({"doc_id": 1, "text": "x" * 3_000_000, "lang": "en", "source": "s", "n_chars": 1}) and row["path"] == []
+
+
+# ---------------------------------------------------------------- token files
+@pytest.mark.parametrize("change", [{"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"normalizer": {"type": "Lowercase"}}, {}])
+def test_other_token_files_take_the_library(tmp_path, change):
+    """A file that splits or normalises otherwise is never read by the faster encoder, whose ids would differ."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    from ohmgrid.llm import tokens
+
+    with open(tokens.default_path(), encoding="utf-8") as f:
+        held = json.load(f) | change
+    path = str(tmp_path / "t.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(held, f)
+    own, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert (own.fast is None) == bool(change)
+    for text in ("Hello World  again", "", "é\n\n x <|endoftext|> y", "日本"):
+        assert own.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
