@@ -7,8 +7,9 @@ programming picks those with the fewest estimated probes and candidates, the
 estimates coming from all distinct fingerprints.  Candidates share a masked
 fingerprint and are verified on all 64 bits, in blocks of bounded size.
 
-``keep_one``, the pipeline's stage, asks for a Jaccard similarity of shingle sets
-instead and joins their prefixes, which loses no pair.
+``keep_one``, the pipeline's stage, runs this search first and holds what it finds
+against the Jaccard similarity of whole shingle sets.  Similar sets whose fingerprints
+are further apart are then found by joining their prefixes, which loses no pair.
 """
 
 from __future__ import annotations
@@ -199,14 +200,14 @@ def _links(radius: int):
 
 def near_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): links between distinct fingerprints that join exactly those within ``radius`` of each other by some chain."""
-    keyed = masked(distinct, choose_masks(distinct, radius))
+    keyed = masked(distinct.select("fp"), choose_masks(distinct, radius))
     return blocks.runs(keyed, "bucket", "fp").mapInArrow(_links(radius), "u long, v long")
 
 
-def masked(distinct: DataFrame, masks: list[int]) -> DataFrame:
-    """(fp, bucket): each fingerprint under every mask; a bucket is a hash of the mask's number and the bits it leaves."""
-    each = distinct.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("part", "mask"))
-    return each.select("fp", F.xxhash64("part", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
+def masked(rows: DataFrame, masks: list[int]) -> DataFrame:
+    """``rows`` (fp, and other columns) under every mask, with ``bucket``: a hash of the mask's number and the bits it leaves."""
+    each = rows.select(*rows.columns, F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("part", "mask"))
+    return each.select(*rows.columns, F.xxhash64("part", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -287,27 +288,28 @@ def parity_distance(x: bytes, y: bytes) -> int:
 
 
 def prefixes(texts: DataFrame, name: str, text: str, shingle: int, similar: float, common: np.ndarray) -> DataFrame:
-    """(name, digest, n, prefix, bits, sig): the set's digest and size, its first hashes in order, its parity and, if it is long, a longer one.
+    """(name, fp, digest, n, prefix, bits, sig): the text's fingerprint, the set's digest and size, its first hashes in order, its parity and, if it is long, a longer one.
 
-    Two sets of at least this similarity share one of their first n - ceil(similar n) + 1 hashes in any common order.
+    The fingerprint is that of ``near_duplicates``, over its own shingles.  Two sets of at least this similarity share one of their first n - ceil(similar n) + 1 hashes in any common order.
     """
     by_value = np.argsort(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, firsts, bits, long = [], [], [], [], []
+            fps, digests, sizes, firsts, bits, long = [], [], [], [], [], []
             for value in batch.column(1):
                 h = shingle_set(value.as_py(), shingle)
+                fps.append(_signed(fingerprint(value.as_py())))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
                 firsts.append(in_order(h, common, by_value)[: len(h) - math.ceil(similar * len(h) - EPS) + 1].tobytes())
                 bits.append(parity(h))
                 long.append(long_parity(h))
-            arrays = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary()), pa.array(bits, pa.binary()), pa.array(long, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[name, "digest", "n", "prefix", "bits", "sig"])
+            arrays = [pa.array(fps, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary()), pa.array(bits, pa.binary()), pa.array(long, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[name, "fp", "digest", "n", "prefix", "bits", "sig"])
 
     source = texts.select(name, F.col(text).cast("string"))
-    return source.mapInArrow(run, f"`{name}` {source.schema[0].dataType.simpleString()}, digest binary, n int, prefix binary, bits binary, sig binary")
+    return source.mapInArrow(run, f"`{name}` {source.schema[0].dataType.simpleString()}, fp long, digest binary, n int, prefix binary, bits binary, sig binary")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,24 +324,28 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(cls), pa.array(n), pa.array(pos.astype(np.int32))], names=["token", "cls", "n", "pos"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by token, whose token another row has too."""
-    last, twice = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        token = batch.column("token").to_numpy()
-        equal = token[1:] == token[:-1]
-        keep = np.append(equal, False) | np.insert(equal, 0, False)
-        if last is not None:
-            same = last.column("token")[0].as_py() == token[0]
-            keep[0] |= same
-            if twice or same:
-                yield last
-        last, twice = batch.slice(batch.num_rows - 1), bool(keep[-1])
-        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
-    if last is not None and twice:
-        yield last
+def _shared(name: str):
+    """Rows, sorted by the column ``name``, whose value in it another row has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, twice = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token = batch.column(name).to_numpy()
+            equal = token[1:] == token[:-1]
+            keep = np.append(equal, False) | np.insert(equal, 0, False)
+            if last is not None:
+                same = last.column(name)[0].as_py() == token[0]
+                keep[0] |= same
+                if twice or same:
+                    yield last
+            last, twice = batch.slice(batch.num_rows - 1), bool(keep[-1])
+            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+        if last is not None and twice:
+            yield last
+
+    return run
 
 
 def folded(sigs: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -354,11 +360,13 @@ def folded(sigs: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     return lengths, out
 
 
-def _possible(table: pa.Table, similar: float):
-    """(i, j) -> whether the rows can be similar: by size, by position, by parity, by the longer parity if given, and not linked yet.
+def _possible(table: pa.Table, similar: float, radius: int):
+    """(i, j) -> whether the rows can be similar: by fingerprint, by size, by position, by parity, by the longer parity if given, and not linked yet.
 
     The token is taken to be the first that both sets hold in the order, as it is in one run of every similar pair.
+    Where rows met by a token their fingerprints are given as zero, where by a fingerprint their positions.
     """
+    fp = table.column("fp").to_numpy().view(np.uint64)
     n, pos, label = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "label"))
     short = table.column("bits").to_pylist()
     bits = np.frombuffer(b"".join(short), np.uint64).reshape(len(n), -1)
@@ -367,7 +375,7 @@ def _possible(table: pa.Table, similar: float):
     def near(i, j):
         a, b = n[i], n[j]
         need = np.ceil(similar / (1 + similar) * (a + b) - EPS)
-        ok = (np.minimum(a, b) >= similar * np.maximum(a, b) - EPS) & (np.minimum(a - pos[i], b - pos[j]) >= need) & (label[i] != label[j])
+        ok = (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (np.minimum(a, b) >= similar * np.maximum(a, b) - EPS) & (np.minimum(a - pos[i], b - pos[j]) >= need) & (label[i] != label[j])
         at = np.flatnonzero(ok)
         most = n[i[at]] + n[j[at]] - 2 * need[at]
         fits = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(axis=1, dtype=np.int64) <= most
@@ -382,12 +390,12 @@ def _possible(table: pa.Table, similar: float):
     return near, bits
 
 
-def _nearest(similar: float):
+def _nearest(similar: float, radius: int):
     """For each row of a run, its class v, the nearest possible partner u, and how far apart they are at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks.whole_runs(batches):
-            near, bits = _possible(table, similar)
+            near, bits = _possible(table, similar, radius)
             cls = table.column("cls").to_numpy()
             none = np.iinfo(np.int64).max
             nearest = np.full(len(cls), none)
@@ -402,12 +410,12 @@ def _nearest(similar: float):
     return run
 
 
-def _rest(similar: float):
+def _rest(similar: float, radius: int):
     """Possible pairs that are not linked yet: (run, side, u, v), and where a run has more pairs than rows, its rows in them, v null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks.whole_runs(batches):
-            near, _ = _possible(table, similar)
+            near, _ = _possible(table, similar, radius)
             cls, number, side = (table.column(c).to_numpy() for c in ("cls", "run", "side"))
             own = np.cumsum(np.insert(number[1:] != number[:-1], 0, False))
             size = np.bincount(own)
@@ -476,12 +484,12 @@ def _similar(least: float):
     return lambda x, y: similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least
 
 
-def _dense_links(least: float):
+def _dense_links(least: float, radius: int):
     """Verifies every possible pair of a run that no chain of its links joins; at most a link for each row leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks.whole_runs(batches):
-            near, _ = _possible(table, least)
+            near, _ = _possible(table, least, radius)
             cls, sets = table.column("cls").to_numpy(), _sets(table.column("set"))
             forest = blocks.Forest(len(cls))
             for i, j in blocks.pair_steps(table.column("run").to_numpy(), table.column("side").to_numpy(), near):
@@ -548,47 +556,67 @@ def verified_links(numbered: DataFrame, shingle: int, classes: DataFrame, pairs:
     return durable(at_home(met).mapInArrow(_by_home(["set"], _similar(similar)), "u long, v long").distinct())
 
 
-def similar_links(numbered: DataFrame, shingle: int, classes: DataFrame, similar: float) -> DataFrame:
+def fingerprint_runs(prints: DataFrame, radius: int) -> DataFrame:
+    """Runs of ``prints`` (cls, n, fp; stored) in which any two fingerprints within ``radius`` meet: (cls, n, fp, pos, run, side)."""
+    masks = choose_masks(durable(prints.select("fp").distinct()), radius)
+    # Many classes may have one fingerprint, and texts of one class many.
+    rows = masked(prints.withColumns({"pos": F.lit(0), "spread": F.xxhash64("cls", "fp")}), masks)
+    dealt = blocks.runs(rows, "bucket", "spread").drop("spread")
+    return durable(dealt.mapInArrow(_shared("run"), dealt.schema))
+
+
+def prefix_runs(classes: DataFrame) -> DataFrame:
+    """Runs of ``classes`` in which any two that share a hash of their prefixes meet: (cls, n, fp: 0, pos, run, side)."""
+    schema = "token long, cls long, n int, pos int"
+    rows = classes.select("cls", "n", "prefix").mapInArrow(_tokens, schema)
+    shared = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_shared("token"), schema)
+    return durable(blocks.runs(durable(shared), "token", "cls")).withColumn("fp", F.lit(0).cast("long"))
+
+
+def similar_links(numbered: DataFrame, shingle: int, classes: DataFrame, prints: DataFrame, similar: float, radius: int = RADIUS) -> DataFrame:
     """(u, v): verified links that join exactly the classes whose sets are similar, by chains.
 
-    Candidates share a hash of their prefixes, and every one is either verified on
-    whole sets or joined by links that are.  First each row's nearest partner is
-    verified, so that large groups close; then all pairs that are still apart.
+    Candidates have fingerprints within ``radius`` or, still apart after that search,
+    share a hash of their prefixes; every one is either verified on whole sets or
+    joined by links that are.  In either search each row's nearest partner is
+    verified first, so that large groups close; then all pairs that are still apart.
     """
-    rows = classes.select("cls", "n", "prefix").mapInArrow(_tokens, "token long, cls long, n int, pos int")
-    shared = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, cls long, n int, pos int")
-    dealt = durable(blocks.runs(durable(shared), "token", "cls"))
+    searches = [fingerprint_runs(prints, radius), prefix_runs(classes)]
 
-    def met(extra: DataFrame, rows: DataFrame = dealt) -> DataFrame:
+    def met(extra: DataFrame, rows: DataFrame) -> DataFrame:
         return rows.join(extra, "cls").repartition("run").sortWithinPartitions("run")
 
-    plain = classes.select("cls", "bits", F.col("cls").alias("label"))
-    nearest = met(plain).mapInArrow(_nearest(similar), "v long, u long, apart long")
-    picks = nearest.groupBy("v").agg(F.min(F.struct("apart", "u")).alias("best")).select(F.col("best.u").alias("home"), "v")
-    # Two rows may pick each other.
-    ends = [F.least("home", "v").alias("u"), F.greatest("home", "v").alias("v")]
-    pairs = durable(picks.select("home", *ends).groupBy("u", "v").agg(F.max("home").alias("home")))
-    links = verified_links(numbered, shingle, classes, pairs, similar)
-    parts = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
-    labelled = durable(classes.select("cls", "bits").join(parts, "cls", "left").select("cls", "bits", F.coalesce("root", "cls").alias("label")))
-    rest = durable(met(labelled).mapInArrow(_rest(similar), "run long, side byte, u long, v long"))
+    labelled = classes.select("cls", "bits", F.col("cls").alias("label"))
+    links = tried = None
+    for rows in searches:
+        nearest = met(labelled, rows).mapInArrow(_nearest(similar, radius), "v long, u long, apart long")
+        picks = nearest.groupBy("v").agg(F.min(F.struct("apart", "u")).alias("best")).select(F.col("best.u").alias("home"), "v")
+        # Two rows may pick each other.
+        ends = [F.least("home", "v").alias("u"), F.greatest("home", "v").alias("v")]
+        pairs = durable(picks.select("home", *ends).groupBy("u", "v").agg(F.max("home").alias("home")))
+        found = verified_links(numbered, shingle, classes, pairs, similar)
+        links, tried = (links.unionAll(found), tried.unionAll(pairs)) if links is not None else (found, pairs)
+        parts = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
+        labelled = durable(classes.select("cls", "bits").join(parts, "cls", "left").select("cls", "bits", F.coalesce("root", "cls").alias("label")))
+    dealt = searches[0].unionByName(searches[1])
+    rest = durable(met(labelled, dealt).mapInArrow(_rest(similar, radius), "run long, side byte, u long, v long"))
     found = rest.where("v IS NOT NULL").select("u", "v")
     dense = rest.where("v IS NULL").select("run", "side", F.col("u").alias("cls"))
     some = not dense.isEmpty()
     if some:
         # Long sets crowd: their longer parities leave few pairs of a run.
         rows = dealt.join(dense, ["run", "side", "cls"], "left_semi")
-        rest = durable(met(labelled.join(classes.select("cls", "sig"), "cls"), rows).mapInArrow(_rest(similar), "run long, side byte, u long, v long"))
+        rest = durable(met(labelled.join(classes.select("cls", "sig"), "cls"), rows).mapInArrow(_rest(similar, radius), "run long, side byte, u long, v long"))
         found = found.unionAll(rest.where("v IS NOT NULL").select("u", "v"))
         dense = rest.where("v IS NULL").select("run", "side", F.col("u").alias("cls"))
         some = not dense.isEmpty()
-    left = durable(found.distinct().join(pairs, ["u", "v"], "left_anti").withColumn("home", F.col("u")))
+    left = durable(found.distinct().join(tried, ["u", "v"], "left_anti").withColumn("home", F.col("u")))
     links = links.unionAll(verified_links(numbered, shingle, classes, left, similar))
     if not some:
         return links
     sets = durable(whole_sets(numbered, shingle, dense.select("cls").join(classes.select("cls", "id"), "cls")).dropDuplicates(["cls"]))
     rows = dealt.join(dense, ["run", "side", "cls"], "left_semi")
-    return links.unionAll(met(labelled.join(sets, "cls"), rows).mapInArrow(_dense_links(similar), "u long, v long"))
+    return links.unionAll(met(labelled.join(sets, "cls"), rows).mapInArrow(_dense_links(similar, radius), "u long, v long"))
 
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
@@ -598,8 +626,9 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shin
     last; of wholly equal rows any one is the one.
 
     Rows whose shingle sets have a similarity of at least ``similar`` are one group,
-    by chains; every such pair is found and is held against the whole sets.  Rows
-    without words (null and empty texts) are one group.  Rows are known by their
+    by chains; every such pair is found and is held against the whole sets.  Those
+    whose fingerprints differ in at most ``RADIUS`` bits are found by the pigeonhole
+    search, the others by a join of prefixes.  Rows without words (null and empty texts) are one group.  Rows are known by their
     contents, so it does not matter in which splits the table is read again.
     """
     identity = content_id(documents, *documents.columns)
@@ -610,7 +639,8 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", shin
     kept = each.groupBy("digest").agg(F.min("name").alias("first"), F.min_by(F.struct("n", "prefix", "bits", "sig"), "name").alias("of"))
     # Stored at once, so that the classes keep the numbers they get here.
     classes = durable(kept.select("digest", "first", F.monotonically_increasing_id().alias("cls"), F.col("first.id").alias("id"), "of.*"))
-    parts = connected_components(similar_links(numbered.select("id", "text"), shingle, classes, similar))
+    prints = durable(each.select("digest", "fp").distinct().join(classes.select("digest", "cls", "n"), "digest").select("cls", "n", "fp"))
+    parts = connected_components(similar_links(numbered.select("id", "text"), shingle, classes, prints, similar))
     rooted = classes.select("digest", "first", "cls").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
     rooted = durable(rooted.select("digest", "first", F.coalesce("component", "cls").alias("root")))
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))

@@ -186,6 +186,38 @@ def test_keep_one_finds_every_similar_pair(spark, monkeypatch, block):
     assert kept == sorted(set(part))
 
 
+def test_keep_one_searches_by_fingerprints(spark, monkeypatch):
+    """What lies within the radius is found by the pigeonhole search alone, and only what is similar stays linked."""
+    def none(batches):
+        for batch in batches:
+            yield from ()
+
+    monkeypatch.setattr(simhash, "_tokens", none)  # the join of prefixes meets nothing
+    rng = random.Random(21)
+    texts = [None, "", words(rng, 3), words(rng, 3)]
+    for _ in range(6):
+        base = words(rng, 1500, 10**6).split()
+        texts += [" ".join(base)] + [" ".join(base[:j] + ["changed"] + base[j + 1 :]) for j in (300, 700, 1100)] + [" ".join(base[450:] + base[:450])]
+        line = words(rng, 12, 10**6)
+        # Equal shingles, repeated: near fingerprints of sets that are not similar, and many of one set.
+        texts += [" ".join([line] * k + [words(rng, 9, 10**6)]) for k in (60, 80)] + [" ".join([line] * k) for k in (60, 61)]
+    fps = [simhash.fingerprint(t) for t in texts]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    part, apart, unlike = list(range(len(texts))), 0, 0
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            similar = 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both)
+            near = (fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS
+            apart, unlike = apart + (near and similar and sets[a] != sets[b]), unlike + (near and not similar)
+            if similar and (near or sets[a] == sets[b]) and part[a] != part[b]:
+                low, high = sorted((part[a], part[b]))
+                part = [low if p == high else p for p in part]
+    assert apart > 20 and unlike > 0
+    out = simhash.keep_one(docs(spark, texts)).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(set(part))
+
+
 # ---------------------------------------------------------------- 3
 def test_packing(spark):
     rng = random.Random(3)
