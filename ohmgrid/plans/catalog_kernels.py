@@ -258,11 +258,12 @@ def lumped_resistors(spark, d):
 def merged_unknowns(spark, d):
     """Three contacts of each study hold every node that ends in 0, 1 or 2; their smallest node is the unknown."""
     items = table(spark, d, "lineitem")
-    entries = items.select(F.col("l_linenumber").alias("study"), F.col("l_partkey").alias("row"), (F.col("l_suppkey") + 1_000_000).alias("col"), F.col("l_quantity").cast("long").cast("double").alias("val"))
+    # Suppliers are nodes below zero until they are named, as parts may have keys over a million too.
+    entries = items.select(F.col("l_linenumber").alias("study"), F.col("l_partkey").alias("row"), (-1 - F.col("l_suppkey")).alias("col"), F.col("l_quantity").cast("long").cast("double").alias("val"))
     studies = items.select(F.col("l_linenumber").alias("study")).distinct()
     held = studies.crossJoin(table(spark, d, "part").where("p_partkey % 10 < 3").select(F.col("p_partkey").alias("node"))).withColumn("contact", F.concat(F.lit("c"), F.col("node") % 10))
     merged = durable(fem.equipotential(held))
-    return fem.merge_unknowns(entries, merged).select("study", "row", "col", "val")
+    return fem.merge_unknowns(entries, merged).select("study", "row", (999_999 - F.col("col")).alias("col"), "val")
 
 
 @query("via_segments_currents", """
