@@ -269,13 +269,18 @@ def covering_counts(spans: DataFrame, low: Column, high: Column) -> DataFrame:
 
 
 def ring_area(points: Column) -> Column:
-    """Absolute shoelace area of an array of struct(x, y)."""
-    n = F.size(points)
+    """Absolute shoelace area of an array of struct(x, y), taken about the first point, so that a ring far from the origin keeps its digits."""
+    n, first = F.size(points), F.get(points, F.lit(0))
     turned = F.concat(F.slice(points, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(points, F.lit(1), F.lit(1)))
-    terms = F.zip_with(points, turned, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    terms = F.zip_with(points, turned, lambda p, q: (p["x"] - first["x"]) * (q["y"] - first["y"]) - (q["x"] - first["x"]) * (p["y"] - first["y"]))
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) / 2
 
 
+def exact_sum(areas: Column, unit: float) -> Column:
+    """Sum of ``areas`` in whole ``unit``, rounded once: decimals carry no error from row to row, in whatever order they are added."""
+    return F.round(F.sum((areas / unit).cast("decimal(38,9)"))).cast("long")
+
+
 def polygon_area(exterior: Column, holes: Column) -> Column:
     """Area of the exterior without the holes."""
     return ring_area(exterior) - F.aggregate(F.coalesce(holes, F.array()), F.lit(0.0), lambda s, h: s + ring_area(h))

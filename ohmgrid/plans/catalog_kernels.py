@@ -501,8 +501,7 @@ def ipc_board(spark, d):
     board = ipc2581.board_tables(ipc_documents(spark, d))
     nation = F.regexp_extract("source", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey")
     count = lambda name, df: df.groupBy(nation).agg(F.count(F.lit(1)).alias(name))
-    area = spatial.ring_area(F.get("rings", F.lit(0)))
-    boxes = board["regions"].where(F.size(F.get("rings", F.lit(0))) == 4).groupBy(nation).agg(F.round(F.sum(area) * 1e9).cast("long").alias("rectangles_e9"))
+    boxes = board["regions"].where(F.size(F.get("rings", F.lit(0))) == 4).groupBy(nation).agg(spatial.exact_sum(F.get("areas", F.lit(0)), 1e-9).alias("rectangles_e9"))
     out = table(spark, d, "nation").select("n_nationkey")
     refused = board["refused"].groupBy(nation).agg(F.sum("n").alias("refused"))
     for part in (count("regions", board["regions"]), refused, count("vias", board["vias"]), count("terminals", board["terminals"]), boxes, board["layers"].groupBy(nation).agg(F.count(F.lit(1)).cast("int").alias("layers"))):

@@ -22,7 +22,7 @@ from ohmgrid.functions import quantities as Q
 from ohmgrid.functions import rings
 from ohmgrid.functions.storage import durable
 from ohmgrid.functions.units import unit_scale
-from ohmgrid.operators import review
+from ohmgrid.operators import review, spatial
 from ohmgrid.sources import markup
 
 MOST_BYTES, MOST_DEPTH, MOST_ELEMENTS = 512 << 20, 100, 20_000_000
@@ -356,18 +356,20 @@ def resolved_shapes(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def copper(parts: dict[str, DataFrame], shapes: DataFrame | None = None) -> DataFrame:
-    """(source, pos, part, layer, net, polarity, source_ref, rings) of features and pads, one row a polygon.
+    """(source, pos, part, layer, net, polarity, source_ref, rings, areas) of features and pads, one row a polygon.
 
-    ``part`` orders the polygons of a feature.  References are followed to any depth; those that lead to nothing or into
+    ``part`` orders the polygons of a feature; ``areas`` are those of the rings, taken before they are placed, so that
+    they are as exact far from the origin.  References are followed to any depth; those that lead to nothing or into
     a cycle give no copper and are counted by ``missing_refs``.
     """
     shapes = (resolved_shapes(parts) if shapes is None else shapes).where(~F.col("kind").isin("missing", "cycle"))
     scaled = shapes.join(parts["header"].select("source", "scale"), "source")
     s = F.col("scale")
     each = scaled.select("source", "pos", "path", "layer", "net", "polarity", "source_ref", "x", "y", "rotation", "mirror", "scale", F.posexplode(_polygons(s)).alias("k", "polygon"))
-    placed = F.transform("polygon", lambda r: rings.tidy(rings.placed(r, F.col("mirror"), F.col("rotation"), F.col("x") * s, F.col("y") * s)))
-    sound = F.filter(placed, lambda r: r.isNotNull())
-    rows = each.select("source", "pos", F.concat("path", F.array("k")).alias("part"), "layer", "net", "polarity", "source_ref", sound.alias("rings"))
+    put = lambda r: rings.tidy(rings.placed(r, F.col("mirror"), F.col("rotation"), F.col("x") * s, F.col("y") * s))
+    placed = F.transform("polygon", lambda r: F.struct(put(r).alias("ring"), spatial.ring_area(r).alias("area")))
+    sound = F.filter(placed, lambda p: p["ring"].isNotNull())
+    rows = each.select("source", "pos", F.concat("path", F.array("k")).alias("part"), "layer", "net", "polarity", "source_ref", sound["ring"].alias("rings"), sound["area"].alias("areas"))
     return rows.where(F.size("rings") > 0)
 
 
@@ -394,7 +396,7 @@ def board_tables(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     negative = F.upper(F.coalesce("polarity", F.lit("POSITIVE"))) == "NEGATIVE"
     number = F.row_number().over(W.partitionBy("source").orderBy("pos", "part"))
     regions = on_copper.where(~negative).select(
-        "source", F.format_string("r%05d", number).alias("region_id"), F.col("layer").alias("layer_id"), review.real_net(F.col("net")).alias("net_id"), "source_ref", "rings"
+        "source", F.format_string("r%05d", number).alias("region_id"), F.col("layer").alias("layer_id"), review.real_net(F.col("net")).alias("net_id"), "source_ref", "rings", "areas"
     )
     refused = on_copper.where(negative).groupBy("source", "layer").agg(F.count(F.lit(1)).alias("n"))
     plated = parts["hole"].where(F.upper("plating").isin("VIA", "PLATED") & F.col("from_layer").isNotNull() & F.col("to_layer").isNotNull())

@@ -26,3 +26,10 @@ def same_as_sql(spark, folder, name, **tables):
 def test_merged_unknowns_with_keys_over_a_million(spark, tmp_path):
     part = "SELECT * REPLACE (p_partkey + 1000000 AS p_partkey) FROM '{SF}/part.parquet' UNION ALL SELECT * FROM '{SF}/part.parquet'"
     same_as_sql(spark, tmp_path, "merged_unknowns", part=part, lineitem="SELECT * FROM '{SF}/lineitem.parquet'")
+
+
+FAR = "SELECT * REPLACE (c_custkey + 5000000000 AS c_custkey) FROM '{SF}/customer.parquet'"
+
+
+def test_ipc_board_far_from_the_origin(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "ipc_board", customer=FAR, supplier="SELECT * FROM '{SF}/supplier.parquet'", nation="SELECT * FROM '{SF}/nation.parquet'")
