@@ -433,9 +433,8 @@ def ipc_nested_primitives(spark, d):
     )
     parts = stored_documents(drawn.select("n_nationkey", text.alias("value")))
     shapes = durable(ipc2581.resolved_shapes(parts))
-    area = spatial.ring_area(F.get("rings", F.lit(0)))
     nation = nation_of("source").alias("n_nationkey")
-    made = ipc2581.copper(parts, shapes).groupBy(nation).agg(F.count(F.lit(1)).alias("polygons"), F.round(F.sum(area) * 1e9).cast("long").alias("area_e9"))
+    made = ipc2581.copper(parts, shapes).groupBy(nation).agg(F.count(F.lit(1)).alias("polygons"), spatial.exact_sum(F.get("areas", F.lit(0)), 1e-9).alias("area_e9"))
     count = lambda reason: F.coalesce(F.sum(F.when(F.col("reason") == reason, F.col("n"))), F.lit(0))
     lost = ipc2581.missing_refs(parts, shapes).groupBy(nation).agg(count("cycle").alias("cycles"), count("missing").alias("missing"))
     zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("polygons", "area_e9", "cycles", "missing")}

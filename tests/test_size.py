@@ -33,3 +33,7 @@ FAR = "SELECT * REPLACE (c_custkey + 5000000000 AS c_custkey) FROM '{SF}/custome
 
 def test_ipc_board_far_from_the_origin(spark, tmp_path):
     same_as_sql(spark, tmp_path, "ipc_board", customer=FAR, supplier="SELECT * FROM '{SF}/supplier.parquet'", nation="SELECT * FROM '{SF}/nation.parquet'")
+
+
+def test_ipc_nested_primitives_far_from_the_origin(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "ipc_nested_primitives", customer=FAR)
