@@ -46,7 +46,8 @@ def ray_hits(rays: DataFrame, segments: DataFrame, key: str, same: list[str], re
     u = ((x("xa") - x("from_x")) * ry - (x("ya") - x("from_y")) * rx) / F.when(den != 0, den)
     distance = t * F.hypot(rx, ry) / overlay.NM
     hit = F.when(u.between(0.0, 1.0) & (distance > NEAREST_HIT) & (distance < reach), distance)
-    nearest = cut.join(wall, [*same, "col", "row"]).groupBy(key).agg(F.min(hit).alias("distance"))
+    # Pieces are many for a row of the tables they come from, so their size is not guessed from it: both sides are exchanged.
+    nearest = cut.join(wall.hint("merge"), [*same, "col", "row"]).groupBy(key).agg(F.min(hit).alias("distance"))
     return start.select(key).join(nearest, key, "left").select(key, F.coalesce("distance", F.lit(reach)).alias("distance"))
 
 

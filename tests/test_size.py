@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 
+from ohmgrid.operators import sampling
 from ohmgrid.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +38,15 @@ def test_ipc_board_far_from_the_origin(spark, tmp_path):
 
 def test_ipc_nested_primitives_far_from_the_origin(spark, tmp_path):
     same_as_sql(spark, tmp_path, "ipc_nested_primitives", customer=FAR)
+
+
+def joins(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+
+
+def test_free_widths_exchanges_pieces(spark):
+    rays = spark.createDataFrame([(1, 1, 0.5, 0.5, 1.0, 0.0)], "ray int, own int, px double, py double, dx double, dy double")
+    walls = spark.createDataFrame([(1, 1.0, 0.0, 1.0, 1.0), (2, 0.6, 0.0, 0.6, 1.0)], "own int, x1 double, y1 double, x2 double, y2 double")
+    found = sampling.ray_hits(rays, walls, "ray", ["own"], 2.0)
+    assert [r["distance"] for r in found.collect()] == [0.5]
+    assert [line for line in joins(found) if "SortMergeJoin" in line and "col" in line and "row" in line]
