@@ -46,19 +46,25 @@ def in_cells(points: DataFrame, levels: list[int], x: str, y: str) -> DataFrame:
     return each.withColumns({"cx": F.floor(F.col(x) / size).cast("long"), "cy": F.floor(F.col(y) / size).cast("long")})
 
 
-def near_pairs(points: DataFrame, key: str, x: str, y: str, radius: float, group: list[str] | None = None) -> DataFrame:
+def near_pairs(points: DataFrame, key: str, x: str, y: str, radius: float, group: list[str] | None = None, held: list[str] | None = None, keep: Column | None = None) -> DataFrame:
     """(a, b, distance), a < b, of points of a group within ``radius``: a bucket join on cells of that size.
 
-    Each point is put into its own cell and looks for partners in the nine around.
+    Each point is put into its own cell and looks for partners there and in four of the eight around, as the others look for it.
+    Columns that are ``held`` come with both ends as name_1 and name_2, in either order, and ``keep``, a condition on
+    them and on ``distance``, is tried where points meet, so that no pair is moved for it.  Both
+    sides are exchanged, however small the table of the points is thought to be.
     """
-    group = group or []
-    own = points.select(*group, F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), cell(F.col(x), radius).alias("cx"), cell(F.col(y), radius).alias("cy"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    looks = points.select(*group, F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), F.explode(around).alias("d"))
-    looks = looks.select(*group, "a", "ax", "ay", (cell(F.col("ax"), radius) + F.col("d.i")).alias("cx"), (cell(F.col("ay"), radius) + F.col("d.j")).alias("cy"))
-    met = looks.join(own, [*group, "cx", "cy"]).where(F.col("a") < F.col("b"))
-    distance = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    return met.withColumn("distance", distance).where(F.col("distance") <= radius).select(*group, "a", "b", "distance")
+    group, held = group or [], held or []
+    own = points.select(*group, F.col(key).alias("v"), F.col(x).alias("vx"), F.col(y).alias("vy"), *[F.col(c).alias(f"{c}_2") for c in held], cell(F.col(x), radius).alias("cx"), cell(F.col(y), radius).alias("cy"))
+    ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    looks = points.select(*group, F.col(key).alias("u"), F.col(x).alias("ux"), F.col(y).alias("uy"), *[F.col(c).alias(f"{c}_1") for c in held], F.explode(ahead).alias("d"))
+    looks = looks.withColumns({"cx": cell(F.col("ux"), radius) + F.col("d.i"), "cy": cell(F.col("uy"), radius) + F.col("d.j"), "here": (F.col("d.i") == 0) & (F.col("d.j") == 0)}).drop("d")
+    once = F.when(F.col("here"), F.col("u") < F.col("v")).otherwise(F.col("u") != F.col("v"))
+    met = looks.join(own.hint("merge"), [*group, "cx", "cy"]).where(once)
+    near = met.withColumn("distance", F.hypot(F.col("ux") - F.col("vx"), F.col("uy") - F.col("vy"))).where(F.col("distance") <= radius)
+    if keep is not None:
+        near = near.where(keep)
+    return near.select(*group, F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "distance", *[f"{c}_{k}" for c in held for k in (1, 2)])
 
 
 def clusters(points: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
@@ -75,15 +81,17 @@ def chained(points: DataFrame, key: str, x: str, y: str, radius: float, group: l
     return near_pairs(first.withColumnRenamed("a", key), key, x, y, radius, group).select("a", "b").unionAll(stars)
 
 
-def overlap_pairs(vias: DataFrame, key: str, x: str, y: str, radius: str, low: str, high: str, most_radius: float) -> DataFrame:
-    """(a, b) of barrels that touch (distance below the sum of radii) and share a layer; cells are twice the largest radius."""
+def overlap_pairs(vias: DataFrame, key: str, x: str, y: str, radius: str, low: str, high: str, most_radius: float, apart: float | None = None) -> DataFrame:
+    """(a, b) of barrels that touch (distance below the sum of radii) and share a layer; cells are twice the largest radius.
+
+    Those no more than ``apart`` from each other, where it is given, are left out.
+    """
     size = 2 * most_radius
     wide = vias.select(F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(radius).alias("r"), F.col(low).alias("lo"), F.col(high).alias("hi"))
-    near = near_pairs(wide, "key", "x", "y", size).select("a", "b", "distance")
-    left = wide.select(F.col("key").alias("a"), F.col("r").alias("ra"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    right = wide.select(F.col("key").alias("b"), F.col("r").alias("rb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-    met = near.join(left, "a").join(right, "b")
-    return met.where((F.col("distance") < F.col("ra") + F.col("rb")) & (F.col("la") <= F.col("hb")) & (F.col("lb") <= F.col("ha"))).select("a", "b")
+    touch = (F.col("distance") < F.col("r_1") + F.col("r_2")) & (F.col("lo_1") <= F.col("hi_2")) & (F.col("lo_2") <= F.col("hi_1"))
+    if apart is not None:
+        touch &= F.col("distance") > apart
+    return near_pairs(wide, "key", "x", "y", size, held=["r", "lo", "hi"], keep=touch).select("a", "b")
 
 
 def consolidate_vias(vias: DataFrame, layers: DataFrame, tolerance: float = 1e-7) -> tuple[DataFrame, DataFrame, DataFrame]:

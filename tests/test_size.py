@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import duckdb
 
-from ohmgrid.operators import sampling
+from ohmgrid.operators import sampling, spatial
 from ohmgrid.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +53,13 @@ def test_free_widths_exchanges_pieces(spark):
     found = sampling.ray_hits(rays, walls, "ray", ["own"], 2.0)
     assert [r["distance"] for r in found.collect()] == [0.5]
     assert [line for line in joins(found) if "SortMergeJoin" in line and "col" in line and "row" in line]
+
+
+def test_overlap_pairs_meet_once_and_are_exchanged(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.uniform(-30, 30), rng.uniform(-30, 30), rng.uniform(0.1, 2.0), rng.randrange(3), 2 + rng.randrange(3)) for k in range(400)]
+    vias = spark.createDataFrame(rows, "k long, x double, y double, r double, lo int, hi int")
+    found = spatial.overlap_pairs(vias, "k", "x", "y", "r", "lo", "hi", 2.0)
+    want = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and math.hypot(a[1] - b[1], a[2] - b[2]) < a[3] + b[3] and a[4] <= b[5] and b[4] <= a[5]]
+    assert want and sorted((r["a"], r["b"]) for r in found.collect()) == want
+    assert {"SortMergeJoin" in line for line in joins(found)} == {True}
