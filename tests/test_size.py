@@ -63,3 +63,19 @@ def test_overlap_pairs_meet_once_and_are_exchanged(spark):
     want = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and math.hypot(a[1] - b[1], a[2] - b[2]) < a[3] + b[3] and a[4] <= b[5] and b[4] <= a[5]]
     assert want and sorted((r["a"], r["b"]) for r in found.collect()) == want
     assert {"SortMergeJoin" in line for line in joins(found)} == {True}
+
+
+def crowded(spark):
+    rows = [(k, f"v{k}", "N" if k % 50 else "M", "L1", "L2" if k % 70 else "L3", 1.0 + k % 3 * 4e-8, float(k % 2), 0.1, None) for k in range(1200)]
+    layers = spark.createDataFrame([("L1", 0), ("L2", 1), ("L3", 2)], "layer_id string, idx int")
+    return rows, spark.createDataFrame(rows, "via_no long, via_id string, net_id string, from_layer string, to_layer string, x double, y double, drill double, radius double"), layers
+
+
+def test_via_conflicts_of_a_crowded_place(spark, monkeypatch):
+    rows, vias, layers = crowded(spark)
+    given, plain = [], spatial.near_pairs
+    monkeypatch.setattr(spatial, "near_pairs", lambda points, *a, **k: given.append(points.count()) or plain(points, *a, **k))
+    found = sorted((r["a"], r["b"]) for r in spatial.consolidate_vias(vias, layers)[1].collect())
+    want = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[6] == b[6] and (a[2] != b[2] or a[4] != b[4])]
+    assert want and found == want
+    assert max(given) <= 24
