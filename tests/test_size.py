@@ -79,3 +79,14 @@ def test_via_conflicts_of_a_crowded_place(spark, monkeypatch):
     want = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[6] == b[6] and (a[2] != b[2] or a[4] != b[4])]
     assert want and found == want
     assert max(given) <= 24
+
+
+def test_via_consolidation_of_a_crowded_place(spark, monkeypatch):
+    rows, vias, layers = crowded(spark)
+    given, plain = [], spatial.near_pairs
+    monkeypatch.setattr(spatial, "near_pairs", lambda points, *a, **k: given.append(points.count()) or plain(points, *a, **k))
+    found = sorted(r["via_ids"] for r in spatial.consolidate_vias(vias, layers)[0].collect())
+    kinds = {}
+    for r in rows:
+        kinds.setdefault((r[2], r[4], r[6]), []).append(r[1])
+    assert found == sorted(kinds.values()) and max(given) <= 24
