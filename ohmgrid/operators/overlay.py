@@ -11,15 +11,14 @@ sewn together where they share a stretch of a tile line.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ohmgrid.functions.storage import durable, small_side
-from ohmgrid.operators import graph, ranges, spatial, union
+from ohmgrid.operators import graph, grouped, ranges, spatial, union
 
 #: Nanometres of a metre; polygons that a tile of the mean density holds.
 NM, PER_TILE = 1e9, 64
@@ -90,26 +89,26 @@ def covered_corners(pieces: DataFrame, keys: list[str]) -> DataFrame:
     return rows.where(inside).select(*keys, "col", F.explode(spans).alias("row"))
 
 
-def _sides(state: bool, at: np.ndarray, x0: float, x1: float) -> list[tuple[float, float]]:
+def _sides(state: bool, at: list[float], x0: float, x1: float) -> list[tuple[float, float]]:
     """Stretches of a side that are inside: the state at its left end changes at every crossing."""
-    bounds = [x0, *np.sort(at), x1]
+    bounds = [x0, *sorted(at), x1]
     return [(a, b) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if (k % 2 == 1) != state and b > a]
 
 
-def tile_parts(frame: pd.DataFrame, x0: float, y0: float, size: float) -> list[tuple[float, list[int], np.ndarray]]:
-    """(area, polygons, trapezoids) of the connected parts of a tile's union, in metres."""
-    edges = []
-    for polygon, own in frame.groupby("polygon"):
-        for column, flag, y in (("low", "lower", y0), ("high", "upper", y0 + size)):
-            at = own[column].dropna().to_numpy()
-            edges += [(a, y, b, y, polygon) for a, b in _sides(bool(own[flag].any()), at, x0, x0 + size)]
-        whole = own[own["x1"] > own["x0"]]
-        edges += list(zip(whole["x0"], whole["y0"], whole["x1"], whole["y1"], [polygon] * len(whole), strict=True))
+def tile_parts(rows: list[tuple], x0: float, y0: float, size: float) -> tuple[list[str], list[tuple[float, list[int], list[list[float]]]]]:
+    """The polygons of a tile's ``rows`` (polygon, x0, y0, x1, y1, low, high, lower, upper; by polygon), and (area, polygons, trapezoids) of the connected parts of their union, in metres."""
+    names: list[str] = []
+    edges: list[tuple[float, float, float, float, int]] = []
+    for name, own in itertools.groupby(rows, key=lambda r: r[0]):
+        k, own = len(names), list(own)
+        names.append(name)
+        for column, flag, y in ((5, 7, y0), (6, 8, y0 + size)):
+            at = [r[column] for r in own if r[column] is not None]
+            edges += [(a / NM, y / NM, b / NM, y / NM, k) for a, b in _sides(any(r[flag] for r in own), at, x0, x0 + size)]
+        edges += [(r[1] / NM, r[2] / NM, r[3] / NM, r[4] / NM, k) for r in own if r[1] is not None and r[3] > r[1]]
     if not edges:
-        return []
-    e = np.array(edges, float)
-    e[:, :4] /= NM
-    return union.connected(union.trapezoids(e))
+        return names, []
+    return names, union.connected(union.few_trapezoids(edges) if len(edges) <= union.FEW else union.trapezoids(np.array(edges, float)))
 
 
 def tiled_union(regions: DataFrame, per_tile: int = PER_TILE) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -140,22 +139,21 @@ def tiled_union(regions: DataFrame, per_tile: int = PER_TILE) -> tuple[DataFrame
     columns = [*group, "col", "row", "size", "polygon", *none, "lower", "upper"]
     content = pieces.withColumns({"lower": F.lit(False), "upper": F.lit(False)}).select(*columns).unionByName(flags.select(*columns))
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: list[tuple]) -> list[tuple]:
         layer, net, col, row, size = key
-        names = sorted(frame["polygon"].unique())
-        numbers = {n: k for k, n in enumerate(names)}
         x0, y0 = col * size + 0.5, row * size + 0.5
-        rows = []
-        for area, members, cells in tile_parts(frame.assign(polygon=frame["polygon"].map(numbers)), x0, y0, size):
-            c = np.array(cells)
-            left, right, low, high = x0 / NM, (x0 + size) / NM, y0 / NM, (y0 + size) / NM
-            near = lambda v, at: np.abs(v - at) < union.SNAP / 8
-            stretch = lambda which, a, b: [[float(u), float(v)] for u, v in zip(c[which, a], c[which, b], strict=True)]
-            rows.append((layer, net, col, row, area, c[:, 0].min(), c[:, 2:4].min(), c[:, 1].max(), c[:, 4:6].max(), [names[k] for k in members], cells, stretch(near(c[:, 0], left), 2, 4), stretch(near(c[:, 1], right), 3, 5),
-                         stretch(near(c[:, 2], low) & near(c[:, 3], low), 0, 1), stretch(near(c[:, 4], high) & near(c[:, 5], high), 0, 1)))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in TILE_PART.split(", ")])
-
-    local = content.groupBy(*group, "col", "row", "size").applyInPandas(run, TILE_PART)
+        left, right, low, high = x0 / NM, (x0 + size) / NM, y0 / NM, (y0 + size) / NM
+        near = lambda v, at: abs(v - at) < union.SNAP / 8
+        names, parts = tile_parts(rows, x0, y0, size)
+        out = []
+        for area, members, cells in parts:
+            box = (min(c[0] for c in cells), min(min(c[2:4]) for c in cells), max(c[1] for c in cells), max(max(c[4:6]) for c in cells))
+            lefts, rights = [[c[2], c[4]] for c in cells if near(c[0], left)], [[c[3], c[5]] for c in cells if near(c[1], right)]
+            bottoms, tops = [[c[0], c[1]] for c in cells if near(c[2], low) and near(c[3], low)], [[c[0], c[1]] for c in cells if near(c[4], high) and near(c[5], high)]
+            out.append((layer, net, col, row, area, *box, [names[k] for k in members], cells, lefts, rights, bottoms, tops))
+        return out
+
+    local = grouped.map_groups(content, [*group, "col", "row", "size"], ["polygon"], run, TILE_PART)
     local = durable(local.withColumn("node", F.monotonically_increasing_id()))
     seams = durable(_seams(local, "rights", "lefts", 1, 0).unionAll(_seams(local, "tops", "bottoms", 0, 1)))
     home = local.join(graph.connected_components(seams), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")

@@ -125,3 +125,8 @@ def test_repaired_rings_in_batches(spark, tmp_path, monkeypatch):
         assert {round(x, 9) for x in union.few_crossings(few)} - corners == {round(x, 9) for x in union.crossings(many)} - corners
         a, b = (sorted((sorted(m), area) for area, m, _ in union.connected(t)) for t in (union.few_trapezoids(few), union.trapezoids(many)))
         assert [p[0] for p in a] == [p[0] for p in b] and [p[1] for p in a] == pytest.approx([p[1] for p in b], abs=1e-9)
+
+
+def test_plane_overlay_in_batches(spark, tmp_path, monkeypatch):
+    no_call_for_each_group(monkeypatch)
+    same_as_sql(spark, tmp_path, "plane_overlay", customer="SELECT * FROM '{SF}/customer.parquet'")
