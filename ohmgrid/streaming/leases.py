@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -37,36 +36,34 @@ class Leases(StatefulProcessor):
         self.handle = handle
         self.job = handle.getValueState("job", _STATE)
 
-    def _row(self, key, at: int, state: str, attempt: int, cause: str) -> pd.DataFrame:
-        return pd.DataFrame({"job": [key[0]], "at": [pd.Timestamp(at, unit="ms")], "state": [state], "attempt": [attempt], "cause": [cause]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, attempt, lease = self.job.get() if self.job.exists() else ("QUEUED", 0, 0)
-        batch = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
-        for at, to in zip(batch["at"], batch["to"], strict=True):
-            at = int(at.timestamp() * 1000)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state, attempt, lease = self.job.get() or ("QUEUED", 0, 0)
+        timer = lease if state in HELD else None
+        for us, _, to in sorted(((r["us"], r["seq"], r["to"]) for r in rows), key=lambda e: e[:2]):
+            at = us // 1000
             # Events that come after the end of a lease meet the job where that end has put it.
             if state in HELD and lease < at:
                 state = expired_state(state, attempt, self.most)
-                yield self._row(key, lease, state, attempt, "lease")
+                yield Row(job=key[0], ms=lease, state=state, attempt=attempt, cause="lease")
             if to in TRANSITIONS[state] or (to == state and state in HELD):
                 attempt += to == "CLAIMED" and state == "QUEUED"
                 state = to
                 if state in HELD:
                     lease = at + self.lease_ms
-                yield self._row(key, at, state, attempt, "event")
+                yield Row(job=key[0], ms=at, state=state, attempt=attempt, cause="event")
         self.job.update((state, attempt, lease))
-        for timer in list(self.handle.listTimers()):
+        # A held job has one timer, at the end of the lease in force.
+        if timer is not None and (state not in HELD or lease != timer):
             self.handle.deleteTimer(timer)
-        if state in HELD:
+        if state in HELD and lease != timer:
             self.handle.registerTimer(lease)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state, attempt, lease = self.job.get()
         if state in HELD and lease <= expiredTimerInfo.getExpiryTimeInMs():
             state = expired_state(state, attempt, self.most)
             self.job.update((state, attempt, lease))
-            yield self._row(key, lease, state, attempt, "lease")
+            yield Row(job=key[0], ms=lease, state=state, attempt=attempt, cause="lease")
 
     def close(self) -> None:
         pass
@@ -80,8 +77,9 @@ def stream_leases(events: DataFrame, lease: str = "60 seconds", delay: str = "0
     """
     number, unit = lease.split()
     lease_ms = int(number) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")]
-    shaped = events.select(F.col("job").cast("string").alias("job"), "at", F.col("seq").cast("long").alias("seq"), "to").withWatermark("at", delay)
-    return shaped.groupBy("job").transformWithStateInPandas(Leases(lease_ms, most), OUT, "Append", "EventTime")
+    shaped = events.select(F.col("job").cast("string").alias("job"), "at", F.unix_micros(F.col("at").cast("timestamp")).alias("us"), F.col("seq").cast("long").alias("seq"), "to").withWatermark("at", delay)
+    steps = shaped.groupBy("job").transformWithState(Leases(lease_ms, most), OUT.replace("at timestamp", "ms long"), "Append", "EventTime")
+    return steps.select("job", F.timestamp_millis("ms").alias("at"), "state", "attempt", "cause")
 
 
 def batch_leases(rows: list[tuple[int, int, str]], lease_ms: int, until: int, most: int = MAX_ATTEMPTS) -> list[tuple[int, str, int, str]]:

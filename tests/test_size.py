@@ -8,10 +8,12 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql.group import GroupedData
 
 from ohmgrid.operators import sampling, spatial, union
 from ohmgrid.plans import catalog
+from ohmgrid.streaming import leases
 
 SF = "/root/testdata/sf0.001"
 
@@ -130,3 +132,31 @@ def test_repaired_rings_in_batches(spark, tmp_path, monkeypatch):
 def test_plane_overlay_in_batches(spark, tmp_path, monkeypatch):
     no_call_for_each_group(monkeypatch)
     same_as_sql(spark, tmp_path, "plane_overlay", customer="SELECT * FROM '{SF}/customer.parquet'")
+
+
+def test_streamed_leases_keep_one_timer_without_listing_them():
+    class Store:
+        value, timers = None, set()
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    job, store, found = leases.Leases(1000), Store(), []
+    job.init(store)
+    events = [(100, 1, "CLAIMED"), (600, 2, "RUNNING"), (650, 3, "QUEUED"), (2000, 4, "CLAIMED"), (2500, 5, "RUNNING"), (2600, 6, "COMPLETED")]
+    for part in (events[:1], events[1:3], events[3:5], events[5:]):
+        found += [(r["ms"], r["state"], r["attempt"], r["cause"]) for r in job.handleInputRows(("j",), iter([Row(us=at * 1000 + 999, seq=seq, to=to) for at, seq, to in part]), None)]
+        assert store.timers == ({store.value[2]} if store.value[0] in leases.HELD else set())
+    assert found == leases.batch_leases(events, 1000, 9000)
