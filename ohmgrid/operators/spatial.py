@@ -9,9 +9,13 @@ until the search is certain to be complete.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window as W
 
 from ohmgrid.functions.storage import durable
@@ -27,10 +31,10 @@ def levels_of(boxes: DataFrame) -> list[int]:
     return sorted(r[0] for r in boxes.select("level").distinct().collect())
 
 
-def with_cells(boxes: DataFrame) -> DataFrame:
-    """``boxes`` (bx0, bx1, by0, by1) once for each cell of their level that they touch: level, cx, cy."""
+def with_cells(boxes: DataFrame, finer: int = 0) -> DataFrame:
+    """``boxes`` (bx0, bx1, by0, by1) once for each cell of their level that they touch: level, cx, cy; cells may be some levels ``finer``."""
     width = F.greatest(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0"), F.lit(1e-12))
-    levelled = boxes.withColumn("level", F.ceil(F.log2(width)).cast("int"))
+    levelled = boxes.withColumn("level", (F.ceil(F.log2(width)) - finer).cast("int"))
     size = F.pow(F.lit(2.0), F.col("level"))
 
     def span(low: str, high: str) -> Column:
@@ -177,7 +181,7 @@ def points_in_regions(points: DataFrame, regions: DataFrame, key: str, region: s
 
     ``points`` has (key, px, py, ...same), ``regions`` (region, edges: array of
     struct x1, y1, x2, y2, ...same).  Points meet the boxes whose cells they are in;
-    the edges of a region are folded in place.  Points within ``pad`` of an edge,
+    a cell's points are tried against a region's edges at once.  Points within ``pad`` of an edge,
     where it is given, are inside too.
     """
     boxed = regions.select(
@@ -185,12 +189,85 @@ def points_in_regions(points: DataFrame, regions: DataFrame, key: str, region: s
         (F.array_min(F.transform("edges", lambda e: e["x1"])) - pad).alias("bx0"), (F.array_max(F.transform("edges", lambda e: e["x1"])) + pad).alias("bx1"),
         (F.array_min(F.transform("edges", lambda e: e["y1"])) - pad).alias("by0"), (F.array_max(F.transform("edges", lambda e: e["y1"])) + pad).alias("by1"),
     ).where(F.col("bx0").isNotNull())
-    boxes = with_cells(boxed)
-    px, py = F.col("px"), F.col("py")
-    met = in_cells(points, levels_of(boxes), "px", "py").join(boxes, [*same, "level", "cx", "cy"])
-    inside = (px >= F.col("bx0")) & (px <= F.col("bx1")) & (py >= F.col("by0")) & (py <= F.col("by1"))
-    odd = F.size(F.filter("edges", lambda e: crosses(px, py, e["x1"], e["y1"], e["x2"], e["y2"]))) % 2 == 1
-    return met.where(inside & (odd | F.exists("edges", lambda e: to_edge(px, py, e) <= pad) if pad else odd)).select(key, region)
+    boxes = with_cells(boxed, finer=1)
+    looks = in_cells(points, levels_of(boxes), "px", "py")
+    cells = [*same, "level", "cx", "cy"]
+    # Keys and regions keep their names apart from each other and from what the cells are known by.
+    own = {"__key": F.col(key), "__x": F.col("px").cast("double"), "__y": F.col("py").cast("double")}
+    its = {"__region": F.col(region), "__edges": F.transform("edges", lambda e: F.array(*[e[c].cast("double") for c in ("x1", "y1", "x2", "y2")])), **{f"__{c}": F.col(c).cast("double") for c in ("bx0", "bx1", "by0", "by1")}}
+    first = boxes.select(*cells, F.lit(0).alias("__kind"), *[v.alias(c) for c, v in its.items()])
+    then = looks.select(*cells, F.lit(1).alias("__kind"), *[v.alias(c) for c, v in own.items()])
+    both = first.unionByName(then, allowMissingColumns=True).dropna(subset=same) if same else first.unionByName(then, allowMissingColumns=True)
+    schema = StructType([StructField(key, then.schema["__key"].dataType), StructField(region, first.schema["__region"].dataType)])
+    dealt = both.repartition(*cells).sortWithinPartitions(*cells, "__kind")
+    return dealt.mapInArrow(_inside(len(cells), key, region, pad), schema)
+
+
+#: Pairs that a batch of results holds at least, and points times edges that are tried at once.
+PAIRS, TRIED = 200_000, 1_000_000
+
+
+def _holds(e: np.ndarray, x: np.ndarray, y: np.ndarray, pad: float) -> np.ndarray:
+    """Which points are inside the edges (x1, y1, x2, y2 by row), by the rules of ``crosses`` and ``to_edge``."""
+    odd, close = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    step = max(1, TRIED // max(len(x), 1))
+    for k in range(0, len(e), step):
+        x1, y1, x2, y2 = (c[:, None] for c in e[k : k + step].T)
+        spans = (y1 > y) != (y2 > y)
+        odd ^= (spans & (x < x1 + (y - y1) * (x2 - x1) / np.where(y2 != y1, y2 - y1, 1.0))).sum(axis=0) % 2 == 1
+        if pad:
+            dx, dy = x2 - x1, y2 - y1
+            t = np.clip(((x - x1) * dx + (y - y1) * dy) / np.maximum(dx * dx + dy * dy, 1e-300), 0.0, 1.0)
+            close |= (np.hypot(x - x1 - t * dx, y - y1 - t * dy) <= pad).any(axis=0)
+    return odd | close
+
+
+def _inside(n: int, key: str, region: str, pad: float):
+    """Pairs of the points and regions of each cell, whose regions come first; a cell's regions are held, its points are not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = list(zip(*(c.to_pylist() for c in batch.columns[:n]), strict=True))
+            starts = [i for i in range(len(cells)) if i == 0 or cells[i] != cells[i - 1]]
+            at = {c: batch.column(c) for c in ("__kind", "__key", "__x", "__y", "__region", "__edges", "__bx0", "__bx1", "__by0", "__by1")}
+            kind = at["__kind"].to_numpy()
+            x, y = (at[c].to_numpy(zero_copy_only=False) for c in ("__x", "__y"))
+            box = np.column_stack([at[c].to_numpy(zero_copy_only=False) for c in ("__bx0", "__bx1", "__by0", "__by1")])
+            bounds = at["__edges"].offsets.to_numpy() - at["__edges"].offsets[0].as_py()
+            flat = at["__edges"].flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+            found: list[tuple[np.ndarray, pa.Array]] = []
+            count = 0
+
+            def made(found: list, keys: pa.Array = at["__key"]) -> pa.RecordBatch:
+                hits = np.concatenate([f[0] for f in found])
+                which = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(hits)), pa.concat_arrays([f[1] for f in found]).take(pa.array(which))], names=[key, region])
+
+            for start, stop in zip(starts, [*starts[1:], len(cells)], strict=True):
+                if cells[start] != cell:
+                    cell, held = cells[start], []
+                middle = start + int(np.searchsorted(kind[start:stop], 1))
+                held += [(box[i], flat[bounds[i] : bounds[i + 1]], at["__region"].slice(i, 1)) for i in range(start, middle)]
+                if middle == stop:
+                    continue
+                px, py = x[middle:stop], y[middle:stop]
+                for (x0, x1, y0, y1), edges, name in held:
+                    near = np.flatnonzero((px >= x0) & (px <= x1) & (py >= y0) & (py <= y1))
+                    if len(near):
+                        near = near[_holds(edges, px[near], py[near], pad)]
+                        if len(near):
+                            found.append((near + middle, name))
+                            count += len(near)
+                            if count >= PAIRS:
+                                yield made(found)
+                                found, count = [], 0
+            if found:
+                yield made(found)
+
+    return run
 
 
 def nearest_k(points: DataFrame, nodes: DataFrame, key: str, node: str, same: list[str], k: int) -> DataFrame:

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from pyspark.sql.group import GroupedData
 
 from ohmgrid.operators import sampling, spatial, union
@@ -160,3 +161,24 @@ def test_streamed_leases_keep_one_timer_without_listing_them():
         found += [(r["ms"], r["state"], r["attempt"], r["cause"]) for r in job.handleInputRows(("j",), iter([Row(us=at * 1000 + 999, seq=seq, to=to) for at, seq, to in part]), None)]
         assert store.timers == ({store.value[2]} if store.value[0] in leases.HELD else set())
     assert found == leases.batch_leases(events, 1000, 9000)
+
+
+def test_points_in_regions_are_tried_together(spark):
+    rng = random.Random(3)
+
+    def box(x, y, w):
+        c = [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+        return [{"x1": p[0], "y1": p[1], "x2": q[0], "y2": q[1]} for p, q in zip(c, c[1:] + c[:1], strict=True)]
+
+    spots = [(f"r{k}", rng.choice(["A", "B", None]), rng.uniform(-20, 20), rng.uniform(-20, 20), rng.choice([0.3, 2.0, 11.0])) for k in range(60)]
+    regions = spark.createDataFrame([(r, s, box(x, y, w) + box(x + w / 4, y + w / 4, w / 4)) for r, s, x, y, w in spots], "region string, layer string, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    asked = [(k, rng.choice(["A", "B", None]), rng.uniform(-25, 25), rng.uniform(-25, 25)) for k in range(500)]
+    points = spark.createDataFrame(asked, "k int, layer string, px double, py double").select(F.struct("k", "layer").alias("at"), "layer", "px", "py")
+    within = lambda v, a, b: a < v < b
+    want = sorted(
+        (k, r) for k, layer, px, py in asked for r, s, x, y, w in spots
+        if layer and layer == s and within(px, x, x + w) and within(py, y, y + w) and not (within(px, x + w / 4, x + w / 2) and within(py, y + w / 4, y + w / 2))
+    )
+    found = spatial.points_in_regions(points, regions, "at", "region", ["layer"])
+    assert want and sorted((r["at"]["k"], r["region"]) for r in found.collect()) == want
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString() and not joins(found)
